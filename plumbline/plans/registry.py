@@ -30,4 +30,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from plumbline.plans import (  # noqa: F401
         check_queries,
+        profile_queries,
     )
