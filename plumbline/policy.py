@@ -164,6 +164,10 @@ HISTORY_LIMIT = 20
 FAIL_HISTORY_MAX = 50
 REOPEN_WINDOW_DAYS = 7
 
+RESCAN_NOTE = "Auto-resolved by rescan"
+VERIFICATION_NOTE = "Auto-resolved by verification scan — rule no longer fires on current schema."
+STALE_PROPOSAL_REASON = "Superseded by a new scan before the prior review was completed."
+
 BASELINE_WINDOW_DAYS = 30
 BASELINE_MIN_SAMPLES = 14
 MAX_PROPOSALS_PER_SCAN = 20
