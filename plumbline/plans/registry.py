@@ -32,5 +32,7 @@ def load_all() -> None:
         check_queries,
         lifecycle_queries,
         metadata_queries,
+        metric_queries,
         profile_queries,
+        relationship_queries,
     )
