@@ -32,6 +32,7 @@ def load_all() -> None:
         check_queries,
         health_queries,
         lifecycle_queries,
+        lineage_queries,
         metadata_queries,
         metric_queries,
         profile_queries,
