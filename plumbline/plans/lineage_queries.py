@@ -172,19 +172,26 @@ def lineage_walk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "lineage_without_self_loops",
-    """SELECT DISTINCT e.event_type AS source_fqn, f.event_type AS target_fqn, 'next' AS edge_type
-       FROM (SELECT event_type, user_id, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) e
-       JOIN (SELECT DISTINCT event_type FROM events) f ON f.event_type = e.nxt AND e.event_type <> e.nxt""",
+    """SELECT DISTINCT 'NATION_' || s_nationkey AS source_fqn, 'NATION_' || c_nationkey AS target_fqn, 'ships_to' AS edge_type
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
+       JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey""",
 )
 def lineage_without_self_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which event type follows which, for any user."""
-    from pyspark.sql import Window as W
-
-    events = read_tables(spark, sf_dir, ["events"])["events"]
-    following = F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    raw = events.select(
-        F.col("event_type").alias("source_fqn"), following.alias("target_fqn"), F.lit("next").alias("edge_type")
-    ).where(F.col("target_fqn").isNotNull())
+    """Which nation ships to which other one."""
+    t = read_tables(spark, sf_dir, ["lineitem", "orders", "supplier", "customer"])
+    raw = (
+        t["lineitem"]
+        .join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
+        .select("l_suppkey", "o_custkey")
+        .distinct()
+        .join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+        .select(
+            F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")).alias("source_fqn"),
+            F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("target_fqn"),
+            F.lit("ships_to").alias("edge_type"),
+        )
+    )
     return lineage.without_self_loops(lineage.dedupe_edges(raw))
 
 

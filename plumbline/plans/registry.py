@@ -33,8 +33,10 @@ def load_all() -> None:
         health_queries,
         lifecycle_queries,
         lineage_queries,
+        maintenance_queries,
         metadata_queries,
         metric_queries,
         profile_queries,
         relationship_queries,
+        stream_queries,
     )

@@ -196,6 +196,11 @@ RETIRE_QUIET_DAYS = 90
 RETIRE_MIN_RUNS = 3
 FLAPPING_REOPENS = 4
 EXECUTION_LOOKBACK = 200
+RELEVANCE_TOKEN = r"[A-Za-z][A-Za-z0-9_]+"
+RELEVANCE_TOKEN_CAP = 5
+RELEVANT_DEFINITIONS = 30
+LESSON_LIMIT = 20
+SYNTHESIS_LESSON_LIMIT = 40
 #: maintenance action -> new status of the rule instance.
 MAINTENANCE_STATUS = {
     "retire_candidate": "paused",
