@@ -10,6 +10,7 @@ from plumbline.operators import checks, lifecycle
 from plumbline.plans import derived
 from plumbline.plans.derived import EVENTS_CTE, EXECUTIONS_CTE, FINDINGS_CTE, INSTANCES_CTE, PLACES_CTE, RUNS_SQL, STATE_CTES
 from plumbline.plans.registry import query
+from plumbline.sources import state
 
 
 @query("grouped_rule_runs", f"WITH {EXECUTIONS_CTE} SELECT * FROM executions")
@@ -232,3 +233,49 @@ def stale_proposal_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.sweep_stale_proposals(proposed, ["lineitem"], "NATION_3").select(
         "instance_id", "status", "rejection_reason"
     )
+
+
+@query(
+    "finding_listing",
+    f"""WITH {FINDINGS_CTE} SELECT finding_id, status, severity, last_seen_at FROM findings
+        WHERE severity = 'high' AND status = 'resolved' ORDER BY last_seen_at DESC, finding_id LIMIT 20 OFFSET 40""",
+)
+def finding_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of resolved findings of high severity, newest first."""
+    page, _ = _listed(spark, sf_dir)
+    return page.select("finding_id", "status", "severity", "last_seen_at")
+
+
+@query(
+    "finding_listing_total",
+    f"WITH {FINDINGS_CTE} SELECT count(*) AS total FROM findings WHERE severity = 'high' AND status = 'resolved'",
+)
+def finding_listing_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(spark, sf_dir)[1]
+
+
+def _listed(spark: SparkSession, sf_dir: str):
+    return state.listing(
+        derived.findings(spark, sf_dir), {"severity": "high", "status": "resolved"},
+        [F.col("last_seen_at").desc(), F.col("finding_id")], limit=20, offset=40,
+    )
+
+
+@query(
+    "refreshed_descriptions",
+    f"""WITH {EVENTS_CTE} SELECT instance_id, executed_at, CASE WHEN curr_total_count > 0
+             THEN curr_fail_count || ' of ' || curr_total_count || ' rows fail this check. Column of ' || asset_id || '.'
+             ELSE prev_fail_count || ' of ' || prev_total_count || ' rows fail this check. Column of ' || asset_id || '.' END AS description
+        FROM events_log WHERE event = 'updated'""",
+)
+def refreshed_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The description an updated finding had, brought up to date."""
+    updated = derived.events(spark, sf_dir).where(F.col("event") == "updated")
+    old = F.concat(
+        F.col("prev_fail_count").cast("string"), F.lit(" of "), F.col("prev_total_count").cast("string"),
+        F.lit(" rows fail this check. Column of "), F.col("asset_id"), F.lit("."),
+    )
+    return updated.select(
+        "instance_id", "executed_at",
+        lifecycle.refreshed_description(old, F.col("curr_fail_count"), F.col("curr_total_count")).alias("description"),
+    )

@@ -12,8 +12,9 @@ from plumbline.streaming import stream
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    return stream.read_stream(spark, path, spark.read.parquet(path).schema)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # The table may be a file or a folder; as a glob both can be streamed.
+    return stream.read_stream(spark, f"{sf_dir}/events.parque[t]", schema)
 
 
 def _finished(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:

@@ -20,13 +20,18 @@ from plumbline.operators.checks import Check
 def read_stream(
     spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """A growing folder of Parquet files as a stream."""
+    """A growing folder of Parquet files as a stream. ``path`` may be a glob."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
 
 
+def _timed(stream: DataFrame, time_column: str, lateness: str) -> DataFrame:
+    """Event time has to be a TIMESTAMP; the session time zone should be UTC."""
+    return stream.withColumn(time_column, F.col(time_column).cast("timestamp")).withWatermark(time_column, lateness)
+
+
 def windowed_metrics(
     stream: DataFrame,
     time_column: str,
@@ -41,7 +46,7 @@ def windowed_metrics(
     dropped. Counters are merged per task before the shuffle.
     """
     grouped = (
-        stream.withWatermark(time_column, lateness)
+        _timed(stream, time_column, lateness)
         .groupBy(F.window(time_column, window).alias("w"), F.col(key).alias("asset_id"))
         .agg(
             F.count(F.lit(1)).alias("row_count"),
@@ -51,8 +56,8 @@ def windowed_metrics(
     )
     return grouped.select(
         "asset_id",
-        F.col("w.start").alias("window_start"),
-        F.col("w.end").alias("window_end"),
+        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
         "row_count",
         "null_pct",
         "mean",
@@ -71,7 +76,7 @@ def windows_to_snapshots(windows: DataFrame, column: str) -> DataFrame:
         F.struct(F.lit(column).alias("column_name"), F.lit("mean").alias("metric_name"), F.col("mean").alias("metric_value")),
     )
     return windows.select(
-        "asset_id", F.col("window_end").cast("timestamp_ntz").alias("captured_at"), F.inline(rows)
+        "asset_id", F.col("window_end").alias("captured_at"), F.inline(rows)
     ).where(F.col("metric_value").isNotNull()).select(
         "asset_id", "column_name", "metric_name", "metric_value",
         F.lit(None).cast("array<string>").alias("observed_values"), "captured_at",
@@ -86,12 +91,16 @@ def silent_keys(
     A session window closes exactly when its key stays silent for the gap.
     """
     sessions = (
-        stream.withWatermark(time_column, lateness)
+        _timed(stream, time_column, lateness)
         .groupBy(F.session_window(time_column, max_age).alias("s"), F.col(key).alias("asset_id"))
         .agg(F.count(F.lit(1)).alias("rows"), F.max(time_column).alias("last_seen_at"))
     )
     return sessions.select(
-        "asset_id", F.col("s.start").alias("active_since"), "last_seen_at", F.col("s.end").alias("stale_at"), "rows"
+        "asset_id",
+        F.col("s.start").cast("timestamp_ntz").alias("active_since"),
+        F.col("last_seen_at").cast("timestamp_ntz").alias("last_seen_at"),
+        F.col("s.end").cast("timestamp_ntz").alias("stale_at"),
+        "rows",
     )
 
 
