@@ -245,7 +245,7 @@ def _problem(df: DataFrame, check: Check, as_of, tables: Mapping[str, DataFrame]
         elif check.shape not in GROUP_SHAPES:
             return f"unknown check shape {check.shape!r}"
     except Exception as problem:  # an expression Spark cannot resolve
-        return str(problem).splitlines()[0]
+        return str(problem).strip().partition("\n")[0] or type(problem).__name__
     return None
 
 

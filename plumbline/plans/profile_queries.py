@@ -24,29 +24,30 @@ EVENTS = {
     "event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double",
     "props": "string",
 }
-#: What the category rules say about these columns.
+#: Columns whose category follows from name and type alone; for the others it depends on the data.
 CATEGORY = {
-    "l_orderkey": "measure", "l_partkey": "measure", "l_suppkey": "measure", "l_linenumber": "categorical",
-    "l_quantity": "measure", "l_extendedprice": "amount", "l_discount": "categorical", "l_tax": "categorical",
-    "l_returnflag": "categorical", "l_linestatus": "status", "l_shipdate": "date",
-    "c_custkey": "measure", "c_name": "id", "c_nationkey": "measure", "c_acctbal": "measure",
-    "c_mktsegment": "categorical",
-    "doc_id": "id", "lang": "categorical", "source": "categorical", "n_chars": "measure",
-    "event_id": "id", "ts": "date", "user_id": "id", "event_type": "status", "value": "amount",
+    "l_extendedprice": "amount", "l_linestatus": "status", "l_shipdate": "date",
+    "doc_id": "id", "event_id": "id", "ts": "date", "user_id": "id", "event_type": "status", "value": "amount",
 }
 
 
+def _category_sql(c: str, numeric: bool) -> str:
+    if c in CATEGORY:
+        return f"'{CATEGORY[c]}'"
+    if numeric:
+        return f"CASE WHEN count(DISTINCT {c}) <= 15 THEN 'categorical' ELSE 'measure' END"
+    return (
+        f"CASE WHEN round(count(DISTINCT {c}) * 100.0 / nullif(count({c}), 0), 2) >= 98 THEN 'id' "
+        f"WHEN count(DISTINCT {c}) <= 30 THEN 'categorical' ELSE 'text' END"
+    )
+
+
 def profile_sql(table: str, columns: dict[str, str]) -> str:
-    """One SELECT per column; ``text`` columns decide id or text by their distinct share."""
+    """One SELECT per column."""
     parts = []
     for i, (c, kind) in enumerate(columns.items(), 1):
         numeric, text = kind in ("bigint", "int", "double"), kind == "string"
-        category = (
-            f"'{CATEGORY[c]}'"
-            if c in CATEGORY
-            else f"CASE WHEN round(count(DISTINCT {c}) * 100.0 / nullif(count({c}), 0), 2) >= 98 THEN 'id' "
-            f"WHEN count(DISTINCT {c}) <= 30 THEN 'categorical' ELSE 'text' END"
-        )
+        category = _category_sql(c, numeric)
         parts.append(
             f"""SELECT '{table}' AS "table", '{c}' AS "column", {i} AS ordinal, '{kind}' AS data_type,
             {category} AS category, count(*) AS total, count({c}) AS non_null, count(*) - count({c}) AS null_count,
@@ -118,31 +119,26 @@ def _frequencies_sql(table: str, columns: list[str]) -> str:
     )
 
 
-def _extreme_sql(table: str, columns: list[str], direction: str) -> str:
-    return f"""SELECT "column", value, n, CAST(rank AS INTEGER) AS rank FROM (
-        SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n {direction}, value) AS rank
-        FROM ({_frequencies_sql(table, columns)})) WHERE rank <= 5"""
+_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"]
+_LETTERS = ["l_returnflag", "l_linestatus"]
 
 
-_TOP = ["l_linenumber", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-_TAIL = ["l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+def _few_values_sql(most: int, direction: str) -> str:
+    """Extreme values of the columns with at most ``most`` distinct values."""
+    return f"""WITH f AS ({_frequencies_sql("lineitem", _NUMBERS + _LETTERS)}),
+        small AS (SELECT "column" FROM f GROUP BY 1 HAVING count(*) <= {most})
+        SELECT "column", value, n, CAST(rank AS INTEGER) AS rank FROM (
+          SELECT f.*, row_number() OVER (PARTITION BY "column" ORDER BY n {direction}, value) AS rank
+          FROM f JOIN small USING ("column")) WHERE rank <= 5"""
 
 
-@query("top_values_lineitem", _extreme_sql("lineitem", _TOP, "DESC"))
+@query("top_values_lineitem", _few_values_sql(15, "DESC"))
 def top_values_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = read_tables(spark, sf_dir, ["lineitem"])["lineitem"]
     return profiling.top_values(lineitem, profile_of(spark, sf_dir, "lineitem"))
 
 
-@query(
-    "bottom_values_lineitem",
-    # l_suppkey has few enough values in the smaller tables only.
-    f"""WITH f AS ({_frequencies_sql("lineitem", [*_TAIL, "l_suppkey"])}),
-        small AS (SELECT "column" FROM f GROUP BY 1 HAVING count(*) <= 200)
-        SELECT "column", value, n, CAST(rank AS INTEGER) AS rank FROM (
-          SELECT f.*, row_number() OVER (PARTITION BY "column" ORDER BY n, value) AS rank
-          FROM f JOIN small USING ("column")) WHERE rank <= 5""",
-)
+@query("bottom_values_lineitem", _few_values_sql(200, "ASC"))
 def bottom_values_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = read_tables(spark, sf_dir, ["lineitem"])["lineitem"]
     return profiling.tail_values(lineitem, profile_of(spark, sf_dir, "lineitem"))

@@ -84,6 +84,8 @@ def _orphans(child: str, column: str, parent: str, ref: str) -> str:
 _PAIRS = [
     ("ORDERS", "CUSTOMER_ID", "CUSTOMERS", "CUSTOMER_ID"), ("EVENT_LOG", "CUSTOMER_ID", "CUSTOMERS", "CUSTOMER_ID"),
     ("LINE_ITEMS", "ORDER_ID", "ORDERS", "ORDER_ID"), ("LINE_ITEMS", "SUPPLIER_ID", "SUPPLIER", "ID"),
+    # Only one of these is a candidate, if any: NATION_ID is owned where it is most unique.
+    ("CUSTOMERS", "NATION_ID", "SUPPLIER", "NATION_ID"), ("SUPPLIER", "NATION_ID", "CUSTOMERS", "NATION_ID"),
 ]
 _CATALOG = f"""{_CANDIDATES}, counted AS ({" UNION ALL ".join(_orphans(*p) for p in _PAIRS)}),
     rel AS (SELECT from_table, from_column, to_table, to_column,
