@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import policy
-from plumbline.session import cut_lineage
+from plumbline.session import stored
 
 EDGE_KEY = ("source_fqn", "target_fqn", "edge_type")
 
@@ -99,7 +99,7 @@ def _walk(edges: DataFrame, start: DataFrame, visited: DataFrame, hops: int, ups
         )
         known = reduce(DataFrame.unionByName, [visited, *[f.select("fqn") for f in found]])
         fresh = reached.join(known, "fqn", "left_anti").withColumn("depth", F.lit(depth))
-        frontier = cut_lineage(fresh)
+        frontier = stored(fresh, "frontier")
         if frontier.isEmpty():
             break
         found.append(frontier)

@@ -4,8 +4,8 @@ Two passes, both without moving rows:
 
 * scalar statistics (counts, bounds, mean, deviation, lengths, pattern share) are
   one aggregation, so only one record per task crosses the network;
-* distinct and duplicate counts are exact. Values are reduced to a 128-bit hash
-  and counted by (column, hash) with partial aggregation on the map side. That
+* distinct and duplicate counts are exact up to a collision of 128-bit hashes.
+  Values are reduced to their hash and counted by (column, hash) with partial aggregation on the map side. That
   moves 16 bytes per distinct value instead of the value itself, and avoids the
   row expansion of several ``count(distinct)`` in one aggregation.
 
@@ -15,7 +15,7 @@ partition at a time.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -113,9 +113,18 @@ def scalar_statistics(
 ) -> DataFrame:
     """One row per (keys, column) with the single-pass statistics."""
     fields = [f for f in df.schema.fields if f.name not in keys and (columns is None or f.name in columns)]
+    # Bounds of texts cannot be kept in a hash table and would turn the whole
+    # aggregation into a sort-based one, so texts are aggregated apart. Each
+    # column is still read once.
+    texts = [f for f in fields if _is_text(f)]
+    others = [f for f in fields if not _is_text(f)]
+    batches = [
+        group[start : start + COLUMN_BATCH]
+        for group in (others, texts)
+        for start in range(0, len(group), COLUMN_BATCH)
+    ]
     parts = []
-    for start in range(0, len(fields), COLUMN_BATCH):
-        batch = fields[start : start + COLUMN_BATCH]
+    for batch in batches:
         aggregates = [F.count(F.lit(1)).alias("total")]
         rows = []
         for i, f in enumerate(batch):
@@ -126,19 +135,21 @@ def scalar_statistics(
     return reduce(DataFrame.unionByName, parts)
 
 
-def _value_key(c: Column) -> Column:
-    """128 bits of a value from two independently seeded hashes; NULL stays NULL."""
-    return F.when(c.isNotNull(), F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b")))
+def _cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str], parts: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row per non-NULL cell: keys, the position of the column, and ``parts`` of the value."""
+    cells = [
+        F.struct(
+            F.lit(i).alias("position"),
+            _col(c).isNull().alias("absent"),
+            *[part(_col(c)).alias(name) for name, part in parts.items()],
+        )
+        for i, c in enumerate(columns)
+    ]
+    return df.select(*[_col(k) for k in keys], F.inline(F.array(*cells))).where("NOT absent").drop("absent")
 
 
-def _unpivot(df: DataFrame, keys: Sequence[str], columns: dict[str, Column]) -> DataFrame:
-    """(keys, column, value) with one row per non-NULL cell."""
-    cells = [F.struct(F.lit(n).alias("column"), v.alias("value")) for n, v in columns.items()]
-    return (
-        df.select(*[_col(k) for k in keys], F.explode(F.array(*cells)).alias("cell"))
-        .where(F.col("cell.value").isNotNull())
-        .select(*[_col(k) for k in keys], "cell.column", "cell.value")
-    )
+def _column_name(columns: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("position") + 1).alias("column")
 
 
 def distinct_statistics(
@@ -165,13 +176,16 @@ def distinct_statistics(
             for i, c in enumerate(names)
         ]
         return grouped.select(*[_col(k) for k in keys], F.inline(F.array(*rows)))
-    cells = _unpivot(df, keys, {c: _value_key(_col(c)) for c in names})
-    sizes = cells.groupBy(*[_col(k) for k in keys], "column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.groupBy(*[_col(k) for k in keys], "column").agg(
+    # 128 bits of a value from two independently seeded hashes.
+    cells = _cells(df, keys, names, {"a": F.xxhash64, "b": lambda c: F.xxhash64(F.lit(1), c)})
+    group = [_col(k) for k in keys]
+    sizes = cells.groupBy(*group, "position", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    counted = sizes.groupBy(*group, "position").agg(
         F.count(F.lit(1)).alias("distinct_count"),
         F.count_if(F.col("n") > 1).alias("duplicate_values"),
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("repeated_rows"),
     )
+    return counted.select(*group, _column_name(names), "distinct_count", "duplicate_values", "repeated_rows")
 
 
 def category_of(
@@ -252,8 +266,10 @@ def profile_columns(
 
 def value_frequencies(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys, column, value, n) of the non-NULL values, as text. For low-cardinality columns."""
-    cells = _unpivot(df, keys, {c: _col(c).cast("string") for c in columns})
-    return cells.groupBy(*[_col(k) for k in keys], "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    cells = _cells(df, keys, columns, {"value": lambda c: c.cast("string")})
+    group = [_col(k) for k in keys]
+    counted = cells.groupBy(*group, "position", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(*group, _column_name(columns), "value", "n")
 
 
 def extreme_values(frequencies: DataFrame, k: int, rarest: bool = False) -> DataFrame:

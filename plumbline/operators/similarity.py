@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline import policy
 from plumbline.functions.text import normal_name, overlap_of_sets, significant_words, word_overlap
+from plumbline.session import stored
 
 
 def _with_words(df: DataFrame) -> DataFrame:
@@ -62,8 +63,9 @@ def best_matches(
     The overlap join is exact. Pairs are found through the rarest words of the
     smaller set only, and verified on the word sets.
     """
-    wanted = _with_words(candidates)
-    known = _with_words(library)
+    # Splitting texts into words is the costly part and several steps need the words.
+    wanted = stored(_with_words(candidates).select("id", "name", "words", "word_key", "size"), "candidate-words")
+    known = stored(_with_words(library).select("id", "name", "words", "word_key", "size"), "library-words")
     by_name = (
         known.withColumn("key", normal_name(F.col("name")))
         .where(F.col("key") != "")

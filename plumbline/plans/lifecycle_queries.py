@@ -10,6 +10,7 @@ from plumbline.operators import checks, lifecycle
 from plumbline.plans import derived
 from plumbline.plans.derived import EVENTS_CTE, EXECUTIONS_CTE, FINDINGS_CTE, INSTANCES_CTE, PLACES_CTE, RUNS_SQL, STATE_CTES
 from plumbline.plans.registry import query
+from plumbline.session import stored
 from plumbline.sources import state
 
 
@@ -58,11 +59,11 @@ _SCAN_TS = f"TIMESTAMP '{SCAN} 00:00:00'"
 
 def _scan_inputs(spark: SparkSession, sf_dir: str):
     moment = F.lit(SCAN).cast("timestamp_ntz")
-    runs = derived.executions(spark, sf_dir)
+    # The log and the findings are tables the scan starts from.
+    runs = stored(derived.executions(spark, sf_dir), "executions")
     earlier = runs.where(F.col("executed_at") < moment)
-    before = lifecycle.to_findings(
-        lifecycle.incidents(lifecycle.replay(earlier, reopen_days=derived.REOPEN_DAYS))
-    )
+    replayed = lifecycle.replay(earlier, derived.REOPEN_DAYS, chunk="year")
+    before = stored(lifecycle.to_findings(lifecycle.incidents(replayed)), "findings")
     scan = runs.where(F.col("executed_at") == moment)
     prefix = F.concat(
         F.col("fail_count").cast("string"), F.lit(" of "), F.col("total_count").cast("string"), F.lit(" rows fail this check.")
@@ -71,11 +72,16 @@ def _scan_inputs(spark: SparkSession, sf_dir: str):
         "instance_id", "asset_id", "severity", F.col("definition_id").alias("title"), prefix.alias("description"),
         "fail_count", "total_count",
     )
-    mutes = derived.places(spark, sf_dir).where(F.col("balance") < 2000).select(
+    return before, results, scan.select("instance_id"), _mutes(spark, sf_dir)
+
+
+def _mutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tax rules of suppliers with little money are muted, for the poorest the mute is over."""
+    return derived.places(spark, sf_dir).where(F.col("balance") < 2000).select(
         F.concat(F.lit("tax_cap:"), F.col("suppkey").cast("string")).alias("instance_id"), "asset_id",
         F.when(F.col("balance") < 500, F.lit("2001-05-15")).otherwise("2001-07-01").cast("timestamp_ntz").alias("muted_until"),
     )
-    return before, results, scan.select("instance_id"), mutes
+
 
 
 _BEFORE = FINDINGS_CTE.replace("FROM counts", f"FROM counts WHERE executed_at < {_SCAN_TS}")
@@ -173,7 +179,7 @@ def recently_resolved_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {PLACES_CTE} SELECT 'tax_cap:' || suppkey AS instance_id, asset_id FROM places WHERE balance BETWEEN 500 AND 1999.99""",
 )
 def active_mutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.active_mutes(_scan_inputs(spark, sf_dir)[3], SCAN)
+    return lifecycle.active_mutes(_mutes(spark, sf_dir), SCAN)
 
 
 @query(
