@@ -170,7 +170,9 @@ def enrolled_only(snapshots: DataFrame, monitored: DataFrame) -> DataFrame:
 def exact_medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, median): the exact median per group, also where one group is huge.
 
-    A mergeable sketch brackets the median between the 48th and 52nd percentile.
+    A mergeable sketch brackets the median within a twentieth of a percent of the
+    ranks on either side, five times its error bound (and it is exact below 10,000
+    values).
     Everything below the bracket is folded into one count on the map side and
     everything above is dropped, so only the values inside the bracket are ranked.
     The ranks are exact counts; the sketch merely says where to look.
@@ -178,7 +180,7 @@ def exact_medians(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     rows = df.where(is_finite(F.col(value))).select(*keys, F.col(value).cast("double").alias("v"))
     bracket = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"),
-        F.percentile_approx("v", [0.48, 0.52], 10000).alias("q"),
+        F.percentile_approx("v", [0.4995, 0.5005], 10000).alias("q"),
     )
     low, high = F.col("q")[0], F.col("q")[1]
     counted = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline import policy
 from plumbline.functions.text import canonical_json, fingerprint, significant_words, word_overlap
-from plumbline.operators import maintenance, profiling, similarity
+from plumbline.operators import lifecycle, maintenance, profiling, similarity
 from plumbline.plans import derived
 from plumbline.plans.derived import INSTANCES_CTE, PLACES_CTE, STATE_CTES
 from plumbline.plans.metric_queries import USER_SNAPSHOTS, user_snapshots
@@ -221,9 +221,10 @@ _SWEEP = f"""{STATE_CTES}, {_RETIRE},
 
 
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    instances = derived.instances(spark, sf_dir).withColumn("target_json", F.lit("{}")).withColumn(
+    instances = stored(derived.instances(spark, sf_dir), "instances").withColumn("target_json", F.lit("{}")).withColumn(
         "created_at", F.lit("1995-01-01").cast("timestamp_ntz")
     )
+    executions = stored(derived.executions(spark, sf_dir), "executions")
     assets = derived.places(spark, sf_dir).where(F.col("balance") > 0)
     ids = instances.select("instance_id", "definition_id")
     earlier = ids.where(F.col("definition_id") == "tax_cap").select(
@@ -233,10 +234,9 @@ def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
             "instance_id", F.lit("obsolete_target").alias("action"), F.lit("pending").alias("status")
         )
     )
-    findings = stored(derived.findings(spark, sf_dir), "findings")
-    return maintenance.maintenance_sweep(
-        instances, derived.executions(spark, sf_dir), findings, assets, earlier, AS_OF
-    )
+    replayed = lifecycle.replay(executions, derived.REOPEN_DAYS, chunk="year")
+    findings = stored(lifecycle.incidents(replayed), "findings")
+    return maintenance.maintenance_sweep(instances, executions, findings, assets, earlier, AS_OF)
 
 
 @query("maintenance_sweep", f"WITH {_SWEEP} SELECT * FROM sweep")

@@ -141,10 +141,10 @@ def metric_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _base(spark: SparkSession, sf_dir: str, kind: str):
-    """Snapshots are recorded first; baselines and checks read the recorded table."""
+    """Snapshots and baselines are recorded; checks and reports read the recorded tables."""
     taken = type_snapshots(spark, sf_dir) if kind == "type" else user_snapshots(spark, sf_dir)
     snaps = stored(taken, f"{kind}-snapshots")
-    return snaps, metrics.baselines(snaps, AS_OF)
+    return snaps, stored(metrics.baselines(snaps, AS_OF), f"{kind}-baselines")
 
 
 @query(

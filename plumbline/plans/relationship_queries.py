@@ -168,7 +168,7 @@ def deterministic_rule_candidates(spark: SparkSession, sf_dir: str) -> DataFrame
 def relationship_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = mart(spark, sf_dir)
     found = relationships.discover(tables, columns_meta(spark, tables))
-    newest = tables["ORDERS"].agg(F.max("CREATED_AT").alias("last_verified_at"))
-    stamped = found.withColumn("one", F.lit(1)).join(newest.withColumn("one", F.lit(1)), "one")
+    newest = tables["ORDERS"].agg(F.max("CREATED_AT")).first()[0]
+    stamped = found.withColumn("last_verified_at", F.lit(str(newest)).cast("timestamp_ntz"))
     names = spark.createDataFrame([(t,) for t in (*tables, "PARTS")], "table string")
     return relationships.catalog_is_fresh(stamped, names, "2001-08-02 00:00:00")
