@@ -129,7 +129,9 @@ def finalize_scan(
     * a muted failure is skipped (event ``muted``), a muted pass still resolves.
     """
     now = moment(as_of)
-    failing = results.dropDuplicates(list(KEY))
+    # One result per key, the same one whenever a task is repeated.
+    worst = F.max(F.struct("fail_count", "total_count", "severity", "title", "description"))
+    failing = results.groupBy(*KEY).agg(worst.alias("r")).select(*KEY, "r.*")
     muted = active_mutes(mutes, as_of).withColumn("muted", F.lit(True))
     judged = (
         failing.join(muted, list(KEY), "left")
