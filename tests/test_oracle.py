@@ -6,6 +6,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry_points
+from plumbline.plans import registry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -16,14 +17,16 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.SQL)
+    assert set(registry.QUERIES) <= set(entry_points.queries())
+    assert set(registry.SQL) <= set(entry_points.oracle_sql())
 
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 8
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
-    df = entry_points.queries()[name](spark, SF_DIR)
-    assert oracle.differences(df, con, entry_points.oracle_sql()[name]) == []
+    df = registry.QUERIES[name](spark, SF_DIR)
+    assert oracle.differences(df, con, registry.SQL[name]) == []
