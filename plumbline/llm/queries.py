@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, licenses, pii, sharding
+from plumbline.llm import bpe, chat, licenses, pii, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,6 +91,18 @@ def op3_license_digests(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op4_bpe_digests")
+def op4_bpe_digests(spark, sf_dir):
+    """Token ids of every document, encoded by rank and decoded again, as digests."""
+    import public_tokenizers
+
+    return bpe.digests(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+
+
 CONTROL_CONVERSATION = "(-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')"
 _ESCAPED = (
     "regexp_replace(replace({}, '\\', '\\\\'), '" + chat.CONTROL + "', '\\1\\\\\\2', 'g')"
