@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, licenses, pii, sharding
+from plumbline.llm import bpe, chat, langid, licenses, pii, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -138,3 +139,12 @@ def op5_chat_format(spark, sf_dir):
         f"FROM VALUES {CONTROL_CONVERSATION} AS t(conv_id, turn, role, text)"
     )
     return chat.digests(chat.format_conversations(turns.unionByName(extra)))
+
+
+@query("op8_language_id")
+def op8_language_id(spark, sf_dir):
+    """Language of every document; the network learns from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"))
+    net = langid.fit(docs.where(~out))
+    return langid.identify(docs, net).select("doc_id", out.alias("held_out"), "lang_pred", "score")
