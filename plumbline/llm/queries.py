@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, langid, licenses, pii, sharding
+from plumbline.llm import bpe, chat, jaccard, langid, licenses, pii, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -148,3 +148,9 @@ def op8_language_id(spark, sf_dir):
     out = langid.held_out(F.col("doc_id"))
     net = langid.fit(docs.where(~out))
     return langid.identify(docs, net).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_jaccard_components")
+def op10_jaccard_components(spark, sf_dir):
+    """Shingle count of every document and the smallest document it is linked with."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
