@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, jaccard, langid, licenses, pii, sharding
+from plumbline.llm import bpe, chat, decontaminate, jaccard, langid, licenses, pii, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -154,3 +154,41 @@ def op8_language_id(spark, sf_dir):
 def op10_jaccard_components(spark, sf_dir):
     """Shingle count of every document and the smallest document it is linked with."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_WORDS = "string_split(nullif(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ''), ' ')"
+_GRAMS = """CASE WHEN len(w) >= 5 THEN list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END"""
+
+
+@query(
+    "op9_benchmark_leaks",
+    f"""
+    WITH items AS (
+        SELECT item_id, len(w) AS m, {_GRAMS} AS g FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE item_id IS NOT NULL
+    ), docs AS (
+        SELECT doc_id, len(w) AS n, {_GRAMS} AS g FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE doc_id IS NOT NULL
+    ), item_grams AS (
+        SELECT item_id, m, unnest(g) AS gram, unnest(range(0, len(g))) AS j FROM items
+    ), doc_grams AS (
+        SELECT doc_id, n, unnest(g) AS gram, unnest(range(0, len(g))) AS i FROM docs
+    ), spots AS (
+        SELECT DISTINCT doc_id, m, greatest(0, least(i - j, n - m)) AS start FROM doc_grams JOIN item_grams USING (gram)
+    ), windows AS (
+        SELECT doc_id, m, start, g[start + 1:start + greatest(1, m - 4)] AS win FROM spots JOIN docs USING (doc_id)
+    ), pairs AS (
+        SELECT doc_id, item_id, start, win, g FROM windows JOIN items USING (m)
+    ), counted AS (
+        SELECT *, CAST(list_sum(list_transform(list_distinct(g), lambda x: least(
+                   len(list_filter(win, lambda y: y = x)), len(list_filter(g, lambda y: y = x))))) AS BIGINT) AS shared
+        FROM pairs WHERE list_has_any(win, g)
+    ), kept AS (
+        SELECT *, len(win) + len(g) - shared AS united FROM counted WHERE 5 * shared >= 4 * (len(win) + len(g) - shared)
+    )
+    SELECT doc_id, item_id, CAST(start AS INTEGER) AS start_word, CAST(shared AS INTEGER) AS shared, CAST(united AS INTEGER) AS united
+    FROM kept QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / united DESC, start) = 1
+    """,
+)
+def op9_benchmark_leaks(spark, sf_dir):
+    """Documents that hold a benchmark item, with the item and the place."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
