@@ -4,9 +4,10 @@
 2. Shingles have one global order, rare ones first: by a level taken from a counting sketch
    of fixed size over all documents, then by hash. Any such order is exact; the sketch only
    decides how few candidates there are.
-3. Two sets with a Jaccard similarity of 0.8 share a shingle among their first
-   n - ceil(0.8 n) + 1. These prefixes are shuffled by shingle. Shingles that only one class
-   has are dropped; for the others each class gets the smallest class as a candidate.
+3. Two sets with a Jaccard similarity of 0.8 share COMMON shingles among their first
+   n - ceil(0.8 n) + COMMON. These prefixes are shuffled by shingle. Shingles that only one
+   class has are dropped, and then classes with fewer than COMMON left; for each other
+   shingle, its smallest class is a candidate for the rest.
 4. Candidates are checked exactly: the sets that meet one probe are stored in a tree of
    their ordered shingles, so that common beginnings are counted once, and a subtree is
    left as soon as the shingles that remain cannot reach the overlap it needs.
@@ -46,12 +47,15 @@ SLICES = 64
 LEVEL_BITS = 6
 #: Occurrences of a shingle beyond which its classes are split over several runs.
 RUN_ROWS = 8192
+#: Shingles that two similar sets share in their prefixes, if they have as many in common.
+COMMON = 6
 #: Sets stored in one tree.
 TREE_SETS = 256
 
 
-def prefix_length(size):
-    return size - (4 * size + 4) // 5 + 1
+def prefix_length(size: int) -> int:
+    """So many first shingles that similar sets share at least ``COMMON`` of them, or all they need."""
+    return min(size, size - (4 * size + 4) // 5 + COMMON)
 
 
 def needed_overlap(a: int, b: int) -> int:
@@ -257,12 +261,20 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(levels):
+    """The ordered sets of classes; a class once per task, also if a document row is repeated."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                blobs = [ordered(shingle_set(t.as_py()), levels.value).tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["class", "tokens"])
+                names, blobs = [], []
+                for name, text in zip(batch.column(0).slice(start, 500).to_pylist(), batch.column(1).slice(start, 500)):
+                    own = shingle_set(text.as_py())
+                    if name not in seen and len(own) and class_of(own) == name:
+                        seen.add(name)
+                        names.append(name)
+                        blobs.append(ordered(own, levels.value).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["class", "tokens"])
 
     return run
 
@@ -295,6 +307,11 @@ def _alike_size(a, b):
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
+def _needed(a, b):
+    """``needed_overlap`` as a column."""
+    return F.floor((4 * (a + b) + 8) / 9)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id)."""
     spark = docs.sparkSession
@@ -315,6 +332,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "class").mapInArrow(_runs, _SHARED),
         "jaccard-shared",
     )
+    # Without COMMON shared shingles (or all it needs, if fewer) a class has no partner.
+    wanted = stored(
+        shared.groupBy("class", "size")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") >= F.least(F.lit(COMMON), F.ceil(F.col("size") * 4 / 5)))
+        .join(members.where("class IS NOT NULL"), "class")
+        .groupBy("class")
+        .agg(F.min("doc_id").alias("doc_id")),
+        "jaccard-wanted",
+    )
     # Each class is compared first with the class it shares most prefix shingles with.
     best = (
         shared.where("class <> center")
@@ -333,18 +360,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .where(_alike_size(F.col("center_size"), F.col("top.center_size")))
         .select(F.col("center").alias("a"), F.col("top.center").alias("b"))
     )
-    # One document per class that shares a prefix shingle gives its set.
-    wanted = (
-        shared.select("class").distinct().join(members.where("class IS NOT NULL"), "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    )
+    # One document per class gives its set.
     sets = stored(
         texts.join(wanted, "doc_id").select("class", "text").mapInArrow(_set_rows(levels), "class long, tokens binary"),
         "jaccard-sets",
-    ).dropDuplicates(["class"])
+    )
     links = stored(_verify(best.unionAll(across).distinct(), sets), "jaccard-links")
     first = components(links)
 
-    named = shared.join(first.withColumnRenamed("node", "class"), "class", "left").select(
+    named = shared.join(wanted.select("class"), "class").join(first.withColumnRenamed("node", "class"), "class", "left").select(
         "token", "class", "size", F.coalesce("component", "class").alias("component")
     )
     named = stored(named.distinct(), "jaccard-named")
@@ -355,8 +379,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         left.join(right, "token")
         .where("component_a < component_b")
         .where(_alike_size(F.col("size_a"), F.col("size_b")))
-        .select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-        .distinct()
+        .groupBy(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+        .agg(F.count("*").alias("n"), F.first(_needed(F.col("size_a"), F.col("size_b"))).alias("needed"))
+        .where(F.col("n") >= F.least(F.lit(COMMON), F.col("needed")))
+        .select("a", "b")
     )
     more = stored(_verify(across, sets), "jaccard-more")
     if not more.isEmpty():
