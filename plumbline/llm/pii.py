@@ -96,7 +96,7 @@ _KEPT = re.compile(r"[A-Za-z0-9@.+()\x20-]")
 
 
 @lru_cache(1)
-def _alike() -> tuple[dict[int, str], re.Pattern]:
+def _alike() -> tuple[dict[int, str], frozenset[str]]:
     """Characters with a look-alike: those above and all that compatibility forms fold to one."""
     table = {ord(k): v for k, v in LOOKALIKES.items()}
     for code in (*range(0xA0, 0x3400), *range(0xFB00, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200), *range(0x1FBF0, 0x1FBFA)):
@@ -105,7 +105,7 @@ def _alike() -> tuple[dict[int, str], re.Pattern]:
             table.setdefault(code, folded)
         elif (digit := unicodedata.digit(chr(code), None)) is not None:
             table.setdefault(code, str(digit))
-    return table, re.compile("[" + "".join(map(re.escape, map(chr, table))) + "]")
+    return table, frozenset(map(chr, table))
 
 
 DIGIT_WORDS = {
@@ -133,10 +133,12 @@ _REWRITE = re.compile(
     re.X | re.I,
 )
 _ONE_NUMBER = re.compile(_NUMBER, re.I)
-#: A rewrite is only tried where one of these occurs.
+#: What every rewrite begins with; small letters, so that the search stays cheap.
 _TRIGGER = re.compile(
-    r"[\u00ad\u200b-\u200f\u2060\ufeff@\[({<]|dot|plus|\x20at\x20+[a-z0-9-]+\.[a-z0-9]|zero|one|two|three|four|five|six|seven|eight|nine|[0-9][\x20-]?[OoQIl|ZSB][\x20-]?[0-9]",
-    re.I,
+    r"(?<![a-z])(?:zero|one|two|three|four|five|six|seven|eight|nine|plus)(?![a-z])"
+    r"|[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]|\s@|@\s|\x20dot\x20"
+    r"|\x20at\x20+[a-z0-9-]+(?:\.[a-z0-9]|\s*[\[({<])"
+    r"|[0-9][\x20-]?[oqil|zsb][\x20-]?[0-9]|[­​-‏⁠﻿]"
 )
 
 
@@ -167,7 +169,7 @@ def normalise(text: str) -> tuple[str, list[int], list[int], list[bool]]:
     The lists end with the lengths of both texts.
     """
     table, alike = _alike()
-    same = text if text.isascii() or not alike.search(text) else text.translate(table)
+    same = text if text.isascii() or alike.isdisjoint(set(text)) else text.translate(table)
     parts, outs, sources, changed = [], [], [], []
     position = length = 0
 
@@ -179,7 +181,7 @@ def normalise(text: str) -> tuple[str, list[int], list[int], list[bool]]:
         changed.append(rewritten)
         length += len(piece)
 
-    if _TRIGGER.search(same):
+    if _TRIGGER.search(same.lower()):
         for m in _REWRITE.finditer(same):
             if m.start() > position:
                 add(same[position : m.start()], position, False)
