@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, decontaminate, jaccard, langid, licenses, pii, sharding
+from plumbline.llm import bpe, chat, decontaminate, jaccard, langid, licenses, lm, pii, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -192,3 +192,40 @@ _GRAMS = """CASE WHEN len(w) >= 5 THEN list_transform(range(0, len(w) - 4), lamb
 def op9_benchmark_leaks(spark, sf_dir):
     """Documents that hold a benchmark item, with the item and the place."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op7_stupid_backoff",
+    f"""
+    WITH split AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+        FROM documents
+    ), placed AS (
+        SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM split
+    ), pairs AS (
+        SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM placed
+    ), counted AS (
+        SELECT *, count(*) OVER (PARTITION BY word) - count(*) OVER (PARTITION BY doc_id, word) AS c,
+               count(*) OVER (PARTITION BY before, word) - count(*) OVER (PARTITION BY doc_id, before, word) AS cc
+        FROM pairs
+    ), chained AS (
+        SELECT *, lag(c) OVER (PARTITION BY doc_id ORDER BY i) AS cb FROM counted
+    ), sizes AS (
+        SELECT doc_id, len(w) AS n_words, sum(len(w)) OVER () - len(w) AS rest FROM split
+    ), logs AS (
+        SELECT doc_id, n_words, rest, i,
+               CASE WHEN i > 0 AND cc > 0 THEN ln(cc / cb)
+                    ELSE ln(greatest(c, {lm.ALPHA})) - ln(rest) + CASE WHEN i > 0 THEN ln({lm.ALPHA}) ELSE 0 END END AS part,
+               i > 0 AND cc = 0 AS fell
+        FROM chained JOIN sizes USING (doc_id)
+    ), summed AS (
+        SELECT doc_id, sum(part) / count(*) AS score, count(*) FILTER (fell) AS fell FROM logs GROUP BY doc_id
+    )
+    SELECT doc_id, n_words, coalesce(fell, 0) AS n_backed_off, round(score, 6) AS score
+    FROM sizes LEFT JOIN summed USING (doc_id)
+    """,
+)
+def op7_stupid_backoff(spark, sf_dir):
+    """Mean log score of every document under the counts of all others."""
+    return lm.scores(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
