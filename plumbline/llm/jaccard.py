@@ -397,3 +397,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return members.join(named, "class", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id names their component; of repeated ids one row.
+
+    Rows without an id cannot be named and are kept.
+    """
+    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    # Rows are paired as structs, so no column of theirs can clash.
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.struct("*").alias("row"))
+    named = (
+        rows.join(kept, F.col("doc_id").cast("long") == F.col("_kept"))
+        .groupBy("doc_id")
+        .agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        .select("row.*")
+    )
+    return named.unionByName(docs.where("doc_id IS NULL"))
