@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, decontaminate, jaccard, langid, licenses, lm, pii, sharding
+from plumbline.llm import bpe, chat, decontaminate, jaccard, langid, licenses, lm, pii, sharding, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -229,3 +229,26 @@ def op9_benchmark_leaks(spark, sf_dir):
 def op7_stupid_backoff(spark, sf_dir):
     """Mean log score of every document under the counts of all others."""
     return lm.scores(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "op6_exact_top_k",
+    """
+    WITH usable AS (
+        SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+        FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored
+    )
+    SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 10
+    """,
+)
+def op6_exact_top_k(spark, sf_dir):
+    """The ten best inner products of every hundredth vector with all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
