@@ -224,9 +224,9 @@ _SHARED = "token long, class long, size int, center long, center_size int, split
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (token, salt, class): those of runs with several classes, with the first class.
 
-    Only the first row of the run that is open is kept between batches.
+    Of the run that is open, only its first row and its last class are kept between batches.
     """
-    first, emitted = None, False
+    first, latest, emitted = None, None, False
     for batch in batches:
         rows = batch.to_pandas()
         rows = rows[["token", "salt", "class", "size", "split"]]
@@ -239,9 +239,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh[1:] |= name[1:] != name[:-1]
         begin = np.maximum.accumulate(np.where(starts, np.arange(len(rows)), 0))
         center = name[begin]
-        # A later batch may repeat the kept first row.
-        fresh &= starts | (name != center)
         number = np.cumsum(starts) - 1
+        # A batch may begin with the class that the one before ended with.
+        fresh &= starts | (name != center)
+        if first is not None:
+            fresh &= starts | (number > 0) | (name != latest)
         several = np.bincount(number, weights=fresh)[number] > 1
         take = fresh & several
         if first is not None and emitted:
@@ -257,7 +259,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
         last = begin[-1]
         emitted = bool(several[-1]) or (emitted and last == 0 and first is not None)
-        first = rows.iloc[[last]]
+        first, latest = rows.iloc[[last]], name[-1]
 
 
 def _set_rows(levels):
