@@ -6,8 +6,9 @@
    decides how few candidates there are.
 3. Two sets with a Jaccard similarity of 0.8 share COMMON shingles among their first
    n - ceil(0.8 n) + COMMON. These prefixes are shuffled by shingle. Shingles that only one
-   class has are dropped, and then classes with fewer than COMMON left; for each other
-   shingle, its smallest class is a candidate for the rest.
+   class has are dropped, and then classes with fewer than COMMON left. For each other
+   shingle, the class that has it at the earliest place is a candidate for the rest: the
+   original of near copies has fewer rare shingles of its own before it than they have.
 4. Candidates are checked exactly: the sets that meet one probe are stored in a tree of
    their ordered shingles, so that common beginnings are counted once, and a subtree is
    left as soon as the shingles that remain cannot reach the overlap it needs.
@@ -208,28 +209,29 @@ def _posting(held: list[tuple[np.ndarray, int, int]], mean: float) -> pa.RecordB
     tokens = np.concatenate([t for t, _, _ in held])
     classes = np.repeat(np.array([c for _, c, _ in held], np.int64), lengths)
     sizes = np.repeat(np.array([s for _, _, s in held], np.int32), lengths)
+    places = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
     level = (tokens >> np.uint64(64 - LEVEL_BITS)).astype(np.float64)
     # The number of rows the shingle may have, judged by its level.
     runs = np.maximum(1, np.where(level > 0, mean / 2 * 2 ** (level / 1.5), 0) / RUN_ROWS).astype(np.uint64)
     salt = ((classes.view(np.uint64) >> np.uint64(8)) % runs).astype(np.int32)
     return pa.RecordBatch.from_arrays(
-        [pa.array(tokens.view(np.int64)), pa.array(salt), pa.array(classes), pa.array(sizes), pa.array(runs > 1)],
-        ["token", "salt", "class", "size", "split"],
+        [pa.array(tokens.view(np.int64)), pa.array(salt), pa.array(classes), pa.array(sizes), pa.array(places), pa.array(runs > 1)],
+        ["token", "salt", "class", "size", "pos", "split"],
     )
 
 
-_SHARED = "token long, class long, size int, center long, center_size int, split boolean"
+_SHARED = "token long, class long, size int, pos int, center long, center_size int, center_pos int, split boolean"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (token, salt, class): those of runs with several classes, with the first class.
+    """From rows sorted by (token, salt, pos, class): those of runs with several classes, with the first one.
 
     Of the run that is open, only its first row and its last class are kept between batches.
     """
     first, latest, emitted = None, None, False
     for batch in batches:
         rows = batch.to_pandas()
-        rows = rows[["token", "salt", "class", "size", "split"]]
+        rows = rows[["token", "salt", "class", "size", "pos", "split"]]
         if first is not None:
             rows = pd.concat([first, rows], ignore_index=True)
         token, salt, name = (rows[c].to_numpy() for c in ("token", "salt", "class"))
@@ -253,9 +255,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(out):
             at = begin[take]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[c].to_numpy()) for c in ("token", "class", "size")]
-                + [pa.array(center[take]), pa.array(rows["size"].to_numpy()[at]), pa.array(out["split"].to_numpy())],
-                ["token", "class", "size", "center", "center_size", "split"],
+                [pa.array(out[c].to_numpy()) for c in ("token", "class", "size", "pos")]
+                + [pa.array(center[take])]
+                + [pa.array(rows[c].to_numpy()[at]) for c in ("size", "pos")]
+                + [pa.array(out["split"].to_numpy())],
+                ["token", "class", "size", "pos", "center", "center_size", "center_pos", "split"],
             )
         last = begin[-1]
         emitted = bool(several[-1]) or (emitted and last == 0 and first is not None)
@@ -305,8 +309,14 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("b", "b_tokens", "a", "a_tokens").mapInArrow(_checked, "a long, b long")
 
 
-def _alike_size(a, b):
-    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+def _early(size_a: str, pos_a: str, size_b: str, pos_b: str):
+    """Whether a common shingle at these places can be one of the first COMMON of a similar pair.
+
+    From the first common shingle on, both sets have to hold the overlap they need; the
+    next ones lie one place further each.
+    """
+    a, i, b, j = (F.col(c) for c in (size_a, pos_a, size_b, pos_b))
+    return F.least(a - i, b - j) + (COMMON - 1) >= _needed(a, b)
 
 
 def _needed(a, b):
@@ -328,10 +338,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     levels = spark.sparkContext.broadcast(table)
 
     prefixes = texts.select("text").mapInArrow(
-        _prefixes(levels, max(mean, 2.0)), "token long, salt int, class long, size int, split boolean"
+        _prefixes(levels, max(mean, 2.0)), "token long, salt int, class long, size int, pos int, split boolean"
     )
     shared = stored(
-        prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "class").mapInArrow(_runs, _SHARED),
+        prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "pos", "class").mapInArrow(_runs, _SHARED),
         "jaccard-shared",
     )
     # Without COMMON shared shingles (or all it needs, if fewer) a class has no partner.
@@ -347,19 +357,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Each class is compared first with the class it shares most prefix shingles with.
     best = (
         shared.where("class <> center")
-        .where(_alike_size(F.col("size"), F.col("center_size")))
+        .where(_early("size", "pos", "center_size", "center_pos"))
         .groupBy(F.col("class").alias("a"), F.col("center").alias("b"))
         .agg(F.count("*").alias("n"))
         .groupBy("a")
         .agg(F.max(F.struct("n", "b")).alias("best"))
         .select("a", F.col("best.b").alias("b"))
     )
-    heads = shared.where("split").select("token", "center", "center_size").distinct()
-    tops = heads.groupBy("token").agg(F.min(F.struct("center", "center_size")).alias("top"))
+    heads = shared.where("split").select("token", "center", "center_size", "center_pos").distinct()
+    tops = heads.groupBy("token").agg(F.min(F.struct("center_pos", "center", "center_size")).alias("top"))
     across = (
         heads.join(tops, "token")
         .where(F.col("center") != F.col("top.center"))
-        .where(_alike_size(F.col("center_size"), F.col("top.center_size")))
+        .where(_early("center_size", "center_pos", "top.center_size", "top.center_pos"))
         .select(F.col("center").alias("a"), F.col("top.center").alias("b"))
     )
     # One document per class gives its set.
@@ -371,19 +381,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = components(links)
 
     named = shared.join(wanted.select("class"), "class").join(first.withColumnRenamed("node", "class"), "class", "left").select(
-        "token", "class", "size", F.coalesce("component", "class").alias("component")
+        "token", "class", "size", "pos", F.coalesce("component", "class").alias("component")
     )
     named = stored(named.distinct(), "jaccard-named")
     mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    left = named.join(mixed, "token").select("token", *[F.col(c).alias(f"{c}_a") for c in ("class", "size", "component")])
-    right = named.select("token", *[F.col(c).alias(f"{c}_b") for c in ("class", "size", "component")])
+    left = named.join(mixed, "token").select("token", *[F.col(c).alias(f"{c}_a") for c in ("class", "size", "pos", "component")])
+    right = named.select("token", *[F.col(c).alias(f"{c}_b") for c in ("class", "size", "pos", "component")])
     across = (
         left.join(right, "token")
         .where("component_a < component_b")
-        .where(_alike_size(F.col("size_a"), F.col("size_b")))
+        .where(_early("size_a", "pos_a", "size_b", "pos_b"))
         .groupBy(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-        .agg(F.count("*").alias("n"), F.first(_needed(F.col("size_a"), F.col("size_b"))).alias("needed"))
-        .where(F.col("n") >= F.least(F.lit(COMMON), F.col("needed")))
+        .agg(
+            F.count("*").alias("n"),
+            F.first(_needed(F.col("size_a"), F.col("size_b"))).alias("needed"),
+            # Nothing is shared before the first common shingle.
+            F.max(F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))).alias("rest"),
+        )
+        .where((F.col("n") >= F.least(F.lit(COMMON), F.col("needed"))) & (F.col("rest") >= F.col("needed")))
         .select("a", "b")
     )
     more = stored(_verify(across, sets), "jaccard-more")

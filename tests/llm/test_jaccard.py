@@ -94,13 +94,13 @@ def test_runs_over_batches():
 
     rng = np.random.default_rng(4)
     rows = sorted((int(t), int(s), int(c)) for t, s, c in zip(rng.integers(0, 40, 400), rng.integers(0, 2, 400), rng.integers(0, 9, 400)))
-    names = ["token", "salt", "class", "size", "split"]
+    names = ["token", "salt", "class", "size", "pos", "split"]
 
     def batches(step):
         for i in range(0, len(rows), step):
             part = rows[i : i + step]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in part], pa.int64()) for k in range(3)] + [pa.array([r[2] for r in part], pa.int32()), pa.array([True] * len(part))], names
+                [pa.array([r[k] for r in part], pa.int64()) for k in range(3)] + [pa.array([r[2] for r in part], pa.int32())] * 2 + [pa.array([True] * len(part))], names
             )
 
     groups = defaultdict(set)
