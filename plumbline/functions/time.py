@@ -27,6 +27,9 @@ def hours_before(as_of: AsOf, hours: int) -> Column:
 
 
 def seconds_between(earlier: Column, later: Column) -> Column:
-    """Elapsed seconds, with fractions, as a double."""
-    micros = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
-    return micros / F.lit(1000000.0)
+    """Elapsed seconds, with fractions, as a double.
+
+    The times carry no zone, so their difference is that of the clock readings, whatever
+    the zone of the session and its clock changes are.
+    """
+    return F.timestamp_diff("MICROSECOND", earlier.cast("timestamp_ntz"), later.cast("timestamp_ntz")) / F.lit(1000000.0)

@@ -170,7 +170,45 @@ def _result(check: Check, fail: Column, total: Column, error: Column | None = No
 
 
 def _row_checks(df: DataFrame, checks: Sequence[Check], as_of) -> DataFrame:
-    """All row checks of one table in one aggregation, then one row per check."""
+    """All row checks of one table in one aggregation, then one row per check.
+
+    Where an expression could fail on some value, the aggregation runs at once; if it
+    fails, the checks are halved until only the culprits are left, which become ``error``.
+    """
+    if any(_may_fail(df, c) for c in checks):
+        return df.sparkSession.createDataFrame(_isolated(df, checks, as_of), CHECK_RESULT)
+    return _fused(df, checks, as_of)
+
+
+def _may_fail(df: DataFrame, check: Check) -> bool:
+    """Whether a value can end the job: expressions of users, texts compared with numbers."""
+    if check.shape == "predicate":
+        return True
+    bounds = [check.params.get(k) for k in ("min_value", "max_value")]
+    bounds += list(check.params.get("accepted_values") or ())
+    if check.shape not in ("range", "accepted_values"):
+        return False
+    text = isinstance(df.schema[check.columns[0]].dataType, T.StringType)
+    return any(b is not None and text != isinstance(b, str) for b in bounds)
+
+
+def _message(problem: Exception) -> str:
+    return str(problem).strip().partition("\n")[0] or type(problem).__name__
+
+
+def _isolated(df: DataFrame, checks: Sequence[Check], as_of) -> list[tuple]:
+    """Result rows, one per check."""
+    try:
+        return [tuple(r) for r in _fused(df, checks, as_of).collect()]
+    except Exception as problem:
+        if len(checks) == 1:
+            c = checks[0]
+            return [(c.rule, c.table, c.column_label, c.severity, None, None, "error", _message(problem))]
+    half = len(checks) // 2
+    return _isolated(df, checks[:half], as_of) + _isolated(df, checks[half:], as_of)
+
+
+def _fused(df: DataFrame, checks: Sequence[Check], as_of) -> DataFrame:
     aggregates = []
     for i, check in enumerate(checks):
         fail, total = _row_aggregates(check, as_of)
@@ -245,7 +283,7 @@ def _problem(df: DataFrame, check: Check, as_of, tables: Mapping[str, DataFrame]
         elif check.shape not in GROUP_SHAPES:
             return f"unknown check shape {check.shape!r}"
     except Exception as problem:  # an expression Spark cannot resolve
-        return str(problem).strip().partition("\n")[0] or type(problem).__name__
+        return _message(problem)
     return None
 
 
@@ -256,8 +294,9 @@ def scan(
 ) -> DataFrame:
     """Run all enabled checks on their tables; one result row each.
 
-    A check that cannot be planned becomes an ``error`` row and does not stop
-    the others.
+    A check that cannot be planned, or that fails on a value of the table, becomes an
+    ``error`` row and does not stop the others. Row checks of a table are one scan; a
+    check of keys or references groups the table once more by its own keys.
     """
     by_table: dict[str, list[Check]] = {}
     for check in checks:
@@ -294,15 +333,19 @@ def scan_groups(
     df: DataFrame,
     keys: Sequence[Column],
     checks: Sequence[Check],
+    as_of: AsOf | None = None,
 ) -> DataFrame:
-    """Row checks per group (a partition, a tenant, a day): the keys plus the result columns.
+    """Enabled row checks per group (a partition, a tenant, a day): the keys plus the result columns.
 
     One aggregation for all groups and checks; only counters cross the network.
     """
+    checks = [c for c in checks if c.enabled]
+    if not checks:
+        raise ValueError("no enabled check to run")
     names = [f"__key_{i}" for i in range(len(keys))]
     aggregates = []
     for i, check in enumerate(checks):
-        fail, total = _row_aggregates(check, None)
+        fail, total = _row_aggregates(check, as_of)
         aggregates += [fail.alias(f"fail_{i}"), total.alias(f"total_{i}")]
     counted = df.groupBy(*keys).agg(*aggregates)
     kept = counted.columns[: len(names)]
@@ -371,20 +414,21 @@ def reconcile(results: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def execution_log(instances: DataFrame, results: DataFrame, executed_at: Column) -> DataFrame:
-    """One row per instance that ran: failed with its counts, else passed.
+    """One row per instance that ran: failed or error with its counts, else passed.
 
-    ``instances``: instance_id. ``results``: instance_id, fail_count, total_count of
-    the failing instances (one row each).
+    ``instances``: instance_id. ``results``: instance_id, fail_count, total_count and,
+    if there are errors among them, status of the failing instances (one row each).
     """
+    outcome = F.when(F.col("status") == "error", "error").when(F.col("status") == "passed", "passed") if "status" in results.columns else F.lit(None)
     failed = results.select(
         "instance_id",
         F.col("fail_count").alias("__fail"),
         F.col("total_count").alias("__total"),
-        F.lit(True).alias("__failed"),
+        F.coalesce(outcome, F.lit("failed")).alias("__outcome"),
     )
     return instances.join(failed, "instance_id", "left").select(
         *[F.col(c) for c in instances.columns],
-        F.when(F.col("__failed"), "failed").otherwise("passed").alias("status"),
+        F.coalesce("__outcome", F.lit("passed")).alias("status"),
         F.col("__fail").alias("fail_count"),
         F.col("__total").alias("total_count"),
         executed_at.alias("executed_at"),

@@ -34,7 +34,7 @@ def pass_rates(executions: DataFrame, limit: int = policy.HISTORY_LIMIT) -> Data
     """Per instance over its last runs: counts by status, pass rate, latest status and time."""
     counted = recent_executions(executions, limit).groupBy("instance_id").agg(
         *[F.count_if(F.col("status") == s).alias(s) for s in COUNTED],
-        F.max_by("status", "executed_at").alias("latest_status"),
+        F.max(F.struct("executed_at", "status"))["status"].alias("latest_status"),
         F.max("executed_at").alias("last_executed_at"),
     )
     runs = F.col("passed") + F.col("failed") + F.col("error")
@@ -83,9 +83,11 @@ def rule_ranking_order() -> list[Column]:
 
 def daily_trend(executions: DataFrame, as_of: AsOf | None = None, days: int = 30) -> DataFrame:
     """Runs by day and status with the share passed."""
+    if days <= 0:
+        raise ValueError("days must be positive")
     rows = executions
     if as_of is not None:
-        rows = rows.where(F.col("executed_at").between(days_before(as_of, max(1, min(days, 365))), moment(as_of)))
+        rows = rows.where(F.col("executed_at").between(days_before(as_of, days), moment(as_of)))
     counted = rows.groupBy(F.col("executed_at").cast("date").alias("day")).agg(
         *[F.count_if(F.col("status") == s).alias(s) for s in COUNTED]
     )
@@ -156,12 +158,14 @@ def fleet_tables(
 
 def worst_tables(fleet: DataFrame, top_n: int = 8) -> DataFrame:
     """Most open incidents first, then lowest pass rate (unknown counts as 1), then most failures."""
+    if top_n <= 0:
+        raise ValueError("top_n must be positive")
     return fleet.orderBy(
         F.col("open_findings").desc(),
         F.coalesce("pass_rate", F.lit(1.0)),
         F.col("failed").desc(),
         *TABLE,
-    ).limit(max(1, min(top_n, 50)))
+    ).limit(top_n)
 
 
 def fleet_incidents(findings: DataFrame) -> DataFrame:

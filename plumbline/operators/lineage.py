@@ -45,17 +45,28 @@ def fqn(database: Column, schema: Column, table: Column) -> Column:
 
 
 def dedupe_edges(edges: DataFrame, order_by: str | None = None) -> DataFrame:
-    """One edge per (source, target, type); the last by ``order_by`` wins."""
-    if order_by is None:
-        return edges.dropDuplicates(list(EDGE_KEY))
+    """One edge per (source, target, type); the last by ``order_by`` wins.
+
+    Without an order, and among equals, the smallest values of the other columns win.
+    """
     rest = [c for c in edges.columns if c not in EDGE_KEY]
-    return edges.groupBy(*EDGE_KEY).agg(F.max_by(F.struct(*rest), order_by).alias("e")).select(
+    if not rest:
+        return edges.distinct()
+    best = F.min(F.struct(*rest))
+    if order_by is not None:
+        newest = edges.groupBy(*EDGE_KEY).agg(F.max(order_by).alias("__last"))
+        edges = edges.join(newest, list(EDGE_KEY)).where(F.col(order_by).eqNullSafe(F.col("__last")))
+    return edges.groupBy(*EDGE_KEY).agg(best.alias("e")).select(
         *EDGE_KEY, *[F.col(f"e.{c}").alias(c) for c in rest]
     )
 
 
 def edges_from_dependencies(dependencies: DataFrame) -> DataFrame:
-    """Edges referenced -> referencing; rows without a database or a name are dropped."""
+    """Edges referenced -> referencing; rows without a database or a name are dropped.
+
+    Where rows of one edge disagree about its kinds, the smallest (source kind, target
+    kind, edge type) counts.
+    """
 
     def side(prefix: str, alias: str) -> list[Column]:
         db, sc, tb = (F.col(f"{prefix}_{c}") for c in ("database", "schema", "name"))
@@ -107,13 +118,14 @@ def _walk(edges: DataFrame, start: DataFrame, visited: DataFrame, hops: int, ups
 
 
 def lineage_walk(edges: DataFrame, focus: str, hops: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) within ``hops`` (1 to 10) of a table.
+    """(nodes, edges) within ``hops`` of a table; the walk ends early where nothing new is found.
 
     Nodes: fqn, depth, direction. The upstream side is walked first, and a node
     both sides reach belongs to it. Edges: the key and the side that uses them.
     Give the edges as a stored table: every hop reads them.
     """
-    hops = max(1, min(int(hops or 3), 10))
+    if hops <= 0:
+        raise ValueError("hops must be positive")
     start = edges.sparkSession.createDataFrame([(focus, 0)], "fqn string, depth int")
     links = edges.select(*EDGE_KEY)
     up = _walk(links, start, start.select("fqn"), hops, upstream=True)
@@ -219,20 +231,34 @@ def endpoints(edges: DataFrame) -> DataFrame:
 
 
 def ghost_nodes(edges: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Endpoints the catalog does not know: external tables under their schema."""
+    """Endpoints the catalog does not know, with the schemas and databases they lie in.
+
+    A schema or database box is external too if the catalog has no object in it.
+    ``catalog`` has fqn and table, and database and schema where boxes are wanted.
+    """
     complete = F.col("database").isNotNull() & F.col("schema").isNotNull() & F.col("table").isNotNull()
-    return (
-        endpoints(edges)
-        .where(complete)
-        .join(catalog.where(F.col("table").isNotNull()).select("fqn"), "fqn", "left_anti")
-        .select(
-            F.col("fqn").alias("id"),
-            F.concat(F.lit("sc:"), "database", F.lit("."), "schema").alias("parent_id"),
-            F.col("table").alias("label"),
-            "kind",
-            F.lit(True).alias("is_external"),
+    unknown = (
+        endpoints(edges).where(complete).join(catalog.where(F.col("table").isNotNull()).select("fqn"), "fqn", "left_anti")
+    )
+    schema_id = F.concat(F.lit("sc:"), "database", F.lit("."), "schema")
+    database_id = F.concat(F.lit("db:"), "database")
+    external = F.lit(True).alias("is_external")
+    tables = unknown.select(
+        F.col("fqn").alias("id"), schema_id.alias("parent_id"), F.col("table").alias("label"), "kind", external
+    )
+    if not {"database", "schema"} <= set(catalog.columns):
+        return tables
+    places = unknown.select("database", "schema").distinct()
+    schemas = places.join(catalog.select("database", "schema"), ["database", "schema"], "left_anti").select(
+        schema_id.alias("id"), database_id.alias("parent_id"), F.col("schema").alias("label"), F.lit("schema").alias("kind"), external
+    )
+    databases = (
+        places.select("database").distinct().join(catalog.select("database"), "database", "left_anti").select(
+            database_id.alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("database").alias("label"),
+            F.lit("database").alias("kind"), external,
         )
     )
+    return tables.unionByName(schemas).unionByName(databases)
 
 
 def schema_graph(edges: DataFrame, overlaid: DataFrame, database: str, schema: str) -> tuple[DataFrame, DataFrame]:

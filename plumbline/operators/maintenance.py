@@ -30,16 +30,12 @@ def flapping(findings: DataFrame) -> DataFrame:
 def retire_candidates(executions: DataFrame, findings: DataFrame, as_of: AsOf) -> DataFrame:
     """Instances that ran lately, never failed lately and were never reopened.
 
-    Only the last runs of each instance are looked at; the rank filter limits them
-    per task before the shuffle.
+    Every run counts: those of the quiet period for the numbers, the whole log for the
+    last failure. One aggregation, so a rule that runs often is counted map-side.
     """
-    newest = W.partitionBy("instance_id").orderBy(F.col("executed_at").desc())
-    recent = executions.withColumn("recency", F.row_number().over(newest)).where(
-        F.col("recency") <= policy.EXECUTION_LOOKBACK
-    )
     inside = F.col("executed_at") >= days_before(as_of, policy.RETIRE_QUIET_DAYS)
     failed = F.col("status") == "failed"
-    counted = recent.groupBy("instance_id").agg(
+    counted = executions.groupBy("instance_id").agg(
         F.count_if(inside).alias("recent_runs"),
         F.count_if(inside & failed).alias("recent_failures"),
         F.max(F.when(failed, F.col("executed_at"))).alias("last_failure_at"),
@@ -291,14 +287,16 @@ def similar_tables(logs: DataFrame, focus: str, limit: int = 5) -> DataFrame:
     )
 
 
-def lesson_feed(lessons: DataFrame, limit: int = policy.LESSON_LIMIT) -> DataFrame:
-    """The latest review lessons per bare table name. ``lessons``: lesson_id, table_fqn, created_at, ..."""
+def lesson_feed(lessons: DataFrame, limit: int | None = None) -> DataFrame:
+    """Review lessons per bare table name, with ``recency`` 1 for the latest.
+
+    ``lessons``: lesson_id, table_fqn, created_at, ... ``limit`` keeps the latest few per table.
+    """
     newest = W.partitionBy("bare_table").orderBy(F.col("created_at").desc(), F.col("lesson_id").desc())
-    return (
-        lessons.withColumn("bare_table", bare_name(F.col("table_fqn")))
-        .withColumn("recency", F.row_number().over(newest))
-        .where(F.col("recency") <= limit)
+    ranked = lessons.withColumn("bare_table", bare_name(F.col("table_fqn"))).withColumn(
+        "recency", F.row_number().over(newest)
     )
+    return ranked if limit is None else ranked.where(F.col("recency") <= limit)
 
 
 def verdict_counts(lessons: DataFrame) -> DataFrame:
@@ -310,9 +308,11 @@ def verdict_counts(lessons: DataFrame) -> DataFrame:
 
 
 def relevant_definitions(
-    definitions: DataFrame, column_names: Sequence[str], cap: int = policy.RELEVANT_DEFINITIONS
+    definitions: DataFrame, column_names: Sequence[str], cap: int | None = None
 ) -> DataFrame:
-    """Definitions that suit a table's columns best: shared words (at most five) and approval rate.
+    """How well definitions suit a table's columns: two points per shared word plus the approval rate.
+
+    Best first; ``cap`` keeps the best few.
 
     ``definitions``: definition_id, name, description, approvals, rejections.
     """
@@ -324,12 +324,9 @@ def relevant_definitions(
     shared = F.size(F.array_intersect(tokens, F.array(*[F.lit(w) for w in words]).cast("array<string>")))
     decided = F.coalesce("approvals", F.lit(0)) + F.coalesce("rejections", F.lit(0))
     rate = F.coalesce("approvals", F.lit(0)) / F.nullif(decided, F.lit(0))
-    score = F.least(shared, F.lit(policy.RELEVANCE_TOKEN_CAP)) * 2.0 + F.coalesce(rate, F.lit(0.0))
-    return (
-        definitions.select("definition_id", score.alias("score"))
-        .orderBy(F.col("score").desc(), "definition_id")
-        .limit(cap)
-    )
+    score = shared * 2.0 + F.coalesce(rate, F.lit(0.0))
+    ordered = definitions.select("definition_id", score.alias("score")).orderBy(F.col("score").desc(), "definition_id")
+    return ordered if cap is None else ordered.limit(cap)
 
 
 def signals_missed(expected: DataFrame, evaluated: DataFrame) -> DataFrame:

@@ -254,9 +254,10 @@ def baselines(
 
 
 def latest_baselines(history: DataFrame) -> DataFrame:
-    """The newest baseline of each key. ``history`` has updated_at."""
+    """The newest baseline of each key. ``history`` has updated_at; ties go to the larger values."""
     rest = [c for c in history.columns if c not in KEYS]
-    return history.groupBy(*KEYS).agg(F.max_by(F.struct(*rest), "updated_at").alias("b")).select(
+    newest = F.max(F.struct("updated_at", *[c for c in rest if c != "updated_at"])).alias("b")
+    return history.groupBy(*KEYS).agg(newest).select(
         *KEYS, *[F.col(f"b.{c}").alias(c) for c in rest]
     )
 
@@ -266,8 +267,11 @@ def ready(baseline_rows: DataFrame) -> DataFrame:
 
 
 def latest_snapshots(snapshots: DataFrame) -> DataFrame:
-    """The newest snapshot of each key, by aggregation: no series is sorted."""
-    newest = F.max_by(F.struct("metric_value", "observed_values", "captured_at"), "captured_at")
+    """The newest snapshot of each key, by aggregation: no series is sorted.
+
+    Of several at one moment the one with the larger value counts.
+    """
+    newest = F.max(F.struct("captured_at", "metric_value", "observed_values"))
     return snapshots.groupBy(*KEYS).agg(newest.alias("s")).select(
         *KEYS,
         F.col("s.metric_value").alias("latest_value"),
@@ -305,7 +309,8 @@ def metric_anomaly(snapshots: DataFrame, baseline_rows: DataFrame, deviations: f
 def metric_relative_change(snapshots: DataFrame, max_pct_change: float = 25.0) -> DataFrame:
     """fail_count 1 where the last two snapshots differ by more than a percentage."""
     recent = snapshots.select(*KEYS, "captured_at", "metric_value").withColumn(
-        "rank", F.row_number().over(W.partitionBy(*KEYS).orderBy(F.col("captured_at").desc()))
+        "rank",
+        F.row_number().over(W.partitionBy(*KEYS).orderBy(F.col("captured_at").desc(), F.col("metric_value").desc())),
     )
     pairs = (
         recent.where(F.col("rank") <= 2)
@@ -348,8 +353,8 @@ def fleet_breaches(
     snapshots: DataFrame, baseline_rows: DataFrame, min_deviations: float = 2.0, limit: int = 50
 ) -> DataFrame:
     """Metrics whose latest value is furthest off its mature baseline, worst first (a top-n report)."""
-    if min_deviations <= 0:
-        raise ValueError("min_deviations must be positive")
+    if min_deviations <= 0 or limit <= 0:
+        raise ValueError("min_deviations and limit must be positive")
     mature = ready(baseline_rows).where((F.col("mad") > 0) & F.col("median").isNotNull())
     found = (
         null_safe_join(mature, latest_snapshots(snapshots), KEYS)
@@ -359,7 +364,7 @@ def fleet_breaches(
     )
     return (
         found.orderBy(F.col("deviations").desc(), *KEYS)
-        .limit(max(1, min(limit, 500)))
+        .limit(limit)
         .select(*KEYS, "latest_value", "latest_at", "median", "mad", "sample_count", "deviations", "severity")
     )
 
@@ -375,7 +380,8 @@ def metric_status(sample_count: Column, deviations: Column) -> Column:
 
 def asset_metrics(snapshots: DataFrame, baseline_rows: DataFrame, points: int = 20) -> DataFrame:
     """Each baseline with its latest value, status and the last points, oldest first."""
-    points = max(2, min(points, 60))
+    if points <= 0:
+        raise ValueError("points must be positive")
     ranked = snapshots.withColumn(
         "rank", F.row_number().over(W.partitionBy(*KEYS).orderBy(F.col("captured_at").desc()))
     )
@@ -413,6 +419,8 @@ def metric_history(
 
     ``breaches``: captured_at of the scans that raised a finding on this metric.
     """
+    if limit <= 0:
+        raise ValueError("limit must be positive")
 
     def one(df: DataFrame) -> DataFrame:
         return df.where(
@@ -421,7 +429,7 @@ def metric_history(
             & F.col("column_name").eqNullSafe(F.lit(column_name))
         )
 
-    last = one(snapshots).orderBy(F.col("captured_at").desc()).limit(min(limit, 500))
+    last = one(snapshots).orderBy(F.col("captured_at").desc()).limit(limit)
     marked = last.join(
         breaches.select("captured_at").distinct().withColumn("__hit", F.lit(True)), "captured_at", "left"
     )
@@ -442,14 +450,13 @@ def anomaly_proposals(
     baseline_rows: DataFrame,
     existing: DataFrame,
     proposals: DataFrame,
-    cap: int = policy.MAX_PROPOSALS_PER_SCAN,
 ) -> DataFrame:
     """Rules to propose for mature baselines nothing covers yet.
 
     ``existing``: rule instances (asset_id, column_name, metric_name, shape) of any
     status. ``proposals``: earlier proposals with status; pending and rejected ones
-    block. The first ``cap`` per asset by priority are proposed now, the rest in a
-    later scan.
+    block. All are returned, with their ``rank`` by priority within the asset; who
+    wants a few per scan filters by it.
     """
     names = F.array(*[F.lit(m) for m in policy.METRIC_PROPOSALS])
     chain_shape, chain_severity, chain_rank = F, F, F
@@ -469,7 +476,6 @@ def anomaly_proposals(
     )
     return (
         free.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= cap)
         .withColumn("deviations", F.when(F.col("shape") == "metric_anomaly", F.lit(3.0)))
     )
 

@@ -371,11 +371,13 @@ def row_sample(
     limit: int = 20,
     order_by: Sequence[str] = (),
 ) -> DataFrame:
-    """At most 20 rows of at most 10 columns that satisfy an optional predicate."""
+    """``limit`` rows of the given columns that satisfy an optional predicate."""
+    if limit <= 0:
+        raise ValueError("limit must be positive")
     rows = df.where(F.expr(predicate)) if predicate else df
     if order_by:
         rows = rows.orderBy(*[_col(c) for c in order_by])
-    return rows.select(*[_col(c) for c in columns[:10]]).limit(min(limit, 20))
+    return rows.select(*[_col(c) for c in columns]).limit(limit)
 
 
 def anomaly_signals(profile: DataFrame, rules: ProfilePolicy = ProfilePolicy()) -> DataFrame:

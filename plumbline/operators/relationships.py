@@ -135,27 +135,22 @@ def discover(
     tables: Mapping[str, DataFrame],
     columns_meta: DataFrame,
     naming: NamingPolicy = NamingPolicy(),
-    max_verifications: int | None = None,
 ) -> DataFrame:
     """The relationship catalog with the orphan rate of every candidate that can be joined.
 
     The candidate list is metadata and decides which joins to plan; each orphan
     rate is an exact distributed job on keys reduced to one row per value.
-    ``max_verifications`` leaves later candidates unverified (default: none).
     """
     spark = columns_meta.sparkSession
     keys = classify_keys(columns_meta, naming)
     owners = key_owners(keys, uniqueness_ratios(tables, keys))
     listed = candidates(keys, owners).orderBy(*PAIR).collect()
-    fixed, parts, verified = [], [], 0
+    fixed, parts = [], []
     for row in listed:
         pair = tuple(row[c] for c in PAIR)
-        if max_verifications is not None and verified >= max_verifications:
-            fixed.append((*pair, "confirmed", "name_match_unverified", None, None, None))
-        elif not row["type_ok"]:
+        if not row["type_ok"]:
             fixed.append((*pair, "rejected", "type_mismatch", None, None, None))
         else:
-            verified += 1
             counted = unmatched_counts(
                 tables[row["from_table"]], row["from_column"], tables[row["to_table"]], row["to_column"]
             )

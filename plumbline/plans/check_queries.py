@@ -253,3 +253,25 @@ def reconciled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         samples = counted if samples is None else samples.unionByName(counted)
     return checks.reconcile(checks.scan(tables, wanted), samples)
+
+
+@query(
+    "scan_with_broken_rules",
+    """SELECT 'priority_range' AS rule, CAST(NULL AS BIGINT) AS fail_count, CAST(NULL AS BIGINT) AS total_count, 'error' AS status
+       UNION ALL SELECT 'one_by_zero', NULL, NULL, 'error'
+       UNION ALL SELECT 'price_range', count(*) FILTER (WHERE o_totalprice > 100000), count(o_totalprice),
+                        CASE WHEN count(*) FILTER (WHERE o_totalprice > 100000) > 0 THEN 'failed' ELSE 'passed' END FROM orders
+       UNION ALL SELECT 'open_orders', count(*) FILTER (WHERE o_orderstatus = 'O'), count(*),
+                        CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'O') > 0 THEN 'failed' ELSE 'passed' END FROM orders""",
+)
+def scan_with_broken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rules fail on values of the table; they alone become errors."""
+    orders = read_tables(spark, sf_dir, ["orders"])["orders"]
+    rules = [
+        build_check("range", "orders", {"column": "o_orderpriority"}, {"min": 1}, rule="priority_range"),
+        build_check("range", "orders", {"column": "o_totalprice"}, {"max": 100000}, rule="price_range"),
+        build_check("predicate", "orders", {}, {"fails_if": "1 / (o_custkey - o_custkey) > 2"}, rule="one_by_zero"),
+        build_check("predicate", "orders", {}, {"fails_if": "o_orderstatus = 'O'"}, rule="open_orders"),
+        build_check("not_null", "orders", {"column": "o_custkey"}, rule="switched_off", enabled=False),
+    ]
+    return checks.scan({"orders": orders}, rules).select("rule", "fail_count", "total_count", "status")

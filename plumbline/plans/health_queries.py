@@ -85,13 +85,13 @@ def column_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT instance_id, latest_status, severity, definition_id AS name FROM instances JOIN rates USING (instance_id)
         ORDER BY CASE latest_status WHEN 'failed' THEN 0 WHEN 'error' THEN 1 WHEN 'passed' THEN 3 ELSE 2 END,
                  CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END,
-                 name, instance_id LIMIT 25""",
+                 name, instance_id""",
 )
 def rule_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 25 rules that need attention first."""
+    """All rules, those that need attention first."""
     rules = derived.instances(spark, sf_dir).join(health.pass_rates(derived.executions(spark, sf_dir)), "instance_id")
     named = rules.select("instance_id", "latest_status", "severity", F.col("definition_id").alias("name"))
-    return named.orderBy(*health.rule_ranking_order()).limit(25)
+    return named.orderBy(*health.rule_ranking_order())
 
 
 @query(

@@ -262,12 +262,17 @@ _SUPPLY = """supply AS (SELECT 'SUPPLY.' || n_name || '.' || s_name AS fqn FROM
     f"""WITH {GRAPH_CTE}, {_SUPPLY}, ends AS (
           SELECT source_database AS d, source_schema AS s, source_table AS t, source_fqn AS fqn, source_kind AS kind FROM edges
           UNION SELECT target_database, target_schema, target_table, target_fqn, target_kind FROM edges)
-        SELECT fqn AS id, 'sc:' || d || '.' || s AS parent_id, t AS label, kind, true AS is_external
-        FROM ends WHERE fqn NOT IN (SELECT fqn FROM supply)""",
+        , unknown AS (SELECT * FROM ends WHERE fqn NOT IN (SELECT fqn FROM supply)),
+        held AS (SELECT DISTINCT split_part(fqn, '.', 1) AS d, split_part(fqn, '.', 2) AS s FROM supply)
+        SELECT fqn AS id, 'sc:' || d || '.' || s AS parent_id, t AS label, kind, true AS is_external FROM unknown
+        UNION ALL SELECT DISTINCT 'sc:' || d || '.' || s, 'db:' || d, s, 'schema', true FROM unknown
+                  WHERE (d, s) NOT IN (SELECT (d, s) FROM held)
+        UNION ALL SELECT DISTINCT 'db:' || d, CAST(NULL AS VARCHAR), d, 'database', true FROM unknown
+                  WHERE d NOT IN (SELECT d FROM held)""",
 )
 def lineage_ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = derived.places(spark, sf_dir).where(F.col("balance") >= 0).select(
-        F.concat_ws(".", F.lit("SUPPLY"), "schema", "table").alias("fqn"), "table"
+        F.concat_ws(".", F.lit("SUPPLY"), "schema", "table").alias("fqn"), F.lit("SUPPLY").alias("database"), "schema", "table"
     )
     return lineage.ghost_nodes(graph(spark, sf_dir), known)
 

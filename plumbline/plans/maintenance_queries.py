@@ -424,7 +424,7 @@ def _lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
     "lesson_feed",
     """SELECT lesson_id, bare_table, verdict, CAST(recency AS INTEGER) AS recency FROM (
          SELECT o_orderkey AS lesson_id, 'C' || o_custkey AS bare_table, CASE WHEN o_orderstatus = 'F' THEN 'approved' ELSE 'rejected' END AS verdict,
-                row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS recency FROM orders) WHERE recency <= 20""",
+                row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS recency FROM orders)""",
 )
 def lesson_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.lesson_feed(_lessons(spark, sf_dir)).select("lesson_id", "bare_table", "verdict", "recency")
@@ -448,10 +448,9 @@ _COLUMN_NAMES = ("small_ring", "RED_WIDGET", "ECONOMY")
                        lambda t: lower(t))) AS tokens, count(l_orderkey) FILTER (WHERE l_returnflag = 'N') AS a,
                   count(l_orderkey) FILTER (WHERE l_returnflag = 'R') AS r
              FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey, p_name, p_type)
-       SELECT definition_id, round(least(len(list_intersect(tokens, ['small', 'ring', 'red', 'widget', 'economy'])), 5) * 2.0
+       SELECT definition_id, round(len(list_intersect(tokens, ['small', 'ring', 'red', 'widget', 'economy'])) * 2.0
               + coalesce(a / CAST(nullif(a + r, 0) AS DOUBLE), 0), 6) AS score
-       FROM s ORDER BY least(len(list_intersect(tokens, ['small', 'ring', 'red', 'widget', 'economy'])), 5) * 2.0
-              + coalesce(a / CAST(nullif(a + r, 0) AS DOUBLE), 0) DESC, definition_id LIMIT 30""",
+       FROM s""",
 )
 def relevant_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read_tables(spark, sf_dir, ["part", "lineitem"])

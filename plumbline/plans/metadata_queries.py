@@ -322,3 +322,34 @@ def replace_scope_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = orders.where((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 250000))
     state.replace_scope(again.withColumn("written", F.lit("second")), path, ["o_orderstatus"])
     return spark.read.parquet(path).groupBy("o_orderstatus", "written").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "replace_scope_empty",
+    """SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1""",
+)
+def replace_scope_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scope replaced by nothing is gone; the others stay."""
+    orders = read_tables(spark, sf_dir, ["orders"])["orders"].select("o_orderkey", "o_orderstatus")
+    path = fresh_path(spark, "order-versions")
+    state.replace_where(orders, path, F.lit(False))
+    state.replace_where(orders.where("false"), path, F.col("o_orderstatus") == "F")
+    return state.read_version(spark, path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "replace_edges_either_side",
+    """SELECT l_suppkey % 50 AS source, l_partkey % 50 AS target, count(*) AS n FROM lineitem
+       WHERE l_suppkey % 50 <> 7 AND l_partkey % 50 <> 7 GROUP BY 1, 2
+       UNION ALL SELECT 7, l_partkey % 50, count(*) FROM lineitem WHERE l_suppkey % 50 = 7 AND l_quantity > 25 GROUP BY 2""",
+)
+def replace_edges_either_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges at either side of a node replaced by what a new look at its source side found."""
+    lines = read_tables(spark, sf_dir, ["lineitem"])["lineitem"].select(
+        (F.col("l_suppkey") % 50).alias("source"), (F.col("l_partkey") % 50).alias("target"), "l_quantity"
+    )
+    path = fresh_path(spark, "edge-versions")
+    touching = (F.col("source") == 7) | (F.col("target") == 7)
+    state.replace_where(lines, path, F.lit(False))
+    state.replace_where(lines.where((F.col("source") == 7) & (F.col("l_quantity") > 25)), path, touching)
+    return state.read_version(spark, path).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))

@@ -371,7 +371,7 @@ def enrolled_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
                 'observed_categories') AND NOT (metric_name = 'row_count' AND asset_id IN ('click', 'view'))
              AND NOT (metric_name = 'null_pct' AND column_name = 'value'))
         SELECT *, CASE WHEN shape = 'metric_anomaly' THEN CAST(3 AS DOUBLE) END AS deviations FROM (SELECT *, CAST(row_number() OVER (
-           PARTITION BY asset_id ORDER BY priority, column_name NULLS FIRST, metric_name) AS INTEGER) AS rank FROM c) WHERE rank <= 20""",
+           PARTITION BY asset_id ORDER BY priority, column_name NULLS FIRST, metric_name) AS INTEGER) AS rank FROM c)""",
 )
 def anomaly_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, base = _base(spark, sf_dir, "type")

@@ -85,7 +85,7 @@ def _rules():
          UNION ALL SELECT 'props_format', 'props', 'low', count(*) FILTER (WHERE NOT regexp_full_match(props, '\\{"k": [0-9]+\\}')),
                    count(props) FROM events)
        SELECT rule, 'events' AS "table", "column", severity, fail_count, total_count,
-              CASE WHEN fail_count > 0 THEN 'failed' ELSE 'passed' END AS status FROM c""",
+              CASE WHEN fail_count > 0 THEN 'failed' ELSE 'passed' END AS status, CAST(NULL AS VARCHAR) AS error FROM c""",
 )
 def stream_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "stream-checks")

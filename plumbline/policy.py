@@ -170,7 +170,6 @@ STALE_PROPOSAL_REASON = "Superseded by a new scan before the prior review was co
 
 BASELINE_WINDOW_DAYS = 30
 BASELINE_MIN_SAMPLES = 14
-MAX_PROPOSALS_PER_SCAN = 20
 #: metric -> (check shape, severity, rank); lower rank is proposed first.
 METRIC_PROPOSALS = {
     "row_count": ("metric_anomaly", "high", -3),
@@ -195,11 +194,7 @@ MIN_OWNER_RATIO = 0.5
 RETIRE_QUIET_DAYS = 90
 RETIRE_MIN_RUNS = 3
 FLAPPING_REOPENS = 4
-EXECUTION_LOOKBACK = 200
 RELEVANCE_TOKEN = r"[A-Za-z][A-Za-z0-9_]+"
-RELEVANCE_TOKEN_CAP = 5
-RELEVANT_DEFINITIONS = 30
-LESSON_LIMIT = 20
 SYNTHESIS_LESSON_LIMIT = 40
 #: maintenance action -> new status of the rule instance.
 MAINTENANCE_STATUS = {

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,10 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def replace_scope(df: DataFrame, path: str, scope: Sequence[str]) -> None:
-    """Replace the partitions ``df`` has rows for and keep all others."""
+    """Replace the partitions ``df`` has rows for and keep all others.
+
+    A scope that becomes empty has no rows here; ``replace_where`` names it.
+    """
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -34,6 +39,35 @@ def replace_scope(df: DataFrame, path: str, scope: Sequence[str]) -> None:
     )
 
 
+def replace_where(df: DataFrame, path: str, condition: Column) -> None:
+    """Replace the rows that satisfy ``condition`` by ``df``, which may be empty.
+
+    The table is kept in versions: the rows that stay and the new ones are written as the
+    next version, which counts once it is complete. A NULL condition keeps a row.
+    """
+    spark = df.sparkSession
+    newest = _newest_version(spark, path)
+    rows = df
+    if newest:
+        kept = spark.read.parquet(f"{path}/version={newest}").where(~F.coalesce(condition, F.lit(False)))
+        rows = kept.unionByName(df, allowMissingColumns=True)
+    rows.write.parquet(f"{path}/version={newest + 1}")
+
+
+def read_version(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table written by ``replace_where``."""
+    return spark.read.parquet(f"{path}/version={_newest_version(spark, path)}")
+
+
+def _newest_version(spark: SparkSession, path: str) -> int:
+    """0 if there is none. A version is complete when its job has committed its files."""
+    try:
+        files = spark.read.parquet(path).inputFiles()
+    except AnalysisException:
+        return 0
+    return max((int(v) for f in files for v in re.findall(r"/version=(\d+)/", f)), default=0)
+
+
 def upsert(current: DataFrame, incoming: DataFrame, key: str, keep_when_null: bool = True) -> DataFrame:
     """Rows of both by ``key``; incoming values win, and NULLs in them keep the old value.
 

@@ -127,7 +127,11 @@ def run_checks(
 
     Each batch owns one partition of the log, which a repeated batch overwrites:
     a restart never counts rows twice. All rules of a batch are one aggregation.
+    Checks that need more than one batch (keys, references, freshness) are refused.
     """
+    unfit = [c.rule for c in rules if c.shape not in checks.ROW_SHAPES or c.shape == "freshness"]
+    if unfit:
+        raise ValueError(f"not decided row by row: {', '.join(unfit)}")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         results = checks.scan({table: batch}, rules).withColumn("batch_id", F.lit(batch_id))
@@ -145,8 +149,12 @@ def run_checks(
 
 
 def running_totals(log: DataFrame) -> DataFrame:
-    """Counts of the check log over all batches."""
+    """Counts of the check log over all batches; an error in any batch stays one."""
     sums = log.groupBy("rule", "table", "column", "severity").agg(
-        F.sum("fail_count").alias("fail_count"), F.sum("total_count").alias("total_count")
+        F.sum("fail_count").alias("fail_count"),
+        F.sum("total_count").alias("total_count"),
+        F.min("error").alias("error"),
+        F.count_if(F.col("status") == "error").alias("__errors"),
     )
-    return sums.withColumn("status", F.when(F.col("fail_count") > 0, "failed").otherwise("passed"))
+    status = F.when(F.col("__errors") > 0, "error").when(F.col("fail_count") > 0, "failed").otherwise("passed")
+    return sums.withColumn("status", status).drop("__errors")

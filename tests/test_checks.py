@@ -142,3 +142,26 @@ def test_execution_log(spark, rows):
     failed = spark.createDataFrame([("i1", 4, 10)], "instance_id string, fail_count bigint, total_count bigint")
     log = checks.execution_log(ran, failed, F.lit("2024-01-01").cast("timestamp_ntz"))
     assert rows(log, "instance_id", "status", "fail_count") == [("i1", "failed", 4), ("i2", "passed", None)]
+
+
+def test_values_that_end_a_job_are_isolated(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("a", 1), ("5", 0)], "s string, n int")
+    rules = [
+        build_check("range", "t", {"column": "s"}, {"min": 1}, rule="text"),
+        build_check("predicate", "t", {}, {"fails_if": "1 / n > 5"}, rule="zero"),
+        build_check("range", "t", {"column": "n"}, {"min": 1}, rule="low"),
+        build_check("not_null", "t", {"column": "s"}, rule="null"),
+        build_check("uniqueness", "t", {"column": "n"}, rule="unique"),
+    ]
+    got = {r["rule"]: (r["status"], r["fail_count"], r["total_count"]) for r in checks.scan({"t": rows}, rules).collect()}
+    assert got == {
+        "text": ("error", None, None), "zero": ("error", None, None), "low": ("failed", 1, 2), "null": ("passed", 0, 2), "unique": ("passed", 0, 2),
+    }
+    ran = spark.createDataFrame([("text",), ("low",), ("null",)], "instance_id string")
+    results = checks.scan({"t": rows}, rules).where("status <> 'passed'").withColumnRenamed("rule", "instance_id")
+    log = checks.execution_log(ran, results, F.lit("2024-01-01").cast("timestamp_ntz"))
+    assert {r["instance_id"]: r["status"] for r in log.collect()} == {"text": "error", "low": "failed", "null": "passed"}
+    grouped = checks.scan_groups(rows, [F.col("n")], [rules[2], build_check("not_null", "t", {"column": "s"}, rule="off", enabled=False)])
+    assert {r["rule"] for r in grouped.collect()} == {"low"}

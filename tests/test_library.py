@@ -179,3 +179,16 @@ def test_similar_tables(spark):
     assert [(r["table_fqn"], r["tier"]) for r in found.collect()] == [
         ("A.B.ORDERS", 3), ("A.C.PURCHASE_ORDERS", 2), ("A.B.ORDER_ITEMS", 1), ("A.B.PAYMENTS", 1),
     ]
+
+
+def test_a_failure_behind_many_runs_still_counts(spark):
+    """Run 201, counted from the latest, failed within the quiet period."""
+    log = spark.sql(
+        "SELECT 'busy' AS instance_id, IF(id = 201, 'failed', 'passed') AS status, "
+        "TIMESTAMP_NTZ '2024-03-09 00:00:00' - make_dt_interval(0, 0, 10 * id) AS executed_at FROM range(1, 400) "
+        "UNION ALL SELECT 'calm', 'passed', TIMESTAMP_NTZ '2024-03-01 00:00:00' FROM range(5) "
+        "UNION ALL SELECT 'calm', 'failed', TIMESTAMP_NTZ '2023-01-01 00:00:00'"
+    )
+    findings = spark.createDataFrame([], "instance_id string, status string, reopened_count int")
+    kept = maintenance.retire_candidates(log, findings, "2024-03-10").collect()
+    assert [(r["instance_id"], str(r["last_failure_at"])) for r in kept] == [("calm", "2023-01-01 00:00:00")]

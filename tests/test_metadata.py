@@ -152,3 +152,15 @@ def test_log_appends_and_scope_replaces(spark, tmp_path):
     state.replace_scope(spark.sql("SELECT * FROM VALUES ('a', 1), ('b', 1) AS t(s, n)"), scopes, ["s"])
     state.replace_scope(spark.sql("SELECT 'a' AS s, 2 AS n"), scopes, ["s"])
     assert sorted((r["s"], r["n"]) for r in spark.read.parquet(scopes).collect()) == [("a", 2), ("b", 1)]
+
+
+def test_a_scope_can_become_empty(spark, tmp_path):
+    path = str(tmp_path / "versions")
+    edges = spark.sql("SELECT * FROM VALUES ('a', 'b'), ('b', 'c'), ('c', 'd') AS t(s, t)")
+    state.replace_where(edges, path, F.lit(False))
+    state.replace_where(edges.where("false"), path, (F.col("s") == "b") | (F.col("t") == "b"))
+    assert [tuple(r) for r in state.read_version(spark, path).collect()] == [("c", "d")]
+    state.replace_where(edges.where("false"), path, F.lit(True))
+    assert state.read_version(spark, path).count() == 0
+    state.replace_where(edges, path, F.lit(True))
+    assert state.read_version(spark, path).count() == 3

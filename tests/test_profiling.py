@@ -134,3 +134,17 @@ def test_outlier_looks_at_the_maximum_only(spark):
     low = spark.createDataFrame([(float(x),) for x in [1] * 50 + [-1000]], "v double")
     assert profiling.profile_columns(high, "t").first()["outlier_hint"] is True
     assert profiling.profile_columns(low, "t").first()["outlier_hint"] is False
+
+
+def test_elapsed_time_ignores_clock_changes(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.functions.time import seconds_between
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        row = spark.sql("SELECT TIMESTAMP_NTZ '2024-03-30 12:00:00' AS a, TIMESTAMP_NTZ '2024-03-31 12:00:00.5' AS b")
+        assert row.select(seconds_between(F.col("a"), F.col("b"))).first()[0] == 86400.5
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

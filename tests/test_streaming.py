@@ -49,3 +49,19 @@ def test_checks_per_batch_add_up_and_restart_is_safe(spark, tmp_path):
     assert step() == (1, 2)
     write(spark, path, [(None, "2024-01-02", 1.0)])
     assert step() == (2, 3)
+
+
+def test_errors_stay_errors_and_unfit_checks_are_refused(spark, tmp_path):
+    import pytest
+
+    from plumbline.operators.checks import build_check
+    from plumbline.streaming import stream
+
+    log = spark.createDataFrame(
+        [("r", "t", "c", "low", 0, 5, "passed", None), ("r", "t", "c", "low", None, None, "error", "bad value"), ("s", "t", "c", "low", 1, 5, "failed", None)],
+        "rule string, table string, column string, severity string, fail_count long, total_count long, status string, error string",
+    )
+    assert {r["rule"]: (r["status"], r["error"]) for r in stream.running_totals(log).collect()} == {"r": ("error", "bad value"), "s": ("failed", None)}
+    for shape, threshold in (("uniqueness", None), ("freshness", {"max_age_hours": 1})):
+        with pytest.raises(ValueError):
+            stream.run_checks(log, "t", [build_check(shape, "t", {"column": "c"}, threshold)], str(tmp_path / "a"), str(tmp_path / "b"))
