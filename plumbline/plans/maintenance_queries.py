@@ -379,7 +379,7 @@ def effective_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     "similar_tables",
     """WITH logs AS (SELECT n_name || '.' || c_mktsegment || '.' || upper(replace(c_name, '#', '_')) AS table_fqn, c_mktsegment AS table_type,
              c_nationkey AS approved_count, CAST(TIMESTAMP '2000-01-01' + to_days(CAST(c_custkey AS INTEGER)) AS TIMESTAMP) AS created_at
-           FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 0
+           FROM customer JOIN nation ON n_nationkey = c_nationkey
            UNION ALL SELECT 'STAGE.' || n_name || '.' || upper(replace(s_name, '#', '_')), 'BUILDING', s_nationkey,
              CAST(TIMESTAMP '2000-01-01' + to_days(CAST(s_suppkey AS INTEGER)) AS TIMESTAMP) FROM supplier JOIN nation ON n_nationkey = s_nationkey)
        SELECT table_fqn, approved_count, created_at, CAST(CASE WHEN contains(table_fqn, '.SUPPLIER_') THEN 2 ELSE 1 END AS INTEGER) AS tier
@@ -390,7 +390,7 @@ def similar_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read_tables(spark, sf_dir, ["customer", "supplier", "nation"])
     nation = t["nation"].select("n_nationkey", "n_name")
     start = F.lit("2000-01-01").cast("date")
-    customers = t["customer"].where(F.col("c_acctbal") > 0).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+    customers = t["customer"].join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.concat_ws(".", "n_name", "c_mktsegment", F.upper(F.replace(F.col("c_name"), F.lit("#"), F.lit("_")))).alias("table_fqn"),
         F.col("c_mktsegment").alias("table_type"), F.col("c_nationkey").alias("approved_count"),
         F.date_add(start, F.col("c_custkey").cast("int")).cast("timestamp_ntz").alias("created_at"),

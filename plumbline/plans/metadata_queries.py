@@ -281,14 +281,14 @@ _ASSET_SQL = """
 
 @query(
     "asset_upsert",
-    f"""WITH a AS ({_ASSET_SQL.format(test="<", moment="1995-03-01")}),
+    f"""WITH a AS ({_ASSET_SQL.format(test="<", moment="2001-09-15")}),
              b AS ({_ASSET_SQL.format(test=">=", moment="2001-09-15")})
         SELECT coalesce(b.fqn, a.fqn) AS fqn, coalesce(b.row_count, a.row_count) AS row_count,
                CASE WHEN b.fqn IS NULL THEN 'old' ELSE 'new' END AS origin
         FROM a FULL JOIN b ON a.fqn = b.fqn""",
 )
 def asset_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = _assets(spark, sf_dir, until="1995-03-01").select("fqn", "row_count", F.lit("old").alias("origin"))
+    old = _assets(spark, sf_dir, until="2001-09-15").select("fqn", "row_count", F.lit("old").alias("origin"))
     new = _assets(spark, sf_dir, since="2001-09-15").select("fqn", "row_count", F.lit("new").alias("origin"))
     return state.upsert(old, new, "fqn")
 
