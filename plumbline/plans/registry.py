@@ -30,6 +30,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from plumbline.plans import (  # noqa: F401
         check_queries,
+        finding_queries,
         health_queries,
         lifecycle_queries,
         lineage_queries,
