@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 
 from plumbline import policy
 from plumbline.functions.time import AsOf, hours_before
+from plumbline.operators import metrics
+from plumbline.operators.joins import null_safe_join
 
 ROW_SHAPES = ("not_null", "accepted_values", "range", "regex_match", "freshness", "predicate")
 GROUP_SHAPES = ("uniqueness", "duplicate_key")
@@ -82,13 +84,18 @@ def build_check(
 ) -> Check:
     """Make a check from a shape name, a target and thresholds; bad input raises ValueError."""
     params = normalize_thresholds(threshold)
-    if shape not in ROW_SHAPES + GROUP_SHAPES + JOIN_SHAPES:
+    if shape not in ROW_SHAPES + GROUP_SHAPES + JOIN_SHAPES + METRIC_SHAPES:
         raise ValueError(f"unknown check shape {shape!r}")
     if target.get("columns"):
         columns = tuple(target["columns"])
     else:
         columns = (target["column"],) if target.get("column") else ()
-    if shape != "predicate" and not columns:
+    if shape in METRIC_SHAPES:
+        # The table is the asset whose series is judged; a table's own metrics have no column.
+        if shape != "category_disappeared" and not target.get("metric_name"):
+            raise ValueError(f"{shape} needs metric_name")
+        params["metric_name"] = target.get("metric_name", "observed_categories")
+    elif shape != "predicate" and not columns:
         raise ValueError(f"{shape} needs a target column")
     if shape == "accepted_values" and not params.get("accepted_values"):
         raise ValueError("accepted_values needs a list that is not empty")
@@ -287,16 +294,52 @@ def _problem(df: DataFrame, check: Check, as_of, tables: Mapping[str, DataFrame]
     return None
 
 
+def _metric_checks(rules: Sequence[Check], snapshots: DataFrame, baselines: DataFrame) -> list[DataFrame]:
+    """Results of metric checks: one pass over the series per shape and threshold, however many rules."""
+    by_threshold: dict[tuple, list[Check]] = {}
+    for check in rules:
+        name = {"metric_anomaly": "deviations", "metric_relative_change": "max_pct_change"}.get(check.shape)
+        default = {"deviations": 3.0, "max_pct_change": 25.0}.get(name)
+        by_threshold.setdefault((check.shape, float(check.params.get(name, default)) if name else None), []).append(check)
+    parts = []
+    for (shape, threshold), members in by_threshold.items():
+        if shape == "metric_anomaly":
+            judged = metrics.metric_anomaly(snapshots, baselines, threshold)
+        elif shape == "metric_relative_change":
+            judged = metrics.metric_relative_change(snapshots, threshold)
+        else:
+            judged = metrics.category_disappeared(snapshots, baselines)
+        rows = [
+            (c.rule, c.table, c.column_label, c.severity, c.table, c.columns[0] if c.columns else None, c.params["metric_name"])
+            for c in members
+        ]
+        wanted = snapshots.sparkSession.createDataFrame(
+            rows, "rule string, table string, column string, severity string, asset_id string, column_name string, metric_name string"
+        )
+        found = null_safe_join(wanted, judged.select(*metrics.KEYS, "fail_count"), metrics.KEYS, "left")
+        fail = F.coalesce("fail_count", F.lit(0)).cast("long")
+        parts.append(
+            found.select(
+                "rule", "table", "column", "severity", fail.alias("fail_count"), F.lit(1).cast("long").alias("total_count"),
+                F.when(fail > 0, "failed").otherwise("passed").alias("status"), F.lit(None).cast("string").alias("error"),
+            )
+        )
+    return parts
+
+
 def scan(
     tables: Mapping[str, DataFrame],
     checks: Iterable[Check],
     as_of: AsOf | None = None,
+    snapshots: DataFrame | None = None,
+    baselines: DataFrame | None = None,
 ) -> DataFrame:
     """Run all enabled checks on their tables; one result row each.
 
     A check that cannot be planned, or that fails on a value of the table, becomes an
     ``error`` row and does not stop the others. Row checks of a table are one scan; a
-    check of keys or references groups the table once more by its own keys.
+    check of keys or references groups the table once more by its own keys. Metric checks
+    read ``snapshots`` and ``baselines``; their table is the asset.
     """
     by_table: dict[str, list[Check]] = {}
     for check in checks:
@@ -304,10 +347,18 @@ def scan(
             by_table.setdefault(check.table, []).append(check)
     if not by_table:
         raise ValueError("no enabled check to run")
-    any_table = next(iter(tables.values()))
+    any_table = next(iter([*tables.values(), snapshots]))
     parts: list[DataFrame] = []
     errors: list[tuple[Check, str]] = []
-    for table, members in by_table.items():
+    series = [c for members in by_table.values() for c in members if c.shape in METRIC_SHAPES]
+    if series and (snapshots is None or baselines is None):
+        errors += [(c, "no snapshots or baselines given") for c in series]
+    elif series:
+        parts += _metric_checks(series, snapshots, baselines)
+    for table, everything in by_table.items():
+        members = [c for c in everything if c.shape not in METRIC_SHAPES]
+        if not members:
+            continue
         df = tables.get(table)
         if df is None:
             errors += [(c, f"table {table} not found") for c in members]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import metrics, profiling
+from plumbline.operators import checks, metrics, profiling
+from plumbline.operators.checks import build_check
 from plumbline.plans.registry import query
 from plumbline.session import stored
 from plumbline.sources.tables import read_tables
@@ -394,3 +395,48 @@ def threshold_update(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("asset_id").alias("instance_id"), F.lit(3.0).alias("deviations"), F.lit(25.0).alias("max_pct_change")
     ).distinct()
     return metrics.update_thresholds(instances, deviations=4.5, instance_ids=["user-1", "user-2"])
+
+
+_RULES = (
+    # rule, shape, asset, column, metric, thresholds
+    ("count_3", "metric_anomaly", "view", None, "row_count", {}),
+    ("count_tight", "metric_anomaly", "view", None, "row_count", {"deviations": 0.1}),
+    ("nulls", "metric_anomaly", "click", "value", "null_pct", {}),
+    ("change_25", "metric_relative_change", "click", None, "row_count", {}),
+    ("change_tiny", "metric_relative_change", "click", None, "row_count", {"max_pct_change": 0.001}),
+    ("unknown", "metric_anomaly", "nowhere", None, "row_count", {}),
+)
+
+
+@query(
+    "metric_rules_scan",
+    f"""WITH {TYPE_SNAPSHOTS}, {BASELINES},
+        r AS (SELECT *, row_number() OVER (PARTITION BY asset_id, column_name, metric_name ORDER BY captured_at DESC, metric_value DESC) AS rn FROM snaps),
+        p AS (SELECT asset_id, column_name, metric_name, max(metric_value) FILTER (WHERE rn = 1) AS now_,
+                     max(metric_value) FILTER (WHERE rn = 2) AS then_ FROM r GROUP BY 1, 2, 3),
+        w(rule, shape, asset_id, column_name, metric_name, t) AS (VALUES
+          ('count_3', 'a', 'view', NULL, 'row_count', 3.0), ('count_tight', 'a', 'view', NULL, 'row_count', 0.1),
+          ('nulls', 'a', 'click', 'value', 'null_pct', 3.0), ('change_25', 'c', 'click', NULL, 'row_count', 25.0),
+          ('change_tiny', 'c', 'click', NULL, 'row_count', 0.001), ('unknown', 'a', 'nowhere', NULL, 'row_count', 3.0)),
+        j AS (SELECT rule, w.asset_id, CASE shape WHEN 'a' THEN CASE WHEN mad IS NULL OR latest_value IS NULL THEN 0
+                       WHEN mad = 0 THEN CAST(latest_value <> median AS INT) WHEN deviations > t THEN 1 ELSE 0 END
+                     ELSE CASE WHEN now_ IS NULL OR then_ IS NULL OR (now_ = 0 AND then_ = 0) THEN 0 WHEN then_ = 0 THEN 1
+                       WHEN abs(now_ - then_) * 100.0 / abs(then_) > t THEN 1 ELSE 0 END END AS failed
+              FROM w LEFT JOIN bl ON bl.asset_id = w.asset_id AND bl.column_name IS NOT DISTINCT FROM w.column_name AND bl.metric_name = w.metric_name
+              LEFT JOIN p ON p.asset_id = w.asset_id AND p.column_name IS NOT DISTINCT FROM w.column_name AND p.metric_name = w.metric_name)
+        SELECT rule, asset_id AS "table", CAST(failed AS BIGINT) AS fail_count, CAST(1 AS BIGINT) AS total_count,
+               CASE WHEN failed > 0 THEN 'failed' ELSE 'passed' END AS status FROM j
+        UNION ALL SELECT 'user_set', 'events', count(*) - count(user_id), count(*),
+               CASE WHEN count(*) > count(user_id) THEN 'failed' ELSE 'passed' END FROM events""",
+)
+def metric_rules_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric rules with thresholds of their own next to a row check, in one scan."""
+    snaps, base = _base(spark, sf_dir, "type")
+    rules = [
+        build_check(shape, asset, {"column": column, "metric_name": metric}, thresholds, rule=rule)
+        for rule, shape, asset, column, metric, thresholds in _RULES
+    ]
+    rules.append(build_check("not_null", "events", {"column": "user_id"}, rule="user_set"))
+    events = read_tables(spark, sf_dir, ["events"])["events"]
+    results = checks.scan({"events": events}, rules, snapshots=snaps, baselines=base)
+    return results.select("rule", "table", "fail_count", "total_count", "status")
