@@ -166,3 +166,16 @@ def test_threshold_limits(spark):
     for bad in ({"deviations": 0}, {"deviations": 11}, {"max_pct_change": 1001}, {}):
         with pytest.raises(ValueError):
             metrics.update_thresholds(instances, instance_ids=["i"], **bad)
+
+
+def test_metric_rules_need_series(spark):
+    import pytest
+
+    from plumbline.operators import checks
+    from plumbline.operators.checks import build_check
+
+    with pytest.raises(ValueError):
+        build_check("metric_anomaly", "t", {})
+    rows = spark.range(3)
+    results = checks.scan({"t": rows}, [build_check("metric_anomaly", "t", {"metric_name": "row_count"}, rule="m"), build_check("not_null", "t", {"column": "id"}, rule="n")])
+    assert {r["rule"]: r["status"] for r in results.collect()} == {"m": "error", "n": "passed"}
