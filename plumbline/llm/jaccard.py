@@ -6,7 +6,7 @@
    decides how few candidates there are.
 3. Two sets with a Jaccard similarity of 0.8 share COMMON shingles among their first
    n - ceil(0.8 n) + COMMON. These prefixes are shuffled by shingle. Shingles that only one
-   class has are dropped, and then classes with fewer than COMMON left. For each other
+   class has, over all runs, are dropped, and then classes with fewer than COMMON left. For each other
    shingle, the class that has it at the earliest place is a candidate for the rest: the
    original of near copies has fewer rare shingles of its own before it than they have.
 4. Candidates are checked exactly: the sets that meet one probe are stored in a tree of
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -181,7 +182,7 @@ def ordered(shingles: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.sort((level << np.uint64(64 - LEVEL_BITS)) | (shingles >> np.uint64(LEVEL_BITS)))
 
 
-def _prefixes(levels, mean: float):
+def _prefixes(levels, mean: float, run_rows: int):
     """Rows (token, salt, class, size) of the prefixes; a class once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,15 +197,15 @@ def _prefixes(levels, mean: float):
                 held.append((tokens, name, len(own)))
                 n += len(tokens)
                 if n > 200_000:
-                    yield _posting(held, mean)
+                    yield _posting(held, mean, run_rows)
                     held, n = [], 0
         if held:
-            yield _posting(held, mean)
+            yield _posting(held, mean, run_rows)
 
     return run
 
 
-def _posting(held: list[tuple[np.ndarray, int, int]], mean: float) -> pa.RecordBatch:
+def _posting(held: list[tuple[np.ndarray, int, int]], mean: float, run_rows: int) -> pa.RecordBatch:
     lengths = [len(t) for t, _, _ in held]
     tokens = np.concatenate([t for t, _, _ in held])
     classes = np.repeat(np.array([c for _, c, _ in held], np.int64), lengths)
@@ -212,7 +213,7 @@ def _posting(held: list[tuple[np.ndarray, int, int]], mean: float) -> pa.RecordB
     places = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
     level = (tokens >> np.uint64(64 - LEVEL_BITS)).astype(np.float64)
     # The number of rows the shingle may have, judged by its level.
-    runs = np.maximum(1, np.where(level > 0, mean / 2 * 2 ** (level / 1.5), 0) / RUN_ROWS).astype(np.uint64)
+    runs = np.maximum(1, np.where(level > 0, mean / 2 * 2 ** (level / 1.5), 0) / run_rows).astype(np.uint64)
     salt = ((classes.view(np.uint64) >> np.uint64(8)) % runs).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [pa.array(tokens.view(np.int64)), pa.array(salt), pa.array(classes), pa.array(sizes), pa.array(places), pa.array(runs > 1)],
@@ -220,13 +221,15 @@ def _posting(held: list[tuple[np.ndarray, int, int]], mean: float) -> pa.RecordB
     )
 
 
-_SHARED = "token long, class long, size int, pos int, center long, center_size int, center_pos int, split boolean"
+_SHARED = "token long, class long, size int, pos int, center long, center_size int, center_pos int, split boolean, lone boolean"
+_SHARED_NAMES = [c.split()[0] for c in _SHARED.split(", ")]
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], lone: bool = False) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (token, salt, pos, class): those of runs with several classes, with the first one.
 
-    Of the run that is open, only its first row and its last class are kept between batches.
+    With ``lone``, also the only class of a run of a split shingle, marked as such: other
+    runs of the shingle may hold more. Of the run that is open, only its first row and its last class are kept between batches.
     """
     first, latest, emitted = None, None, False
     for batch in batches:
@@ -251,6 +254,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if first is not None and emitted:
             take[0] = False
             take |= fresh & (number == 0) & ~starts
+        alone = starts & ~several & rows["split"].to_numpy(bool) & lone
+        alone[begin[-1]] = False
+        if first is not None and emitted:
+            alone[0] = False
+        take |= alone
         out = rows[take]
         if len(out):
             at = begin[take]
@@ -258,12 +266,16 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(out[c].to_numpy()) for c in ("token", "class", "size", "pos")]
                 + [pa.array(center[take])]
                 + [pa.array(rows[c].to_numpy()[at]) for c in ("size", "pos")]
-                + [pa.array(out["split"].to_numpy())],
-                ["token", "class", "size", "pos", "center", "center_size", "center_pos", "split"],
+                + [pa.array(out["split"].to_numpy()), pa.array(alone[take])],
+                _SHARED_NAMES,
             )
         last = begin[-1]
         emitted = bool(several[-1]) or (emitted and last == 0 and first is not None)
         first, latest = rows.iloc[[last]], name[-1]
+    if lone and first is not None and not emitted and first["split"].iloc[0]:
+        own = [pa.array(first[c].to_numpy()) for c in ("class", "size", "pos")]
+        marks = [pa.array([True]), pa.array([True])]
+        yield pa.RecordBatch.from_arrays([pa.array(first["token"].to_numpy()), *own, *own, *marks], _SHARED_NAMES)
 
 
 def _set_rows(levels):
@@ -338,12 +350,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     levels = spark.sparkContext.broadcast(table)
 
     prefixes = texts.select("text").mapInArrow(
-        _prefixes(levels, max(mean, 2.0)), "token long, salt int, class long, size int, pos int, split boolean"
+        _prefixes(levels, max(mean, 2.0), RUN_ROWS), "token long, salt int, class long, size int, pos int, split boolean"
     )
-    shared = stored(
-        prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "pos", "class").mapInArrow(_runs, _SHARED),
+    runs = stored(
+        prefixes.repartition("token", "salt")
+        .sortWithinPartitions("token", "salt", "pos", "class")
+        .mapInArrow(partial(_runs, lone=True), _SHARED),
         "jaccard-shared",
     )
+    # A class alone in its run stays if the shingle has another run, so another class.
+    crossing = (
+        runs.where("split").select("token", "center").distinct()
+        .groupBy("token").agg(F.min("center").alias("low"), F.max("center").alias("high")).where("low < high")
+    )
+    lone = stored(runs.where("lone").join(crossing.select("token"), "token", "left_semi"), "jaccard-lone")
+    shared = runs.where("NOT lone").unionByName(lone).drop("lone")
     # Without COMMON shared shingles (or all it needs, if fewer) a class has no partner.
     wanted = stored(
         shared.groupBy("class", "size")
