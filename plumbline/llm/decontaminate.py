@@ -1,9 +1,12 @@
 """Benchmark decontamination with Spark expressions only.
 
 Texts are lower-cased, everything but letters and digits divides words. A window of a
-document has as many words as a benchmark item. A window can only be similar to an item if
-both share a 5-word shingle, so windows are laid where a shingle of the document also
-occurs in an item, aligned on it. From there:
+document has as many words as a benchmark item. A window without a 5-word shingle of the
+item is not similar to it, and one whose shared shingles are all aligned to its right, or
+all to its left, loses none of them when it moves there by a word. So the best windows lie
+at or between starts at which a shingle is aligned with its place in the item. Windows are
+laid at all of these, as far as enough of their shingles occur in items of that length to
+reach the threshold. From there:
 
 1. Each window and each item gets a 64-bit SimHash of its shingles, a repeated shingle
    counting as often as it occurs.
@@ -14,6 +17,8 @@ occurs in an item, aligned on it. From there:
 3. Candidates are verified by the exact weighted similarity of their shingle bags: the sum
    of the smaller counts over the sum of the larger ones, 0.8 or more.
 
+Of equally similar windows an aligned one counts, then the first.
+
 Texts are never exploded with their rows: only (document, position, hash) is, and windows
 go back to the documents that have any. The items' shingles are broadcast by Spark if it
 finds them small, or else both sides are shuffled, where a passage that a third of the
@@ -91,6 +96,37 @@ def shared_weight(a, b):
     return F.when(plain, F.size(F.array_intersect(a, b))).otherwise(repeated)
 
 
+def dense_starts(ats, n_grams):
+    """Starts of runs of ``n_grams`` shingles that hold four fifths as many of the places ``ats``, ascending.
+
+    A window can share no more than that with an item, and the union is no smaller than the item.
+    """
+    need = F.ceil(4 * n_grams / 5).cast("int")
+    firsts = F.when(F.size(ats) >= need, F.slice(ats, 1, F.size(ats) - need + 1)).otherwise(F.array().cast("array<int>"))
+    lasts = F.when(F.size(ats) >= need, F.slice(ats, need, F.size(ats) - need + 1)).otherwise(F.array().cast("array<int>"))
+    spans = F.zip_with(firsts, lasts, lambda first, last: F.struct((last - n_grams + 1).alias("low"), first.alias("high")))
+    close = F.filter(spans, lambda x: x["low"] <= x["high"])
+    return F.array_distinct(F.flatten(F.transform(close, lambda x: F.sequence(F.greatest(F.lit(0), x["low"]), x["high"]))))
+
+
+def between(starts, reach):
+    """Ascending ``starts`` and all numbers between neighbours that are at most ``reach`` apart."""
+    following = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.element_at(starts, -1)))
+    return F.flatten(
+        F.zip_with(
+            starts,
+            following,
+            lambda a, b: F.when((b > a) & (b - a <= reach), F.sequence(a, b - 1)).otherwise(F.array(a)),
+        )
+    )
+
+
+def _inside(starts):
+    """``starts`` moved to where a window of the document begins."""
+    room = F.col("length") - F.col("n_words")
+    return F.array_distinct(F.transform(starts, lambda s: F.greatest(F.lit(0), F.least(s, room))))
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     rows = benchmark.where("item_id IS NOT NULL").select("item_id", words_of(F.col("text")).alias("words"))
     sized = rows.where("words IS NOT NULL").select(
@@ -113,23 +149,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spots = (
         hashed.select("doc_id", "length", F.posexplode_outer("shingles").alias("at", "gram"))
         .join(offsets, "gram")
+        .select("doc_id", "length", "n_words", "at", (F.col("at") - F.col("item_at")).alias("start"))
+    )
+    found = spots.groupBy("doc_id", "length", "n_words").agg(
+        F.array_sort(F.collect_set("at")).alias("ats"), F.array_sort(F.collect_set("start")).alias("starts")
+    )
+    places = stored(
+        found.withColumn("n_grams", F.greatest(F.lit(1), F.col("n_words") - (SHINGLE_WORDS - 1)))
+        .withColumn("dense", dense_starts(F.col("ats"), F.col("n_grams")))
+        .where(F.size("dense") > 0)
+        .withColumn("aligned", _inside(F.col("starts")))
+        .withColumn("laid", F.array_intersect(_inside(between(F.col("starts"), 2 * F.col("n_grams"))), F.col("dense")))
         .select(
             "doc_id",
-            "n_words",
-            F.greatest(F.lit(0), F.least(F.col("at") - F.col("item_at"), F.col("length") - F.col("n_words"))).alias("start"),
+            "length",
+            F.transform(
+                "laid",
+                lambda s: F.struct(
+                    F.col("n_words").alias("n_words"), s.alias("start"), F.array_contains("aligned", s).alias("aligned")
+                ),
+            ).alias("places"),
         )
-    )
-    places = stored(
-        spots.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("n_words", "start")).alias("places")),
+        .groupBy("doc_id", "length")
+        .agg(F.flatten(F.collect_list("places")).alias("places")),
         "benchmark-windows",
     )
     windows = (
-        hashed.join(places, "doc_id")
+        hashed.join(places, ["doc_id", "length"])
         .select("doc_id", "shingles", F.explode("places").alias("place"))
         .select(
             "doc_id",
             "place.n_words",
             "place.start",
+            "place.aligned",
             F.slice(
                 "shingles", F.col("place.start") + 1, F.greatest(F.lit(1), F.col("place.n_words") - (SHINGLE_WORDS - 1))
             ).alias("window"),
@@ -160,7 +212,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     best = F.max_by(
         F.struct(F.col("start").alias("start_word"), "shared", "united"),
-        F.struct(F.col("shared") / F.col("united"), -F.col("start")),
+        F.struct(F.col("shared") / F.col("united"), "aligned", -F.col("start")),
     )
     return verified.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
         "doc_id", "item_id", "best.start_word", "best.shared", "best.united"
