@@ -133,19 +133,26 @@ _REWRITE = re.compile(
     re.X | re.I,
 )
 _ONE_NUMBER = re.compile(_NUMBER, re.I)
-#: What every rewrite begins with; small letters, so that the search stays cheap.
+#: Holds wherever ``_REWRITE`` does; small letters, so that the search stays cheap. The last
+#: word of a spelled number is digit words run together, with no letter on either side.
 _TRIGGER = re.compile(
-    r"(?<![a-z])(?:zero|one|two|three|four|five|six|seven|eight|nine|plus)(?![a-z])"
+    r"(?<![a-z])(?:(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)+|plus)(?![a-z])"
     r"|[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]|\s@|@\s|\x20dot\x20"
-    r"|\x20at\x20+[a-z0-9-]+(?:\.[a-z0-9]|\s*[\[({<])"
+    r"|\x20at\x20+[a-z0-9-]+(?:\.[a-z0-9-]|\s*[\[({<])"
     r"|[0-9][\x20-]?[oqil|zsb][\x20-]?[0-9]|[­​-‏⁠﻿]"
 )
 
 
+def _small(text: str) -> str:
+    """Lower case; patterns that ignore case take dotless and dotted i for one letter."""
+    small = text.lower()
+    return small if small.isascii() else small.replace("i\u0307", "i").replace("\u0131", "i")
+
+
 def _spoken(words: str) -> str:
     out = []
-    for m in _ONE_NUMBER.finditer(words):
-        parts = re.split(r"[\x20-]", m[0].lower())
+    for m in _ONE_NUMBER.finditer(_small(words)):
+        parts = re.split(r"[\x20-]", m[0])
         out.append(DIGIT_WORDS[parts[-1]] * (REPEATS[parts[0]] if len(parts) > 1 else 1))
     return "".join(out)
 
@@ -181,7 +188,7 @@ def normalise(text: str) -> tuple[str, list[int], list[int], list[bool]]:
         changed.append(rewritten)
         length += len(piece)
 
-    if _TRIGGER.search(same.lower()):
+    if _TRIGGER.search(_small(same)):
         for m in _REWRITE.finditer(same):
             if m.start() > position:
                 add(same[position : m.start()], position, False)
