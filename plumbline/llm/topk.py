@@ -12,9 +12,10 @@ leading coordinates plus that of the lengths of the rest bounds the score; only
 bound reaches the query's k-th best so far is the exact whole-number product taken. The
 rotation comes from a bounded sample and decides speed only; bounds have room for rounding.
 
-Queries are repeated once per group they visit, candidates are moved twice at most, and no
-group holds more than GROUP_ROWS vectors or query blocks more than QUERY_ROWS queries at a
-time, however many vectors are equal. The driver sees the quantiles, the counts of levels
+Queries are repeated once per group they visit, and no
+task holds much more than GROUP_ROWS vectors and a block of BLOCK_ROWS queries, which it
+works on QUERY_ROWS at a time, however many vectors are equal and queries are asked. A group
+is repeated for each block that visits its level. The driver sees the quantiles, the counts of levels
 and the sample.
 
 Defined cases: a vector that is null, or holds a null or non-finite component, takes no
@@ -36,9 +37,10 @@ from pyspark.sql import functions as F
 from plumbline.session import stored
 
 SCALE = 1024
-#: Norm levels; vectors in a group; queries in a block; vectors the rotation is fitted on.
+#: Norm levels; vectors in a group; queries in a block and in a step; vectors the rotation is fitted on.
 LEVELS = 8
 GROUP_ROWS = 32_768
+BLOCK_ROWS = 32_768
 QUERY_ROWS = 512
 SAMPLE_ROWS = 4096
 #: Leading coordinates of the rotated vectors.
@@ -183,18 +185,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
     dealt = leveled.join(sized.select("dim", "level", "groups"), ["dim", "level"]).withColumn(
         "part", F.pmod(F.xxhash64("id", "v"), F.col("groups"))
     ).select("dim", "level", "part", "id", "v")
-    keys = ["dim", "level", "part"]
+    # Ids of queries are distinct, so their hash deals them evenly.
+    blocks = max(1, -(-asked.count() // BLOCK_ROWS))
+    keys = ["dim", "level", "part", "block"]
 
     def met(those: DataFrame, which: DataFrame) -> DataFrame:
-        """Each query with a floor, once for every group of the levels it has to visit."""
+        """Each query with a floor and its block, once for every level it has to visit."""
         pairs = those.join(which.select("dim", "level", "groups", "longest"), "dim")
         useful = pairs.where(F.col("norm") * F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("floor"))
-        return useful.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).select(
-            *[F.col(c).alias(c) for c in (*keys, "id", "v", "floor")]
-        )
+        return useful.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
 
     def searched(candidates: DataFrame, those: DataFrame, which: DataFrame) -> DataFrame:
-        return candidates.groupBy(*keys).cogroup(met(those, which).groupBy(*keys)).applyInPandas(_search(rotation, k), _FOUND)
+        visits = met(those, which)
+        levels = stored(visits.select("dim", "level", "block").distinct(), "visits")
+        repeated = candidates.join(levels, ["dim", "level"]).select(*keys, "id", "v")
+        parts = visits.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).select(
+            *[F.col(c).alias(c) for c in (*keys, "id", "v", "floor")]
+        )
+        return repeated.groupBy(*keys).cogroup(parts.groupBy(*keys)).applyInPandas(_search(rotation, k), _FOUND)
 
     head = sized.groupBy("dim").agg(F.min("level").alias("level"))
     heads = sized.join(head, ["dim", "level"], "left_semi")
