@@ -1,7 +1,7 @@
 """Licence scans by canonical digest.
 
-A text is normalised: lower case, lines that state a copyright removed, equivalent
-spellings unified, everything but letters and digits turned into single spaces. The
+A text is normalised: lower case, lines that state a copyright removed, lines joined,
+equivalent spellings unified, everything but letters and digits turned into single spaces. The
 SHA-256 of what is left is joined to the digests of known licences, so a document matches
 if its entire text is a known licence text up to these differences.
 
@@ -15,10 +15,30 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The lines the SQL of the query removes, also inside a licence body.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: What follows the word inside a sentence, where a holder would follow in a statement.
+_NO_HOLDER = (
+    r"notices?|holders?|owners?|ownership|laws?|licen[sc]es?|licensing|statements?|treat(?:y|ies)|doctrines?|permissions?"
+    r"|disclaimers?|interests?|protections?|rights?|infringements?|claims?|acts?|terms|grants?|conditions|and|are|as|can|for"
+    r"|if|in|is|it|may|of|on|or|shall|that|to|under|which|with|the\s+(?:software|program|library|work)|the$"
+)
+_STATED = (
+    # A year or sign after the word, or a holder.
+    r"copyright[ \t,:;.<\[-]*(?:\(c\)|©|[0-9]{4}|year\b|yyyy\b)[^\n]*"
+    rf"|copyright[ \t:]+(?!(?:{_NO_HOLDER})(?![\p{{L}}\p{{N}}]))[\p{{L}}\p{{N}}][^\n]*"
+    r"|©[^\n]*|\(c\)[ \t,:-]*[0-9]{4}[^\n]*"
+    r"|all rights reserved(?:[^\p{L}\p{N}\n]*|[ \t]+by\b[^\n]*)"
+)
+#: Lines that state a copyright, wherever the text around them is wrapped.
+STATEMENT = rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:{_STATED})$"
+#: The same and lines that begin with a bare "(c)", for texts in which it is no third item.
+STATEMENT_OR_SIGN = rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:{_STATED}|\(c\)[^\n]*)$"
 #: Spellings that count as equal: (pattern on lower-case text, replacement).
 SPELLINGS = (
     (r"http:", "https:"),
@@ -102,16 +122,61 @@ KNOWN = (
 )
 
 
+def _full_texts() -> tuple[tuple[str, str], ...]:
+    folder = resources.files("plumbline.llm") / "license_texts"
+    names = ("Apache-2.0", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0")
+    texts = [(name, (folder / f"{name}.txt").read_text("utf-8")) for name in names]
+    end = "END OF TERMS AND CONDITIONS"
+    # Often copied without the advice that follows the terms.
+    texts += [(name, text[: text.index(end) + len(end)]) for name, text in texts if end in text]
+    three = "{}Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+    for marks in (("1. ", "2. ", "3. "), ("* ", "* ", "* ")):
+        first = _BSD_CONDITIONS.format(*marks)
+        for name, title, body in (
+            ("BSD-2-Clause", "BSD 2-Clause License", first + _BSD_DISCLAIMER),
+            ("BSD-3-Clause", "BSD 3-Clause License", first + three.format(marks[2]) + _BSD_DISCLAIMER),
+        ):
+            texts += [(name, body), (name, f"{title}\n\n{body}")]
+    return tuple(texts)
+
+
+_BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are
+permitted provided that the following conditions are met:
+
+{}Redistributions of source code must retain the above copyright notice, this list of conditions
+and the following disclaimer.
+
+{}Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+and the following disclaimer in the documentation and/or other materials provided with the
+distribution.
+
+"""
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY
+EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""
+
+#: Entire texts of other common licences.
+FULL_TEXTS = _full_texts()
+
+
 def canonical(column):
     """The normalised text."""
     text = F.regexp_replace(F.lower(F.coalesce(column, F.lit(""))), r"\r\n?", "\n")
-    text = F.regexp_replace(text, COPYRIGHT_LINE, "")
+    stated = F.when(F.contains(text, F.lit("(b)")), F.regexp_replace(text, STATEMENT, ""))
+    text = stated.otherwise(F.regexp_replace(text, STATEMENT_OR_SIGN, ""))
+    text = F.regexp_replace(text, r"\s+", " ")
     for pattern, replacement in SPELLINGS:
         text = F.regexp_replace(text, pattern, replacement)
     return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
 
 
-def known_licenses(spark: SparkSession, texts=KNOWN) -> DataFrame:
+def known_licenses(spark: SparkSession, texts=KNOWN + FULL_TEXTS) -> DataFrame:
     """(digest, license_id) of ``texts``, pairs of id and text."""
     rows = spark.createDataFrame(list(texts), "license_id string, text string")
     return (
