@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, decontaminate, jaccard, langid, licenses, lm, pii, sharding, topk
+from plumbline.llm import align, bpe, chat, decontaminate, jaccard, langid, licenses, lm, pii, sharding, topk
+from plumbline.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -252,3 +253,13 @@ def op6_exact_top_k(spark, sf_dir):
     """The ten best inner products of every hundredth vector with all others."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark, sf_dir):
+    """How the tokens of two tokenizers meet in every document."""
+    import public_tokenizers
+
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    aligned = stored(align.alignments(table(spark, sf_dir, "documents"), *files), "alignments")
+    return align.digests(aligned, align.link_counts(aligned), *files)
