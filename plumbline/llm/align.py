@@ -28,15 +28,22 @@ import os
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.pieces import Splitter, is_plain
+
 #: Bytes of text in a lane, and characters of text that are merged at the same time (or one text).
 LANE_BYTES = 512
-BATCH_CHARS = 400_000
+BATCH_CHARS = 200_000
+#: Encoded pieces a worker keeps before it starts afresh.
+KEPT_PIECES = 200_000
+#: Fixed value: the pattern that byte-level tokenizer files stand for by name.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @lru_cache(1)
@@ -51,7 +58,11 @@ def byte_symbols() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level tokenizer of a ``tokenizers`` file, which gets a space before each text."""
+    """A byte-level tokenizer of a ``tokenizers`` file, which gets a space before each text.
+
+    If the file splits texts by the usual byte-level pattern and nothing else, plain texts are split here,
+    and each distinct piece is encoded once; ``KEPT_PIECES`` are kept.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -61,14 +72,30 @@ class ByteLevel:
         # The strings of special tokens are ordinary text.
         self._own.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            described = json.load(file)
+        vocabulary, pre = described["model"]["vocab"], described["pre_tokenizer"]
+        usual = pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
+        self._split = Splitter(BYTE_LEVEL_PATTERN) if usual and not described["normalizer"] else None
+        self._kept: dict[str, tuple[int, ...]] = {}
         symbols = byte_symbols()
         self.tokens = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
             self.tokens[i] = bytes(symbols[c] for c in piece) if all(c in symbols for c in piece) else piece.encode()
 
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._own.encode_batch(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._own.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        texts = [" " + t for t in texts]
+        if self._split is None:
+            return self._encoded(texts)
+        split = [self._split(t) if is_plain(t) else [] for t in texts]
+        other = iter(self._encoded([t for t, pieces in zip(texts, split) if not pieces]))
+        if len(self._kept) > KEPT_PIECES:
+            self._kept.clear()
+        fresh = list(set(chain.from_iterable(split)).difference(self._kept))
+        self._kept.update(zip(fresh, map(tuple, self._encoded(fresh))))
+        return [list(chain.from_iterable(map(self._kept.__getitem__, p))) if p else next(other) for p in split]
 
 
 class Pieces:

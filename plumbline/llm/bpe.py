@@ -24,10 +24,11 @@ from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.pieces import Splitter
+
 #: Entries a worker keeps of encoded pieces and of checked pairs before it starts afresh.
 KEPT_PIECES = 400_000
 KEPT_PAIRS = 1_000_000
@@ -38,7 +39,10 @@ class Vocabulary:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        #: Tokens by rank; a rank that is not taken has none.
+        self.tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
         self.longest = max(map(len, ranks))
         self._edges: dict[int, tuple[tuple[int, ...], tuple[int, ...]] | None] = {}
         self._pairs: dict[int, bool] = {}
@@ -159,13 +163,25 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
-        self.pattern = regex.compile(pattern)
+        self.split = Splitter(pattern)
+        self.pattern = self.split.pattern
         self._pieces = _Pieces(self.vocabulary)
+        self._spelled = _Spelled(self._pieces)
 
     def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(map(self._pieces.__getitem__, self._split(text))))
+
+    def encode_spelled(self, text: str) -> tuple[list[int], bytes]:
+        """The ids, and the same as decimals with spaces between."""
+        pieces = self._split(text)
+        ids = list(chain.from_iterable(map(self._pieces.__getitem__, pieces)))
+        return ids, b" ".join(map(self._spelled.__getitem__, pieces))
+
+    def _split(self, text: str) -> list[str]:
         if len(self._pieces) >= KEPT_PIECES:
             self._pieces.clear()
-        return list(chain.from_iterable(map(self._pieces.__getitem__, self.pattern.findall(text))))
+            self._spelled.clear()
+        return self.split(text)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
@@ -185,6 +201,20 @@ class _Pieces(dict):
         return ids
 
 
+class _Spelled(dict):
+    """The ids of a piece as decimals, each worked out once."""
+
+    def __init__(self, pieces: _Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, piece: str) -> bytes:
+        spelled = " ".join(map(str, self.pieces[piece])).encode()
+        if len(piece) < 64:
+            self[piece] = spelled
+        return spelled
+
+
 class EditableText:
     """An encoded text that can be changed in place.
 
@@ -284,9 +314,9 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             counts, encoded, decoded = [], [], []
             for text in batch.column(1):
-                ids = own.encode(text.as_py() or "")
+                ids, spelled = own.encode_spelled(text.as_py() or "")
                 counts.append(len(ids))
-                encoded.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+                encoded.append(hashlib.sha256(spelled).hexdigest())
                 decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded), pa.array(decoded)],
