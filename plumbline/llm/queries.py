@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import align, bpe, chat, decontaminate, jaccard, langid, licenses, lm, pii, sharding, topk
+from plumbline.llm import align, bpe, chat, decontaminate, jaccard, langid, lexical, licenses, lm, pii, sharding, topk, urlrules
 from plumbline.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -263,3 +263,55 @@ def op11_token_alignment(spark, sf_dir):
     files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
     aligned = stored(align.alignments(table(spark, sf_dir, "documents"), *files), "alignments")
     return align.digests(aligned, align.link_counts(aligned), *files)
+
+
+_LEXICAL_TERMS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@query(
+    "op12_lexical_search",
+    f"""
+    WITH sized AS (
+        SELECT row_number() OVER () AS place, doc_id, t, len(t) AS n FROM (SELECT doc_id, {_LEXICAL_TERMS} AS t FROM documents) WHERE len(t) > 0
+    ), totals AS (
+        SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sized
+    ), postings AS (
+        SELECT place, term, count(*) AS tf FROM (SELECT place, unnest(t) AS term FROM sized) GROUP BY ALL
+    ), weights AS (
+        SELECT term, CAST(floor(1000 * ln(CAST(2 * max(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM postings, totals GROUP BY term
+    ), wanted AS (
+        SELECT DISTINCT item_id, unnest({_LEXICAL_TERMS}) AS term FROM benchmark
+    ), scored AS (
+        SELECT item_id, place, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+        FROM wanted JOIN weights USING (term) JOIN postings USING (term) JOIN sized USING (place), totals GROUP BY ALL
+    ), ranked AS (
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place, doc_id, score
+        FROM scored JOIN sized USING (place) WHERE score > 0
+    )
+    SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 50
+    """,
+)
+def op12_lexical_search(spark, sf_dir):
+    """The fifty best documents of every benchmark item."""
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"), k=50)
+
+
+#: Given rules of the URL filter.
+URL_RULES = [
+    urlrules.Rule("com", "/", urlrules.ALLOW),
+    urlrules.Rule("example.com", "/en/", urlrules.BLOCK),
+    urlrules.Rule("www.example.com", "/en/", urlrules.ALLOW),
+    urlrules.Rule("net", "/es/", urlrules.BLOCK),
+    urlrules.Rule("net", "/fr/", urlrules.BLOCK),
+]
+
+
+@query("op13_url_rules")
+def op13_url_rules(spark, sf_dir):
+    """Host, path, given rule and verdict of every page."""
+    return urlrules.judge(table(spark, sf_dir, "pages"), URL_RULES)
