@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.pieces import Splitter
 
 #: Entries a worker keeps of encoded pieces and of checked pairs before it starts afresh.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 500_000
 KEPT_PAIRS = 1_000_000
+_SHORT = (2, 1)
 
 
 class Vocabulary:
@@ -48,6 +49,14 @@ class Vocabulary:
         self._pairs: dict[int, bool] = {}
         #: Tokens that merging can build; others only stand for a whole piece.
         self.built = {token: rank for token, rank in ranks.items() if self.edges(rank)}
+        #: By the last three bytes, the lengths of the tokens that can end there, longest first.
+        self.endings: dict[bytes, tuple[int, ...]] = {}
+        lengths: dict[bytes, set[int]] = {}
+        for token in self.built:
+            if len(token) >= 3:
+                lengths.setdefault(token[-3:], set()).add(len(token))
+        for end, found in lengths.items():
+            self.endings[end] = tuple(sorted(found | {n for n in (1, 2) if end[-n:] in self.built}, reverse=True))
 
     def merge(self, piece: bytes, below: float = float("inf")) -> list[int]:
         """The plain algorithm: merge the pair of the lowest rank, the leftmost first."""
@@ -123,12 +132,16 @@ class Prefixes:
 
     def append(self, more: bytes) -> None:
         words, last = self.vocabulary, self.last
-        rank, adjacent, known, longest = words.built.get, words.adjacent, words._pairs.get, words.longest
+        rank, adjacent, known, endings = words.built.get, words.adjacent, words._pairs.get, words.endings.get
         begin = len(self.piece)
         self.piece += more
         data = bytes(self.piece)
         for end in range(begin + 1, len(data) + 1):
-            for start in range(end - longest if end > longest else 0, end):
+            # Near the beginning, and where no longer token ends, one or two bytes are left to try.
+            for length in endings(data[end - 3 : end], _SHORT) if end > 2 else _SHORT:
+                start = end - length
+                if start < 0:
+                    continue
                 token = rank(data[start:end])
                 if token is None:
                     continue

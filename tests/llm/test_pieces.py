@@ -23,8 +23,35 @@ def test_plain_texts_split_alike():
 
 def test_every_plain_character_in_the_tokenizer_file():
     path = public_tokenizers.path("byte_bpe_50k.json")
-    own, plain = align.ByteLevel(path), Tokenizer.from_file(path)
+    own, plain = align.ByteLevel(path, ranked=True), Tokenizer.from_file(path)
+    assert align.merge_ranks(align.described(path)) is not None
     plain.encode_special_tokens = True
     assert align.BYTE_LEVEL_PATTERN == public_tokenizers.PATTERN
-    texts = [f"a{c} 1{c} !{c}  {c}x{c}{c} '{c}" for c in (chr(c) for r in pieces.PLAIN for c in r)] + ["", "日本 a", " the the  "]
-    assert own.encode(texts) == [plain.encode(" " + t, add_special_tokens=False).ids for t in texts]
+    texts = [f"a{c} 1{c} !{c}  {c}x{c}{c} '{c}" for c in (chr(c) for r in pieces.PLAIN for c in r)] + ["日本 a", " the the  ", "x" * 150_000]
+    assert [x.tolist() for x in own.encode(texts)] == [plain.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_are_encoded_as_in_whole_texts():
+    own = align.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    assert own._cuts
+    rng = random.Random(6)
+    parts = [" ", "  ", "the", "ing", "\n", "é", "日", "１", "ﬁ", "e\u0301", "</s>", "<unk>", "<0x41>", "\t", "x", "1", "　", "\u200b", "😀"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 20)))
+        whole, cut = own._whole(text), own._by_words(text)
+        assert (whole is None) == (cut is None) and (whole is None or whole.tolist() == cut.tolist()), text
+
+
+def test_ranks_are_refused_where_merges_differ():
+    symbols = {s: i for i, s in enumerate(align.byte_symbols())}
+    pre = {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}
+
+    def ranks(merges):
+        vocabulary = dict(symbols)
+        for a, b in merges:
+            vocabulary.setdefault(a + b, len(vocabulary))
+        return align.merge_ranks({"normalizer": None, "pre_tokenizer": pre, "model": {"vocab": vocabulary, "merges": merges}})
+
+    assert ranks([("a", "b"), ("ab", "c")])[b"abc"] == 257
+    # by rank, "abc" is built from "ab" and "c", while the list merges "a" and "bc"
+    assert ranks([("a", "b"), ("b", "c"), ("a", "bc")]) is None
