@@ -2,10 +2,9 @@
 
 A check is a small frozen description. ``scan`` runs many of them on one table:
 everything that is a predicate on single rows shares ONE aggregation, so the
-table is read once however many rules there are. Checks on groups and on a
-parent table first reduce the rows to one row per key (partial aggregation on
-the map side), so a key that holds a third of the table costs one row per map
-task in the shuffle.
+table is read once however many rules there are. All checks of keys and references,
+of all tables, share one table of counted values: each table is read once for all its
+keys, and a key that holds a third of the table costs one row per map task in the shuffle.
 
 The result has one row per check: rule, table, column, severity, fail_count,
 total_count, status (passed / failed / error) and error.
@@ -14,22 +13,26 @@ total_count, status (passed / failed / error) and error.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
+from string import Formatter
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import policy
 from plumbline.functions.time import AsOf, hours_before
 from plumbline.operators import metrics
+from plumbline.operators.inclusion import value_counts
 from plumbline.operators.joins import null_safe_join
 
 ROW_SHAPES = ("not_null", "accepted_values", "range", "regex_match", "freshness", "predicate")
 GROUP_SHAPES = ("uniqueness", "duplicate_key")
 JOIN_SHAPES = ("referential_integrity",)
+SQL_SHAPES = ("sql",)
 METRIC_SHAPES = ("metric_anomaly", "metric_relative_change", "category_disappeared")
 
 CHECK_RESULT = T.StructType(
@@ -84,7 +87,7 @@ def build_check(
 ) -> Check:
     """Make a check from a shape name, a target and thresholds; bad input raises ValueError."""
     params = normalize_thresholds(threshold)
-    if shape not in ROW_SHAPES + GROUP_SHAPES + JOIN_SHAPES + METRIC_SHAPES:
+    if shape not in ROW_SHAPES + GROUP_SHAPES + JOIN_SHAPES + METRIC_SHAPES + SQL_SHAPES:
         raise ValueError(f"unknown check shape {shape!r}")
     if target.get("columns"):
         columns = tuple(target["columns"])
@@ -95,7 +98,7 @@ def build_check(
         if shape != "category_disappeared" and not target.get("metric_name"):
             raise ValueError(f"{shape} needs metric_name")
         params["metric_name"] = target.get("metric_name", "observed_categories")
-    elif shape != "predicate" and not columns:
+    elif shape not in ("predicate", "sql") and not columns:
         raise ValueError(f"{shape} needs a target column")
     if shape == "accepted_values" and not params.get("accepted_values"):
         raise ValueError("accepted_values needs a list that is not empty")
@@ -107,6 +110,8 @@ def build_check(
         raise ValueError("freshness needs max_age_hours")
     if shape == "predicate" and not params.get("fails_if"):
         raise ValueError("predicate needs fails_if")
+    if shape == "sql" and not params.get("sql"):
+        raise ValueError("sql needs a SELECT of failed_count and total_count")
     if shape == "referential_integrity":
         for key in ("ref_table", "ref_column"):
             if not target.get(key):
@@ -179,35 +184,50 @@ def _result(check: Check, fail: Column, total: Column, error: Column | None = No
 def _row_checks(df: DataFrame, checks: Sequence[Check], as_of) -> DataFrame:
     """All row checks of one table in one aggregation, then one row per check.
 
-    Where an expression could fail on some value, the aggregation runs at once; if it
-    fails, the checks are halved until only the culprits are left, which become ``error``.
+    Expressions of users could fail on some value. If there are any, the aggregation runs at once;
+    if it fails, the checks are halved until only the culprits are left, which become ``error``.
     """
-    if any(_may_fail(df, c) for c in checks):
+    if any(c.shape == "predicate" for c in checks):
         return df.sparkSession.createDataFrame(_isolated(df, checks, as_of), CHECK_RESULT)
     return _fused(df, checks, as_of)
 
 
-def _may_fail(df: DataFrame, check: Check) -> bool:
-    """Whether a value can end the job: expressions of users, texts compared with numbers."""
-    if check.shape == "predicate":
-        return True
-    bounds = [check.params.get(k) for k in ("min_value", "max_value")]
-    bounds += list(check.params.get("accepted_values") or ())
-    if check.shape not in ("range", "accepted_values"):
-        return False
-    text = isinstance(df.schema[check.columns[0]].dataType, T.StringType)
-    return any(b is not None and text != isinstance(b, str) for b in bounds)
+def _bounds(check: Check) -> list:
+    """The values that a check compares its column with."""
+    given = [check.params.get(k) for k in ("min_value", "max_value")] + list(check.params.get("accepted_values") or ())
+    return [b for b in given if b is not None]
+
+
+def _unreadable(df: DataFrame, check: Check) -> Column | None:
+    """The number of texts that a check compares with numbers but that are none; None if it compares like with like."""
+    if check.shape not in ("range", "accepted_values") or all(isinstance(b, str) for b in _bounds(check)):
+        return None
+    if not isinstance(df.schema[check.columns[0]].dataType, T.StringType):
+        return None
+    column = _col(check.columns[0])
+    return F.count_if(column.isNotNull() & column.try_cast("double").isNull())
 
 
 def _message(problem: Exception) -> str:
     return str(problem).strip().partition("\n")[0] or type(problem).__name__
 
 
+def is_data_error(problem: Exception) -> bool:
+    """Whether a value or the text of a rule is at fault, and not the cluster.
+
+    Spark names the first two by an SQL state: 21, 22 and 42 stand for cardinality, data, and
+    syntax or names. A lost executor, a full disk or a killed job has another one or none.
+    """
+    return isinstance(problem, PySparkException) and (problem.getSqlState() or "")[:2] in ("21", "22", "42")
+
+
 def _isolated(df: DataFrame, checks: Sequence[Check], as_of) -> list[tuple]:
-    """Result rows, one per check."""
+    """Result rows, one per check. What is not the fault of a check is raised."""
     try:
         return [tuple(r) for r in _fused(df, checks, as_of).collect()]
-    except Exception as problem:
+    except PySparkException as problem:
+        if not is_data_error(problem):
+            raise
         if len(checks) == 1:
             c = checks[0]
             return [(c.rule, c.table, c.column_label, c.severity, None, None, "error", _message(problem))]
@@ -215,54 +235,114 @@ def _isolated(df: DataFrame, checks: Sequence[Check], as_of) -> list[tuple]:
     return _isolated(df, checks[:half], as_of) + _isolated(df, checks[half:], as_of)
 
 
-def _fused(df: DataFrame, checks: Sequence[Check], as_of) -> DataFrame:
-    aggregates = []
+def _check_columns(df: DataFrame, checks: Sequence[Check], as_of) -> tuple[DataFrame, list[Column], list[Column]]:
+    """The table to aggregate, the aggregates of all checks, and their result rows."""
+    aggregates, rows = [], []
     for i, check in enumerate(checks):
-        fail, total = _row_aggregates(check, as_of)
+        bad = _unreadable(df, check)
+        if bad is not None:
+            # Judged on a copy of the column, so other checks keep the text.
+            copy = f"__number_{i}"
+            df = df.withColumn(copy, _col(check.columns[0]).try_cast("double"))
+            fail, total = _row_aggregates(replace(check, columns=(copy,)), as_of)
+            aggregates.append(bad.alias(f"bad_{i}"))
+            message = F.concat(F.col(f"bad_{i}").cast("string"), F.lit(f" values of {check.columns[0]} are no numbers"))
+            broken = F.col(f"bad_{i}") > 0
+        else:
+            fail, total = _row_aggregates(check, as_of)
+            broken = None
         aggregates += [fail.alias(f"fail_{i}"), total.alias(f"total_{i}")]
-    rows = [
-        _result(check, F.col(f"fail_{i}"), F.col(f"total_{i}")) for i, check in enumerate(checks)
-    ]
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+        fine = _result(check, F.col(f"fail_{i}"), F.col(f"total_{i}"))
+        if broken is None:
+            rows.append(fine)
+        else:
+            none = F.lit(None).cast("long")
+            rows.append(F.when(broken, _result(check, none, none, message)).otherwise(fine))
+    return df, aggregates, rows
 
 
-def _group_check(df: DataFrame, check: Check) -> DataFrame:
-    """Rows inside groups of equal, non-NULL keys."""
-    keys = [_col(c) for c in check.columns]
-    complete = reduce(lambda a, b: a & b, [k.isNotNull() for k in keys])
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"))
-    counts = sizes.agg(
-        F.coalesce(F.sum(F.when(complete & (F.col("group_size") > 1), F.col("group_size"))), F.lit(0)).alias(
-            "fail"
-        ),
-        F.coalesce(F.sum("group_size"), F.lit(0)).alias("total"),
-    )
-    return counts.select(F.inline(F.array(_result(check, F.col("fail"), F.col("total")))))
+def _fused(df: DataFrame, checks: Sequence[Check], as_of) -> DataFrame:
+    df, aggregates, rows = _check_columns(df, checks, as_of)
+    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
-def unmatched_counts(child: DataFrame, column: str, parent: DataFrame, ref_column: str) -> DataFrame:
-    """One row: orphans (non-NULL child values without a parent) and total child rows.
+def _key_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
+    """All checks of keys and references, of all tables, from one table of counted values.
 
-    Both sides are reduced to one row per key before they meet, so neither a hot
-    child key nor repeated parent keys make the join grow.
+    A value's holders are the key columns that have it, so a repeated value and one without a
+    parent are both seen in one row. The number of checks adds no scan and no shuffle.
     """
-    child_keys = child.groupBy(_col(column).alias("key")).agg(F.count(F.lit(1)).alias("rows"))
-    parent_keys = (
-        parent.where(_col(ref_column).isNotNull())
-        .groupBy(_col(ref_column).alias("key"))
-        .agg(F.lit(True).alias("known"))
+    spark = next(iter(tables.values())).sparkSession
+    places: dict[tuple[str, tuple[str, ...]], int] = {}
+
+    def place(table: str, columns: Sequence[str]) -> int:
+        return places.setdefault((table, tuple(columns)), len(places))
+
+    rows = []
+    for i, c in enumerate(checks):
+        reference = c.shape in JOIN_SHAPES
+        own = place(c.table, c.columns[:1] if reference else c.columns)
+        parent = place(c.params["ref_table"], [c.params["ref_column"]]) if reference else None
+        rows.append((i, c.rule, c.table, c.column_label, c.severity, own, parent))
+    wanted = spark.createDataFrame(
+        rows, "id int, rule string, table string, column string, severity string, place int, parent int"
     )
-    orphan = F.col("key").isNotNull() & F.col("known").isNull()
-    return child_keys.join(parent_keys, "key", "left").agg(
-        F.coalesce(F.sum(F.when(orphan, F.col("rows"))), F.lit(0)).alias("orphans"),
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("total"),
+    held = (
+        value_counts(tables, list(places))
+        .groupBy("value")
+        .agg(F.collect_list(F.struct("place", "n")).alias("holders"))
+        .select("value", F.col("holders.place").alias("known"), F.inline("holders"))
+    )
+    bad = F.when(F.col("parent").isNull(), F.col("n") > 1).otherwise(~F.array_contains("known", F.col("parent")))
+    counted = (
+        held.join(wanted.select("id", "place", "parent"), "place")
+        .groupBy("id")
+        .agg(
+            F.sum(F.when(F.col("value").isNotNull() & bad, F.col("n")).otherwise(0)).alias("fail"),
+            F.sum("n").alias("total"),
+        )
+    )
+    fail, total = (F.coalesce(c, F.lit(0)) for c in ("fail", "total"))
+    return wanted.join(counted, "id", "left").select(
+        "rule", "table", "column", "severity", fail.alias("fail_count"), total.alias("total_count"),
+        F.when(fail > 0, "failed").otherwise("passed").alias("status"), F.lit(None).cast("string").alias("error"),
     )
 
 
-def _reference_check(df: DataFrame, check: Check, tables: Mapping[str, DataFrame]) -> DataFrame:
-    parent = tables[check.params["ref_table"]]
-    counts = unmatched_counts(df, check.columns[0], parent, check.params["ref_column"])
-    return counts.select(F.inline(F.array(_result(check, F.col("orphans"), F.col("total")))))
+def sql_counts(spark: SparkSession, sql: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The result of a user's SELECT, which names tables in braces: ``FROM {orders} JOIN {customer} …``.
+
+    It has to have the columns failed_count and total_count, in any letter case and order.
+    """
+    # Only tables that are named are known to the statement.
+    named = {name for _, name, _, _ in Formatter().parse(sql) if name}
+    unknown = sorted(named - set(tables))
+    if unknown:
+        raise ValueError(f"table {unknown[0]} not found")
+    found = spark.sql(sql, **{name: tables[name] for name in named})
+    columns = {c.lower(): c for c in found.columns}
+    missing = [c for c in ("failed_count", "total_count") if c not in columns]
+    if missing:
+        raise ValueError(f"the SELECT has no {missing[0]}")
+    return found.select(*[_col(columns[c]).cast("long").alias(c) for c in ("failed_count", "total_count")])
+
+
+def _sql_row(spark: SparkSession, check: Check, tables: Mapping[str, DataFrame]) -> tuple:
+    """The result row of one SELECT; its errors are its own, those of the cluster are raised."""
+    label = (check.rule, check.table, check.column_label, check.severity)
+    try:
+        # A second row is enough to know that it is not a count.
+        found = sql_counts(spark, check.params["sql"], tables).limit(2).collect()
+        if len(found) != 1 or None in found[0]:
+            raise ValueError("the SELECT has to give one row with two numbers")
+        failed, total = found[0]
+        return (*label, failed, total, "failed" if failed > 0 else "passed", None)
+    except ValueError as problem:
+        return (*label, None, None, "error", _message(problem))
+    except PySparkException as problem:
+        if not is_data_error(problem):
+            raise
+        return (*label, None, None, "error", _message(problem))
 
 
 def _error_rows(df: DataFrame, errors: Sequence[tuple[Check, str]]) -> DataFrame:
@@ -278,9 +358,17 @@ def _problem(df: DataFrame, check: Check, as_of, tables: Mapping[str, DataFrame]
     missing = [c for c in check.columns if c not in df.columns]
     if missing:
         return f"column {missing[0]} not found"
+    if check.shape in ("range", "accepted_values"):
+        kind = df.schema[check.columns[0]].dataType
+        for bound in _bounds(check):
+            if isinstance(bound, str) and not isinstance(kind, T.StringType):
+                read = df.sparkSession.sql(f"SELECT try_cast(:bound AS {kind.simpleString()})", args={"bound": bound})
+                if read.first()[0] is None:
+                    return f"{bound!r} is no {kind.simpleString()}"
     try:
         if check.shape in ROW_SHAPES:
-            df.agg(*_row_aggregates(check, as_of)).schema
+            given, aggregates, _ = _check_columns(df, [check], as_of)
+            given.agg(*aggregates).schema
         elif check.shape in JOIN_SHAPES:
             parent = tables.get(check.params["ref_table"])
             if parent is None:
@@ -289,7 +377,7 @@ def _problem(df: DataFrame, check: Check, as_of, tables: Mapping[str, DataFrame]
                 return f"column {check.params['ref_column']} not found"
         elif check.shape not in GROUP_SHAPES:
             return f"unknown check shape {check.shape!r}"
-    except Exception as problem:  # an expression Spark cannot resolve
+    except (PySparkException, ValueError) as problem:  # an expression Spark cannot resolve
         return _message(problem)
     return None
 
@@ -337,9 +425,9 @@ def scan(
     """Run all enabled checks on their tables; one result row each.
 
     A check that cannot be planned, or that fails on a value of the table, becomes an
-    ``error`` row and does not stop the others. Row checks of a table are one scan; a
-    check of keys or references groups the table once more by its own keys. Metric checks
-    read ``snapshots`` and ``baselines``; their table is the asset.
+    ``error`` row and does not stop the others. Row checks of a table are one scan, and all
+    checks of its keys and references are one more. SELECTs run one by one and may read any
+    of ``tables``. Metric checks read ``snapshots`` and ``baselines``; their table is the asset.
     """
     by_table: dict[str, list[Check]] = {}
     for check in checks:
@@ -355,8 +443,13 @@ def scan(
         errors += [(c, "no snapshots or baselines given") for c in series]
     elif series:
         parts += _metric_checks(series, snapshots, baselines)
+    spark = any_table.sparkSession
+    selects = [c for members in by_table.values() for c in members if c.shape in SQL_SHAPES]
+    if selects:
+        parts.append(spark.createDataFrame([_sql_row(spark, c, tables) for c in selects], CHECK_RESULT))
+    keyed: list[Check] = []
     for table, everything in by_table.items():
-        members = [c for c in everything if c.shape not in METRIC_SHAPES]
+        members = [c for c in everything if c.shape not in METRIC_SHAPES + SQL_SHAPES]
         if not members:
             continue
         df = tables.get(table)
@@ -373,8 +466,9 @@ def scan(
         row_checks = [c for c in planned if c.shape in ROW_SHAPES]
         if row_checks:
             parts.append(_row_checks(df, row_checks, as_of))
-        parts += [_group_check(df, c) for c in planned if c.shape in GROUP_SHAPES]
-        parts += [_reference_check(df, c, tables) for c in planned if c.shape in JOIN_SHAPES]
+        keyed += [c for c in planned if c.shape in GROUP_SHAPES + JOIN_SHAPES]
+    if keyed:
+        parts.append(_key_checks(tables, keyed))
     if errors:
         parts.append(_error_rows(any_table, errors))
     return reduce(DataFrame.unionByName, parts)
@@ -393,33 +487,23 @@ def scan_groups(
     checks = [c for c in checks if c.enabled]
     if not checks:
         raise ValueError("no enabled check to run")
-    names = [f"__key_{i}" for i in range(len(keys))]
-    aggregates = []
-    for i, check in enumerate(checks):
-        fail, total = _row_aggregates(check, as_of)
-        aggregates += [fail.alias(f"fail_{i}"), total.alias(f"total_{i}")]
-    counted = df.groupBy(*keys).agg(*aggregates)
-    kept = counted.columns[: len(names)]
-    rows = [
-        _result(check, F.col(f"fail_{i}"), F.col(f"total_{i}")) for i, check in enumerate(checks)
+    # A user's expression that fails on some value of the table fails in its own rows only.
+    own = [c for c in checks if c.shape == "predicate"]
+    broken = {row[0]: row for row in _isolated(df, own, as_of) if row[6] == "error"} if own else {}
+    fine = [c for c in checks if c.rule not in broken]
+    source, aggregates, rows = _check_columns(df, fine, as_of)
+    counted = source.groupBy(*keys).agg(*aggregates, F.count(F.lit(1)).alias("__rows"))
+    kept = counted.columns[: len(keys)]
+    rows += [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, CHECK_RESULT.fields)])
+        for row in broken.values()
     ]
     return counted.select(*[_col(k) for k in kept], F.inline(F.array(*rows)))
 
 
-def failing_rows(
-    tables: Mapping[str, DataFrame],
-    check: Check,
-    limit: int = 10,
-    order_by: Sequence[str] = (),
-) -> DataFrame:
-    """Up to ``limit`` failing rows, chosen by the predicate that also counts them.
-
-    Freshness has no failing rows. Give ``order_by`` for a repeatable choice; it
-    becomes a top-n per task, not a global sort.
-    """
+def _failing(tables: Mapping[str, DataFrame], check: Check) -> DataFrame:
+    """All failing rows of a check that can name them."""
     df = tables[check.table]
-    if check.shape == "freshness" or check.shape in METRIC_SHAPES:
-        return df.limit(0)
     if check.shape in GROUP_SHAPES:
         keys = list(check.columns)
         repeated = (
@@ -429,17 +513,44 @@ def failing_rows(
             .where(F.col("__n") > 1)
             .drop("__n")
         )
-        bad = df.join(repeated, keys, "left_semi")
-    elif check.shape in JOIN_SHAPES:
+        return df.join(repeated, keys, "left_semi")
+    if check.shape in JOIN_SHAPES:
         parent = tables[check.params["ref_table"]]
         keys = parent.select(_col(check.params["ref_column"]).alias("__parent")).distinct()
         child = _col(check.columns[0])
-        bad = df.where(child.isNotNull()).join(keys, child == F.col("__parent"), "left_anti")
-    else:
-        bad = df.where(failing_predicate(check))
-    if order_by:
-        bad = bad.orderBy(*[_col(c) for c in order_by])
-    return bad.limit(limit)
+        return df.where(child.isNotNull()).join(keys, child == F.col("__parent"), "left_anti")
+    return df.where(failing_predicate(check))
+
+
+def failing_rows(
+    tables: Mapping[str, DataFrame],
+    check: Check,
+    limit: int = 10,
+    order_by: Sequence[str] = (),
+) -> DataFrame:
+    """Up to ``limit`` failing rows, chosen by the predicate that also counts them.
+
+    Freshness, metrics and SELECTs have no failing rows. Give ``order_by`` for a repeatable
+    choice; it becomes a top-n per task, not a global sort. Rows that keys decide about are
+    then chosen on the key and order columns alone, and only the chosen ones are read in full.
+    """
+    df = tables[check.table]
+    if check.shape == "freshness" or check.shape in METRIC_SHAPES + SQL_SHAPES:
+        return df.limit(0)
+    if not order_by:
+        return _failing(tables, check).limit(limit)
+
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.orderBy(*[_col(c) for c in order_by]).limit(limit)
+
+    if check.shape in ROW_SHAPES:
+        return first(_failing(tables, check))
+    columns = list(dict.fromkeys([*check.columns, *order_by]))
+    narrow = df.select(*[_col(c) for c in columns])
+    shown = first(_failing({**tables, check.table: narrow}, check))
+    named = shown.select(*[_col(c).alias(f"__{i}") for i, c in enumerate(columns)])
+    same = reduce(lambda a, b: a & b, [_col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(columns)])
+    return first(df.join(named, same, "left_semi"))
 
 
 def reconcile(results: DataFrame, samples: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plumbline import policy
 from plumbline.functions.naming import base_type, matches_any, nullable_flag, severity_rank
+from plumbline.session import stored
 
 #: Rules that run by default; the others are available by name.
 ACTIVE_RULES = (
@@ -108,16 +109,24 @@ def check_conventions(columns_meta: DataFrame, rules: Sequence[str] = ACTIVE_RUL
     column_rules = [r for n, r in _column_rules().items() if n in rules]
     aggregates, all_table_rules = _table_rules()
     table_rules = [r for n, r in all_table_rules.items() if n in rules]
-    parts = []
-    if column_rules:
-        parts.append(_explode(columns_meta, [F.col("table"), F.col("column")], column_rules))
-    if table_rules:
-        tables = columns_meta.groupBy("table").agg(*aggregates)
-        no_column = F.lit(None).cast("string").alias("column")
-        parts.append(_explode(tables, [F.col("table"), no_column], table_rules))
-    if not parts:
+    if not column_rules and not table_rules:
         raise ValueError("no known rule chosen")
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def found(candidates: Sequence[Column], column: Column) -> Column:
+        """What fires, as an array of (column, rule_code, severity)."""
+        if not candidates:
+            return F.array().cast("array<struct<column:string,rule_code:string,severity:string>>")
+        fired = F.filter(F.array(*candidates), lambda f: f.isNotNull())
+        return F.transform(
+            fired, lambda f: F.struct(column.alias("column"), f["rule_code"].alias("rule_code"), f["severity"].alias("severity"))
+        )
+
+    # One pass: a table's columns are metadata, so their findings fit into a row.
+    grouped = columns_meta.groupBy("table").agg(
+        F.flatten(F.collect_list(found(column_rules, F.col("column")))).alias("__columns"), *aggregates
+    )
+    own = found(table_rules, F.lit(None).cast("string"))
+    return grouped.select("table", F.inline(F.concat("__columns", own)))
 
 
 def all_rule_names() -> list[str]:
@@ -153,6 +162,8 @@ def schema_gate(
 
     The summary is one row: rules_checked, finding_count, blocked_by, passed.
     """
+    # Findings and summary start from the same stored rows.
+    columns_meta = stored(columns_meta, "declared-columns")
     findings = check_conventions(columns_meta).withColumn("blocks", F.col("severity").isin(*fail_on))
     ordered = findings.orderBy(severity_rank(F.col("severity")), "table", F.col("column").asc_nulls_first(), "rule_code")
     none = F.lit(0).cast("bigint")

@@ -1,19 +1,20 @@
 """Lineage graphs as an edge table and a catalog table.
 
 An edge has source_ and target_ database, schema, table, fqn and kind, and an
-edge_type. The graph is never collected: walks are iterated joins whose frontier
-is materialised in the shared folder after each hop.
+edge_type. The graph is never collected: walks are iterated joins of bucketed edges,
+whose frontier is written to the shared folder after each hop.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import policy
-from plumbline.session import stored
+from plumbline.session import bucketed
 
 EDGE_KEY = ("source_fqn", "target_fqn", "edge_type")
 
@@ -97,40 +98,61 @@ def without_self_loops(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("source_fqn") != F.col("target_fqn"))
 
 
-def _walk(edges: DataFrame, start: DataFrame, visited: DataFrame, hops: int, upstream: bool) -> list[DataFrame]:
-    """Materialised frontiers (fqn, depth), one per hop that found something new."""
-    here, there = ("target_fqn", "source_fqn") if upstream else ("source_fqn", "target_fqn")
+@dataclass(frozen=True)
+class WalkableEdges:
+    """Edges stored twice, in buckets by source and by target.
+
+    A hop joins the table whose buckets fit: the edges stay where they are, and only the
+    nodes that the hop starts from and those that it finds are shuffled.
+    """
+
+    by_source: DataFrame
+    by_target: DataFrame
+
+
+def walkable(edges: DataFrame) -> WalkableEdges:
+    """Store edges for walks; one stored form serves any number of them."""
+    by_source = bucketed(edges.select(*EDGE_KEY), "edges-by-source", ["source_fqn"])
+    return WalkableEdges(by_source, bucketed(by_source, "edges-by-target", ["target_fqn"]))
+
+
+def _walk(links: DataFrame, here: str, there: str, start: DataFrame, closed: list[DataFrame], hops: int) -> list[DataFrame]:
+    """Stored frontiers (fqn, depth), one per hop that found something new.
+
+    ``links`` is bucketed by ``here``; ``closed`` are nodes that the walk does not enter. Frontiers
+    are bucketed too, so leaving out what is known shuffles only what the hop has found.
+    """
     found: list[DataFrame] = []
     frontier = start
     for depth in range(1, hops + 1):
         reached = (
-            edges.join(frontier.select(F.col("fqn").alias(here)), here, "left_semi")
+            links.join(frontier.select(F.col("fqn").alias(here)), here, "left_semi")
             .select(F.col(there).alias("fqn"))
             .distinct()
         )
-        known = reduce(DataFrame.unionByName, [visited, *[f.select("fqn") for f in found]])
-        fresh = reached.join(known, "fqn", "left_anti").withColumn("depth", F.lit(depth))
-        frontier = stored(fresh, "frontier")
+        for known in [*closed, *found]:
+            reached = reached.join(known.select("fqn"), "fqn", "left_anti")
+        frontier = bucketed(reached.withColumn("depth", F.lit(depth)), "frontier", ["fqn"])
         if frontier.isEmpty():
             break
         found.append(frontier)
     return found
 
 
-def lineage_walk(edges: DataFrame, focus: str, hops: int = 3) -> tuple[DataFrame, DataFrame]:
+def lineage_walk(edges: DataFrame | WalkableEdges, focus: str, hops: int = 3) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) within ``hops`` of a table; the walk ends early where nothing new is found.
 
     Nodes: fqn, depth, direction. The upstream side is walked first, and a node
     both sides reach belongs to it. Edges: the key and the side that uses them.
-    Give the edges as a stored table: every hop reads them.
+    For several walks give the edges as ``walkable``, which are then stored once.
     """
     if hops <= 0:
         raise ValueError("hops must be positive")
-    start = edges.sparkSession.createDataFrame([(focus, 0)], "fqn string, depth int")
-    links = edges.select(*EDGE_KEY)
-    up = _walk(links, start, start.select("fqn"), hops, upstream=True)
-    seen = reduce(DataFrame.unionByName, [start.select("fqn"), *[f.select("fqn") for f in up]])
-    down = _walk(links, start, seen, hops, upstream=False)
+    ready = edges if isinstance(edges, WalkableEdges) else walkable(edges)
+    links = ready.by_source
+    start = links.sparkSession.createDataFrame([(focus, 0)], "fqn string, depth int")
+    up = _walk(ready.by_target, "target_fqn", "source_fqn", start, [start], hops)
+    down = _walk(ready.by_source, "source_fqn", "target_fqn", start, [start, *up], hops)
     tagged = [start.withColumn("direction", F.lit("focus"))]
     tagged += [f.withColumn("direction", F.lit("upstream")) for f in up]
     tagged += [f.withColumn("direction", F.lit("downstream")) for f in down]

@@ -33,19 +33,28 @@ def retire_candidates(executions: DataFrame, findings: DataFrame, as_of: AsOf) -
     Every run counts: those of the quiet period for the numbers, the whole log for the
     last failure. One aggregation, so a rule that runs often is counted map-side.
     """
+    reopened = reopen_history(findings).where(F.col("max_reopened") > 0).select("instance_id")
+    return (
+        _run_history(executions, as_of)
+        .where(_is_quiet())
+        .join(reopened, "instance_id", "left_anti")
+        .select("instance_id", "recent_runs", "last_failure_at")
+    )
+
+
+def _run_history(executions: DataFrame, as_of: AsOf) -> DataFrame:
+    """(instance_id, recent_runs, recent_failures, last_failure_at)."""
     inside = F.col("executed_at") >= days_before(as_of, policy.RETIRE_QUIET_DAYS)
     failed = F.col("status") == "failed"
-    counted = executions.groupBy("instance_id").agg(
+    return executions.groupBy("instance_id").agg(
         F.count_if(inside).alias("recent_runs"),
         F.count_if(inside & failed).alias("recent_failures"),
         F.max(F.when(failed, F.col("executed_at"))).alias("last_failure_at"),
     )
-    reopened = reopen_history(findings).where(F.col("max_reopened") > 0).select("instance_id")
-    return (
-        counted.where((F.col("recent_failures") == 0) & (F.col("recent_runs") >= policy.RETIRE_MIN_RUNS))
-        .join(reopened, "instance_id", "left_anti")
-        .select("instance_id", "recent_runs", "last_failure_at")
-    )
+
+
+def _is_quiet() -> Column:
+    return (F.col("recent_failures") == 0) & (F.col("recent_runs") >= policy.RETIRE_MIN_RUNS)
 
 
 def superseded(instances: DataFrame) -> DataFrame:
@@ -87,25 +96,29 @@ def maintenance_sweep(
     An obsolete target rules out flapping and retirement, flapping rules out
     retirement. A pair that is pending or was dismissed is not proposed again.
     """
-    active = instances.where(F.col("status") == "active")
-    obsolete = obsolete_targets(active, assets).select("instance_id")
-    alive = active.select("instance_id").join(obsolete, "instance_id", "left_anti")
-    flaps = flapping(findings).select("instance_id").join(alive, "instance_id", "left_semi")
-    quiet = (
-        retire_candidates(executions, findings, as_of)
-        .select("instance_id")
-        .join(alive, "instance_id", "left_semi")
-        .join(flaps, "instance_id", "left_anti")
+    active = instances.where(F.col("status") == "active").select("instance_id", "fqn").distinct()
+    known = assets.select(F.upper("fqn").alias("__fqn")).distinct().withColumn("__known", F.lit(True))
+    # One row per instance and target holds all that the rules ask for; each log is aggregated once.
+    judged = (
+        active.join(known, F.upper("fqn") == F.col("__fqn"), "left")
+        .join(reopen_history(findings), "instance_id", "left")
+        .join(_run_history(executions, as_of), "instance_id", "left")
+        .groupBy("instance_id")
+        .agg(
+            F.bool_or(F.col("__known").isNull()).alias("gone"),
+            F.max(F.coalesce("max_reopened", F.lit(0))).alias("max_reopened"),
+            F.bool_or(F.coalesce(_is_quiet(), F.lit(False))).alias("quiet"),
+        )
+    )
+    action = (
+        F.when(F.col("gone"), "obsolete_target")
+        .when(F.col("max_reopened") >= policy.FLAPPING_REOPENS, "flapping")
+        .when(F.col("quiet") & (F.col("max_reopened") == 0), "retire_candidate")
     )
-
-    def labelled(df: DataFrame, action: str) -> DataFrame:
-        return df.select("instance_id", F.lit(action).alias("action"))
-
     found = (
-        labelled(obsolete, "obsolete_target")
-        .unionByName(labelled(flaps, "flapping"))
-        .unionByName(labelled(quiet, "retire_candidate"))
-        .unionByName(labelled(superseded(instances).select("instance_id"), "superseded"))
+        judged.select("instance_id", action.alias("action"))
+        .where(F.col("action").isNotNull())
+        .unionByName(superseded(instances).select("instance_id", F.lit("superseded").alias("action")))
     )
     blocked = proposals.where(F.col("status").isin("pending", "dismissed")).select("instance_id", "action").distinct()
     return found.join(blocked, ["instance_id", "action"], "left_anti")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -12,8 +11,7 @@ from pyspark.sql import functions as F
 from plumbline import policy
 from plumbline.functions.naming import key_name, own_key_names, types_joinable
 from plumbline.functions.time import AsOf, hours_before
-from plumbline.operators.checks import unmatched_counts
-from plumbline.operators.profiling import distinct_statistics
+from plumbline.operators.inclusion import index_values
 from plumbline.policy import NamingPolicy
 
 PAIR = ("from_table", "from_column", "to_table", "to_column")
@@ -29,28 +27,18 @@ def classify_keys(columns_meta: DataFrame, naming: NamingPolicy = NamingPolicy()
     )
 
 
+def _key_columns(keys: DataFrame, condition: str) -> list[tuple[str, str]]:
+    """Names of columns, which are metadata and decide what is scanned."""
+    rows = keys.where(condition).select("table", "column").distinct().collect()
+    return sorted((r["table"], r["column"]) for r in rows)
+
+
 def uniqueness_ratios(tables: Mapping[str, DataFrame], keys: DataFrame) -> DataFrame:
     """(table, column, ratio): distinct values per row of every key-shaped column.
 
     ``keys`` is metadata. Each table is read once, whatever the number of its keys.
     """
-    wanted: dict[str, list[str]] = {}
-    for row in keys.where("is_key_shaped").select("table", "column").collect():
-        wanted.setdefault(row["table"], []).append(row["column"])
-    parts = []
-    for table, columns in sorted(wanted.items()):
-        df = tables[table]
-        distinct = distinct_statistics(df, columns).select("column", "distinct_count")
-        totals = df.agg(F.count(F.lit(1)).alias("total")).select(
-            F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"), "total"
-        )
-        ratio = F.coalesce("distinct_count", F.lit(0)) / F.nullif(F.col("total"), F.lit(0))
-        parts.append(
-            totals.join(distinct, "column", "left").select(
-                F.lit(table).alias("table"), "column", F.coalesce(ratio, F.lit(0.0)).alias("ratio")
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    return index_values(tables, _key_columns(keys, "is_key_shaped")).uniqueness()
 
 
 def key_owners(keys: DataFrame, ratios: DataFrame) -> DataFrame:
@@ -138,41 +126,32 @@ def discover(
 ) -> DataFrame:
     """The relationship catalog with the orphan rate of every candidate that can be joined.
 
-    The candidate list is metadata and decides which joins to plan; each orphan
-    rate is an exact distributed job on keys reduced to one row per value.
+    Each table is scanned once for the values of all its key columns. Owners, candidates and
+    orphan rates all follow from these counts: a candidate is a row, not a branch of the plan.
     """
-    spark = columns_meta.sparkSession
     keys = classify_keys(columns_meta, naming)
-    owners = key_owners(keys, uniqueness_ratios(tables, keys))
-    listed = candidates(keys, owners).orderBy(*PAIR).collect()
-    fixed, parts = [], []
-    for row in listed:
-        pair = tuple(row[c] for c in PAIR)
-        if not row["type_ok"]:
-            fixed.append((*pair, "rejected", "type_mismatch", None, None, None))
-        else:
-            counted = unmatched_counts(
-                tables[row["from_table"]], row["from_column"], tables[row["to_table"]], row["to_column"]
-            )
-            rate = F.col("orphans") / F.nullif(F.col("total"), F.lit(0))
-            empty = F.col("total") == 0
-            parts.append(
-                counted.select(
-                    *[F.lit(v).alias(c) for c, v in zip(PAIR, pair)],
-                    F.when(rate >= policy.ORPHAN_REJECT_RATE, "rejected").otherwise("confirmed").alias("status"),
-                    F.when(empty, "name_match_unverified").otherwise("verified").alias("confidence"),
-                    rate.alias("orphan_rate"),
-                    F.when(~empty, F.col("total")).alias("sample_total"),
-                    F.when(~empty, F.col("orphans")).alias("sample_orphans"),
-                )
-            )
-    schema = ", ".join(
-        [*[f"{c} string" for c in PAIR], "status string", "confidence string", "orphan_rate double",
-         "sample_total bigint", "sample_orphans bigint"]
-    )
-    if fixed or not parts:
-        parts.append(spark.createDataFrame(fixed, schema))
-    return reduce(DataFrame.unionByName, parts)
+    index = index_values(tables, _key_columns(keys, "is_key_shaped OR is_fk_shaped"))
+    shaped = keys.where("is_key_shaped").select("table", "column")
+    owners = key_owners(keys, index.uniqueness().join(shaped, ["table", "column"], "left_semi"))
+    listed = candidates(keys, owners)
+    places = [
+        index.places().select(
+            F.col("table").alias(f"{side}_table"), F.col("column").alias(f"{side}_column"), F.col("place").alias(f"{side}_place")
+        )
+        for side in ("from", "to")
+    ]
+    placed = listed.join(places[0], ["from_table", "from_column"]).join(places[1], ["to_table", "to_column"])
+    counted = index.orphans(placed.select(*PAIR, "type_ok", "from_place", "to_place"))
+    fits, empty = F.col("type_ok"), F.col("total") == 0
+    rate = F.col("orphans") / F.nullif(F.col("total"), F.lit(0))
+    return counted.select(
+        *PAIR,
+        F.when(~fits | (rate >= policy.ORPHAN_REJECT_RATE), "rejected").otherwise("confirmed").alias("status"),
+        F.when(~fits, "type_mismatch").when(empty, "name_match_unverified").otherwise("verified").alias("confidence"),
+        F.when(fits, rate).alias("orphan_rate"),
+        F.when(fits & ~empty, F.col("total")).alias("sample_total"),
+        F.when(fits & ~empty, F.col("orphans")).alias("sample_orphans"),
+    )
 
 
 def catalog_is_fresh(relationships: DataFrame, tables: DataFrame, as_of: AsOf, hours: int = 24) -> DataFrame:

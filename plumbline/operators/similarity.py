@@ -27,27 +27,71 @@ def _word_sets(df: DataFrame) -> DataFrame:
     )
 
 
-def _tokens(sets: DataFrame) -> DataFrame:
-    return sets.select("word_key", "size", F.explode("words").alias("word"))
+#: Rare words that a pair has to share before its word sets are read.
+SHARED = 3
 
 
-def _rarest(tokens: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
-    """The rarest words of each set of which at least one has to be shared.
+def _needed(size: Column, threshold: float) -> Column:
+    """Words that a set has to share with a larger one."""
+    return F.greatest(F.ceil(size * F.lit(threshold) - F.lit(1e-9)).cast("int"), F.lit(1))
 
-    A pair reaches the threshold only if the smaller set shares ceil(t * size)
-    words, so one of its size - ceil(t * size) + 1 rarest words is among them.
+
+def _ranked(sets: DataFrame) -> DataFrame:
+    """``sets(side, word_key, size, words)`` with ``ranked``: hashes of the words, the rarest first.
+
+    One order for all sets, by the number of sets that hold a word, then by hash.
     """
-    needed = F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)).cast("int")
+    tokens = sets.select("side", "word_key", "size", F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("word"))
+    frequency = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("sets"))
     return (
         tokens.join(frequency, "word")
-        .groupBy("word_key", "size")
-        .agg(F.sort_array(F.collect_list(F.struct("sets", "word"))).alias("ranked"))
-        .select(
-            "word_key",
-            "size",
-            F.explode(F.slice("ranked", F.lit(1), F.col("size") - F.greatest(needed, F.lit(1)) + 1)).alias("r"),
-        )
-        .select("word_key", "size", F.col("r.word").alias("word"))
+        .groupBy("side", "word_key", "size")
+        .agg(F.sort_array(F.collect_list(F.struct("sets", "word"))).alias("r"))
+        .select("side", "word_key", "size", F.col("r.word").alias("ranked"))
+    )
+
+
+def _rare_pairs(ranked: DataFrame, threshold: float, small: str, large: str, strict: bool) -> DataFrame:
+    """(small_key, large_key) of pairs that share enough rare words, ``small`` sets being no larger.
+
+    A set of s words has to share o of them, so with s - o + k of its words, whichever, it
+    shares at least k. Taking the rarest ones, most pairs fall out by counting. A word at place i
+    of one and j of the other set can be among the first k shared ones only if the words that
+    follow leave room for the rest.
+    """
+    needed = _needed(F.col("size"), threshold)
+    k = F.least(F.lit(SHARED), needed)
+    rare = ranked.where(F.col("side") == small).select(
+        F.col("word_key").alias("small_key"),
+        F.col("size").alias("small_size"),
+        needed.alias("needed"),
+        k.alias("k"),
+        F.posexplode(F.slice("ranked", F.lit(1), F.least(F.col("size"), F.col("size") - needed + k))).alias("i", "word"),
+    )
+    every = ranked.where(F.col("side") == large).select(
+        F.col("word_key").alias("large_key"), F.col("size").alias("large_size"), F.posexplode("ranked").alias("j", "word")
+    )
+    fits = F.col("small_size") < F.col("large_size") if strict else F.col("small_size") <= F.col("large_size")
+    room = F.least(F.col("small_size") - F.col("i"), F.col("large_size") - F.col("j")) + F.col("k") - 1 >= F.col("needed")
+    return (
+        rare.join(every, "word")
+        .where(fits & room)
+        .groupBy("small_key", "large_key")
+        .agg(F.count(F.lit(1)).alias("n"), F.first("k").alias("k"))
+        .where(F.col("n") >= F.col("k"))
+        .select("small_key", "large_key")
+    )
+
+
+def candidate_pairs(ranked: DataFrame, threshold: float) -> DataFrame:
+    """(left_key, right_key): the pairs of a left and a right set whose words are worth comparing.
+
+    Two sets of one size meet once, with the left one as the smaller.
+    """
+    left_small = _rare_pairs(ranked, threshold, "left", "right", strict=False)
+    right_small = _rare_pairs(ranked, threshold, "right", "left", strict=True)
+    return left_small.select(F.col("small_key").alias("left_key"), F.col("large_key").alias("right_key")).unionByName(
+        right_small.select(F.col("large_key").alias("left_key"), F.col("small_key").alias("right_key"))
     )
 
 
@@ -60,8 +104,8 @@ def best_matches(
     first. Otherwise the entry with the largest word overlap wins if it reaches the
     threshold; equal scores and equal names go to the smallest id.
 
-    The overlap join is exact. Pairs are found through the rarest words of the
-    smaller set only, and verified on the word sets.
+    The overlap join is exact. Pairs are found through several rare words of the
+    smaller set, counted before any word set is joined, and verified on the word sets.
     """
     # Splitting texts into words is the costly part and several steps need the words.
     wanted = stored(_with_words(candidates).select("id", "name", "words", "word_key", "size"), "candidate-words")
@@ -77,24 +121,8 @@ def best_matches(
     )
     left = _word_sets(named.where(F.col("name_id").isNull()))
     right = _word_sets(known)
-    left_tokens, right_tokens = _tokens(left), _tokens(right)
-    frequency = (
-        left_tokens.select("word").unionByName(right_tokens.select("word")).groupBy("word").agg(F.count(F.lit(1)).alias("sets"))
-    )
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("word", F.col("word_key").alias(f"{name}_key"), F.col("size").alias(f"{name}_size"))
-
-    smaller_left = side(_rarest(left_tokens, frequency, threshold), "left").join(side(right_tokens, "right"), "word")
-    smaller_right = side(_rarest(right_tokens, frequency, threshold), "right").join(side(left_tokens, "left"), "word")
-    pairs = (
-        smaller_left.where(F.col("left_size") <= F.col("right_size"))
-        .select("left_key", "right_key")
-        .unionByName(
-            smaller_right.where(F.col("right_size") < F.col("left_size")).select("left_key", "right_key")
-        )
-        .distinct()
-    )
+    both = left.withColumn("side", F.lit("left")).unionByName(right.withColumn("side", F.lit("right")))
+    pairs = candidate_pairs(stored(_ranked(both), "ranked-words"), threshold)
     scored = (
         pairs.join(right.select(F.col("word_key").alias("right_key"), F.col("words").alias("right_words"), F.col("first_id").alias("match_id")), "right_key")
         .join(left.select(F.col("word_key").alias("left_key"), F.col("words").alias("left_words")), "left_key")

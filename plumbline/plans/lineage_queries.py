@@ -152,8 +152,7 @@ _WALK = f"""
 
 @query("lineage_walk_nodes", f"WITH RECURSIVE {GRAPH_CTE}, {_WALK.format(hops=3)} SELECT * FROM nodes")
 def lineage_walk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = stored(graph(spark, sf_dir), "lineage-edges")
-    return lineage.lineage_walk(edges, _focus(spark, sf_dir), 3)[0]
+    return lineage.lineage_walk(graph(spark, sf_dir), _focus(spark, sf_dir), 3)[0]
 
 
 @query(
@@ -166,8 +165,7 @@ def lineage_walk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
           OR source_fqn IN (SELECT fqn FROM nodes WHERE direction IN ('focus', 'downstream') AND depth < 2)""",
 )
 def lineage_walk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = stored(graph(spark, sf_dir), "lineage-edges")
-    return lineage.lineage_walk(edges, _focus(spark, sf_dir), 2)[1]
+    return lineage.lineage_walk(graph(spark, sf_dir), _focus(spark, sf_dir), 2)[1]
 
 
 @query(
@@ -320,18 +318,18 @@ def lineage_schema_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "lineage_database_cards",
-    f"""WITH {GRAPH_CTE}, ends AS (
+    f"""WITH {_ALL}, {GRAPH_CTE}, ends AS (
           SELECT source_database AS d, source_schema AS s, source_table AS t FROM edges
           UNION SELECT target_database, target_schema, target_table FROM edges)
         SELECT d AS "database", count(DISTINCT s) AS schema_count, count(*) AS table_count,
                (SELECT count(*) FROM edges WHERE source_database = d OR target_database = d) AS edge_count,
-               CAST(NULL AS DOUBLE) AS avg_health_score
+               CASE WHEN d = 'SUPPLY' THEN (SELECT round(avg(health_score), 6) FROM overlaid) END AS avg_health_score
         FROM ends GROUP BY d""",
 )
 def lineage_database_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = stored(graph(spark, sf_dir), "lineage-edges")
-    known = lineage.endpoints(edges)
-    return lineage.database_cards(known, edges, known.withColumn("health_score", F.lit(None).cast("double")))
+    cards = lineage.database_cards(lineage.endpoints(edges), edges, _graph_overlays(spark, sf_dir))
+    return _round(cards, "avg_health_score")
 
 
 @query(

@@ -169,11 +169,9 @@ def flapping_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AS_OF = "2001-10-15 00:00:00"
 _RETIRE = f"""
-    last200 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY executed_at DESC) AS rn FROM executions)
-                WHERE rn <= 200),
     quiet AS (SELECT instance_id, count(*) FILTER (WHERE executed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY) AS recent_runs,
                      count(*) FILTER (WHERE status = 'failed' AND executed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY) AS bad,
-                     max(executed_at) FILTER (WHERE status = 'failed') AS last_failure_at FROM last200 GROUP BY 1),
+                     max(executed_at) FILTER (WHERE status = 'failed') AS last_failure_at FROM executions GROUP BY 1),
     retire AS (SELECT instance_id, recent_runs, last_failure_at FROM quiet WHERE bad = 0 AND recent_runs >= 3
                AND instance_id NOT IN (SELECT instance_id FROM findings WHERE reopened_count > 0))"""
 

@@ -90,12 +90,12 @@ META_CTES = (
 )
 
 
-def page_structure(spark: SparkSession, sf_dir: str, scheme: str) -> DataFrame:
+def page_structure(spark: SparkSession, sf_dir: str, scheme: str | None = None) -> DataFrame:
     """The element inventory of each site as column metadata.
 
     Table = host, column = element; an element is nullable if some page of the
     site lacks it, and an ARRAY if some page repeats it. ``scheme`` picks the
-    http or the https capture, which play the prior and the live scan.
+    http or the https capture, which play the prior and the live scan; by default all pages count.
     """
     pages = read_tables(spark, sf_dir, ["pages"])["pages"]
     parts = pages.select(
@@ -103,7 +103,9 @@ def page_structure(spark: SparkSession, sf_dir: str, scheme: str) -> DataFrame:
         "html",
         F.regexp_extract("url", r"^(https?)://", 1).alias("scheme"),
         F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("table"),
-    ).where(F.col("scheme") == scheme)
+    )
+    if scheme is not None:
+        parts = parts.where(F.col("scheme") == scheme)
     totals = parts.groupBy("table").agg(F.count(F.lit(1)).alias("pages"))
     elements = parts.select(
         "table", "page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), 1)).alias("element")
@@ -124,10 +126,10 @@ def page_structure(spark: SparkSession, sf_dir: str, scheme: str) -> DataFrame:
     )
 
 
-def page_structure_sql(scheme: str) -> str:
+def page_structure_sql(scheme: str | None = None) -> str:
+    chosen = f"WHERE regexp_extract(url, '^(https?)://', 1) = '{scheme}'" if scheme else ""
     return f"""
-    (WITH p AS (SELECT page_id, html, regexp_extract(url, '^https?://([^/]+)', 1) AS "table" FROM pages
-                WHERE regexp_extract(url, '^(https?)://', 1) = '{scheme}'),
+    (WITH p AS (SELECT page_id, html, regexp_extract(url, '^https?://([^/]+)', 1) AS "table" FROM pages {chosen}),
           t AS (SELECT "table", count(*) AS pages FROM p GROUP BY 1),
           e AS (SELECT "table", page_id, lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS "column"
                 FROM p),

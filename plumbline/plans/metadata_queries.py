@@ -185,9 +185,9 @@ def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.schema_drift(prior, live)
 
 
-@query("column_snapshot", f"SELECT * FROM {page_structure_sql('https')}")
+@query("column_snapshot", f"SELECT * FROM {page_structure_sql()}")
 def column_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.column_snapshot(page_structure(spark, sf_dir, "https"))
+    return drift.column_snapshot(page_structure(spark, sf_dir))
 
 
 @query(

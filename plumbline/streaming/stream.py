@@ -1,16 +1,20 @@
 """Streaming forms of the metrics, the checks and the freshness rule.
 
-They replace timed rescans. Everything stays in built-in streaming operators, so
-state is partitioned, checkpointed and survives lost executors.
+They replace timed rescans. State is Spark's, so it is partitioned, checkpointed and
+survives lost executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.operators import checks
@@ -83,24 +87,102 @@ def windows_to_snapshots(windows: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _spans(time_column: str, slice_us: int):
+    """Rows to one row per task batch, key and slice of time: first and last time, and rows."""
+
+    def reduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            times = batch.column(time_column).cast(pa.timestamp("us", tz=batch.schema.field(time_column).type.tz)).cast(pa.int64())
+            table = pa.table({"asset_id": batch.column("asset_id"), "at": times, "slice": pc.divide(times, slice_us)})
+            spans = table.filter(pc.is_valid(table["at"])).group_by(["asset_id", "slice"]).aggregate(
+                [("at", "min"), ("at", "max"), ("at", "count")]
+            )
+            columns = [spans["asset_id"], spans["at_min"], spans["at_max"].cast(pa.timestamp("us", tz="UTC")), spans["at_count"]]
+            yield from pa.Table.from_arrays(columns, ["asset_id", "first", "last_at", "n"]).to_batches()
+
+    return reduce_batches
+
+
+def merged_spans(spans: Iterable[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
+    """(first, last, rows) of sessions: spans less than ``gap`` apart belong together."""
+    out: list[tuple[int, int, int]] = []
+    for first, last, n in sorted(spans):
+        if out and first - out[-1][1] < gap:
+            out[-1] = (out[-1][0], max(out[-1][1], last), out[-1][2] + n)
+        else:
+            out.append((first, last, n))
+    return out
+
+
+def _watch(gap: int, wall: bool):
+    """The state of a key is the list of its sessions that are not over."""
+
+    def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        spans = list(zip(*state.get)) if state.exists else []
+        if not state.hasTimedOut:
+            for frame in frames:
+                last = frame["last_at"].astype("int64") // (1000 if frame["last_at"].dtype.name.startswith("datetime64[ns") else 1)
+                spans = merged_spans([*spans, *zip(frame["first"], last, frame["n"])], gap)
+        # In milliseconds: event time that can no longer be undercut, or the time of day.
+        now = state.getCurrentProcessingTimeMs() if wall else state.getCurrentWatermarkMs()
+        over = [s for s in spans if s[1] + gap <= now * 1000]
+        open_ = [s for s in spans if s[1] + gap > now * 1000]
+        if open_:
+            state.update(tuple([int(s[i]) for s in open_] for i in range(3)))
+            due = -(-(min(s[1] for s in open_) + gap) // 1000)
+            if wall:
+                state.setTimeoutDuration(max(1, due - now))
+            else:
+                # A timer runs once the watermark is past it.
+                state.setTimeoutTimestamp(due - 1)
+        elif state.exists:
+            state.remove()
+        if over:
+            firsts, lasts, counts = zip(*over)
+            times = {
+                "active_since": pd.to_datetime(firsts, unit="us"),
+                "last_seen_at": pd.to_datetime(lasts, unit="us"),
+                "stale_at": pd.to_datetime([x + gap for x in lasts], unit="us"),
+            }
+            yield pd.DataFrame({"asset_id": [key[0]] * len(over), **times, "rows": counts})
+
+    return watch
+
+
 def silent_keys(
-    stream: DataFrame, time_column: str, key: str, max_age: str = "24 hours", lateness: str = "10 minutes"
+    stream: DataFrame,
+    time_column: str,
+    key: str,
+    max_age: str = "24 hours",
+    lateness: str = "10 minutes",
+    clock: str = "event",
 ) -> DataFrame:
     """One row each time a key has sent nothing for ``max_age``: since when, and when it became stale.
 
-    A session window closes exactly when its key stays silent for the gap.
+    Every key has state and a timer of its own. With the ``event`` clock the timer runs when the
+    watermark passes it, so results repeat; with the ``wall`` clock it runs by the time of day, also
+    if no key sends anything any more, and what was silent before the stream began is reported at once.
+    Such a stream never runs out of batches: write it with a ``continuous`` trigger.
+
+    Rows are first merged to one per key and hour in each task, so a busy key is a few rows in
+    the shuffle. Works with any session settings. Rows without time are no signs of life; rows
+    without key are a key of their own. Rows later than ``lateness`` are dropped.
     """
-    sessions = (
-        _timed(stream, time_column, lateness)
-        .groupBy(F.session_window(time_column, max_age).alias("s"), F.col(key).alias("asset_id"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.max(time_column).alias("last_seen_at"))
-    )
-    return sessions.select(
-        "asset_id",
-        F.col("s.start").cast("timestamp_ntz").alias("active_since"),
-        F.col("last_seen_at").cast("timestamp_ntz").alias("last_seen_at"),
-        F.col("s.end").cast("timestamp_ntz").alias("stale_at"),
-        "rows",
+    if clock not in ("event", "wall"):
+        raise ValueError("clock is 'event' or 'wall'")
+    gap = pd.Timedelta(max_age) // pd.Timedelta("1us")
+    kind = stream.schema[key].dataType.simpleString()
+    timed = stream.select(F.col(key).alias("asset_id"), F.col(time_column).cast("timestamp_ntz").alias("at"))
+    # A slice that is no longer than the gap never spans two sessions.
+    spans = timed.mapInArrow(
+        _spans("at", min(gap, 3_600_000_000)), f"asset_id {kind}, first long, last_at timestamp, n long"
+    ).withWatermark("last_at", lateness)
+    return spans.groupBy("asset_id").applyInPandasWithState(
+        _watch(gap, clock == "wall"),
+        f"asset_id {kind}, active_since timestamp_ntz, last_seen_at timestamp_ntz, stale_at timestamp_ntz, rows long",
+        "firsts array<long>, lasts array<long>, counts array<long>",
+        "append",
+        GroupStateTimeout.ProcessingTimeTimeout if clock == "wall" else GroupStateTimeout.EventTimeTimeout,
     )
 
 

@@ -82,25 +82,26 @@ def test_rule_candidates(spark):
     assert sorted((r["column"], r["shape"]) for r in found.collect()) == [("PK_A", "uniqueness"), ("PK_C", "referential_integrity")]
 
 
+#: A parcel service: two ways from the parcels to the board, two tables that feed the late list,
+#: one edge twice and one from a view to itself.
 EDGES = [
-    ("RAW.STG_EVENTS", "BRONZE.EVENTS", "STAGE", "TABLE"),
-    ("RAW.STG_USERS", "BRONZE.USERS", "STAGE", "TABLE"),
-    ("BRONZE.EVENTS", "SILVER.CLEAN_EVENTS", "TABLE", "VIEW"),
-    ("BRONZE.EVENTS", "SILVER.CLEAN_EVENTS", "TABLE", "VIEW"),
-    ("BRONZE.USERS", "SILVER.CLEAN_USERS", "TABLE", "VIEW"),
-    ("SILVER.CLEAN_EVENTS", "SILVER.USER_EVENTS", "VIEW", "VIEW"),
-    ("SILVER.CLEAN_USERS", "SILVER.USER_EVENTS", "VIEW", "VIEW"),
-    ("SILVER.USER_EVENTS", "GOLD.DAU", "VIEW", "VIEW"),
-    ("SILVER.USER_EVENTS", "GOLD.REVENUE", "VIEW", "VIEW"),
-    ("BRONZE.PRODUCTS", "GOLD.REVENUE", "TABLE", "VIEW"),
-    ("BRONZE.EVENTS", "GOLD.CROSS_VIEW", "TABLE", "VIEW"),
-    ("GOLD.REVENUE", "GOLD.CROSS_VIEW", "VIEW", "VIEW"),
+    ("INBOX.SCANS_DROP", "CORE.SCANS", "STAGE", "TABLE"),
+    ("CORE.SCANS", "CORE.PARCELS", "TABLE", "DYNAMIC TABLE"),
+    ("CORE.DEPOTS", "CORE.PARCELS", "TABLE", "DYNAMIC TABLE"),
+    ("CORE.PARCELS", "REPORT.LATE", "DYNAMIC TABLE", "VIEW"),
+    ("EXTRA.HOLIDAYS", "REPORT.LATE", "TABLE", "VIEW"),
+    ("CORE.PARCELS", "REPORT.LOAD", "DYNAMIC TABLE", "MATERIALIZED VIEW"),
+    ("CORE.DEPOTS", "CORE.PARCELS", "TABLE", "DYNAMIC TABLE"),
+    ("REPORT.LATE", "REPORT.BOARD", "VIEW", "VIEW"),
+    ("REPORT.LOAD", "REPORT.BOARD", "MATERIALIZED VIEW", "VIEW"),
+    ("CORE.DEPOTS", "REPORT.BOARD", "TABLE", "VIEW"),
+    ("REPORT.BOARD", "REPORT.BOARD", "VIEW", "VIEW"),
 ]
 
 
 @pytest.fixture(scope="module")
 def edges(spark):
-    data = [("D", *s.split("."), sd, "D", *t.split("."), td) for s, t, sd, td in EDGES] + [("D", "X", None, "TABLE", "D", "X", "Y", "TABLE")]
+    data = [("W", *s.split("."), sd, "W", *t.split("."), td) for s, t, sd, td in EDGES] + [("W", "EXTRA", None, "TABLE", "W", "EXTRA", "HOLIDAYS", "TABLE")]
     names = [f"{side}_{c}" for side in ("referenced", "referencing") for c in ("database", "schema", "name", "domain")]
     raw = spark.createDataFrame(data, ", ".join(f"{n} string" for n in names))
     return lineage.edges_from_dependencies(raw)
@@ -112,20 +113,56 @@ def walk(edges, focus, hops=3):
 
 
 def test_edges(edges):
-    assert edges.count() == 11
     kinds = {(r["source_fqn"], r["target_fqn"]): r["edge_type"] for r in edges.collect()}
-    assert kinds["D.RAW.STG_EVENTS", "D.BRONZE.EVENTS"] == "copy_into"
-    assert kinds["D.BRONZE.USERS", "D.SILVER.CLEAN_USERS"] == "view_dep"
+    assert edges.count() == len(kinds) == 10
+    assert kinds["W.INBOX.SCANS_DROP", "W.CORE.SCANS"] == "copy_into"
+    assert kinds["W.CORE.DEPOTS", "W.CORE.PARCELS"] == "dynamic_table"
+    assert kinds["W.CORE.PARCELS", "W.REPORT.LOAD"] == "materialized_view"
+    assert kinds["W.CORE.PARCELS", "W.REPORT.LATE"] == "view_dep"
 
 
 def test_walk(edges):
-    nodes, _ = walk(edges, "D.SILVER.USER_EVENTS")
-    assert nodes["D.SILVER.CLEAN_EVENTS"] == nodes["D.SILVER.CLEAN_USERS"] == ("upstream", 1)
-    assert nodes["D.GOLD.CROSS_VIEW"] == ("downstream", 2)
-    revenue, used = walk(edges, "D.GOLD.REVENUE", 1)
-    assert sum(d == ("upstream", 1) for d in revenue.values()) == 2 and len(used) == 3
-    assert not any(n.startswith("D.RAW") for n in walk(edges, "D.GOLD.DAU", 1)[0])
-    assert walk(edges, "D.NOWHERE")[0] == {"D.NOWHERE": ("focus", 0)}
+    nodes, used = walk(edges, "W.REPORT.LATE")
+    assert nodes == {
+        "W.REPORT.LATE": ("focus", 0), "W.CORE.PARCELS": ("upstream", 1), "W.EXTRA.HOLIDAYS": ("upstream", 1),
+        "W.CORE.SCANS": ("upstream", 2), "W.CORE.DEPOTS": ("upstream", 2), "W.INBOX.SCANS_DROP": ("upstream", 3),
+        "W.REPORT.BOARD": ("downstream", 1),
+    }
+    # the loop at the board is left out, and the load list lies beside the walk
+    assert len(used) == 6 and used["W.REPORT.LATE", "W.REPORT.BOARD"] == "downstream"
+    ready = lineage.walkable(edges)
+    near, used = walk(ready, "W.CORE.PARCELS", 1)
+    assert {n: d for n, (d, _) in near.items()} == {
+        "W.CORE.PARCELS": "focus", "W.CORE.SCANS": "upstream", "W.CORE.DEPOTS": "upstream", "W.REPORT.LATE": "downstream", "W.REPORT.LOAD": "downstream",
+    }
+    assert len(used) == 4
+    assert walk(ready, "W.CORE.SCANS", 10)[0]["W.REPORT.BOARD"] == ("downstream", 3)
+    assert walk(ready, "W.NOWHERE")[0] == {"W.NOWHERE": ("focus", 0)}
+    with pytest.raises(ValueError):
+        lineage.lineage_walk(ready, "W.NOWHERE", 0)
+
+
+def test_ten_hops_round_a_ring(spark):
+    """A ring of 24 with a tail at every node: ten hops up, ten down, none twice."""
+    links = [(f"r{i}", f"r{(i + 1) % 24}") for i in range(24)] + [(f"r{i}", f"t{i}") for i in range(24)]
+    edges = spark.createDataFrame([(s, t, "flow") for s, t in links], "source_fqn string, target_fqn string, edge_type string")
+    nodes, _ = walk(edges, "r0", 10)
+    expected = {"r0": ("focus", 0)}
+    expected |= {f"r{24 - i}": ("upstream", i) for i in range(1, 11)}
+    expected |= {f"r{i}": ("downstream", i) for i in range(1, 11)}
+    expected |= {f"t{i}": ("downstream", i + 1) for i in range(10)}
+    assert nodes == expected
+
+
+def test_hops_do_not_shuffle_the_edges(spark):
+    """Joined with a frontier that is too large to be sent around, the edges stay in their buckets."""
+    edges = spark.range(1000).select(
+        F.concat(F.lit("n"), F.col("id")).alias("source_fqn"), F.concat(F.lit("n"), F.col("id") + 1).alias("target_fqn"), F.lit("flow").alias("edge_type")
+    )
+    ready = lineage.walkable(edges)
+    frontier = spark.range(5).select(F.concat(F.lit("n"), F.col("id")).alias("source_fqn"))
+    plan = ready.by_source.join(frontier.hint("merge"), "source_fqn", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
 
 
 def test_walk_with_cycles_and_diamonds(spark):
@@ -139,25 +176,27 @@ def test_walk_with_cycles_and_diamonds(spark):
 
 def test_graph_views(spark, edges):
     known = lineage.endpoints(edges).withColumnRenamed("kind", "object_kind").unionByName(
-        spark.createDataFrame([("D", "SILVER", "ORPHAN", "D.SILVER.ORPHAN", "table")], "database string, schema string, table string, fqn string, object_kind string")
+        spark.createDataFrame([("W", "REPORT", "UNUSED", "W.REPORT.UNUSED", "table")], "database string, schema string, table string, fqn string, object_kind string")
     )
     numbers = known.select("fqn", F.lit(2).cast("bigint").alias("open_findings"), F.lit(1).cast("bigint").alias("rules_run"),
-                           F.when(F.col("schema") == "GOLD", 0.5).alias("health_score"))
+                           F.when(F.col("table") == "LATE", 0.25).when(F.col("schema") == "REPORT", 0.75).alias("health_score"))
     overlaid = lineage.overlays(known, numbers, numbers, numbers)
     nested = {r["id"]: r for r in lineage.nested_graph(known, overlaid).collect()}
-    assert (nested["db:D"]["table_count"], nested["db:D"]["schema_count"], nested["db:D"]["open_findings"]) == (12, 4, 24)
-    assert (nested["sc:D.GOLD"]["health_score"], nested["sc:D.RAW"]["health_score"], nested["db:D"]["health_score"]) == (0.5, None, 0.5)
-    assert nested["D.SILVER.ORPHAN"]["parent_id"] == "sc:D.SILVER"
-    nodes, touching = lineage.schema_graph(edges, overlaid, "D", "GOLD")
-    assert {r["fqn"] for r in nodes.where("is_external").collect()} == {"D.SILVER.USER_EVENTS", "D.BRONZE.PRODUCTS", "D.BRONZE.EVENTS"}
-    assert touching.count() == 5
-    ghosts = lineage.ghost_nodes(edges, known.where(F.col("schema") != "RAW"))
-    assert {r["label"] for r in ghosts.collect()} == {"STG_EVENTS", "STG_USERS"}
+    assert (nested["db:W"]["table_count"], nested["db:W"]["schema_count"], nested["db:W"]["open_findings"]) == (9, 4, 18)
+    # 0.25 and three times 0.75
+    assert (nested["sc:W.REPORT"]["health_score"], nested["sc:W.INBOX"]["health_score"], nested["db:W"]["health_score"]) == (0.625, None, 0.625)
+    assert nested["W.REPORT.UNUSED"]["parent_id"] == "sc:W.REPORT"
+    nodes, touching = lineage.schema_graph(edges, overlaid, "W", "CORE")
+    assert {r["fqn"] for r in nodes.where("is_external").collect()} == {"W.INBOX.SCANS_DROP", "W.REPORT.LATE", "W.REPORT.LOAD", "W.REPORT.BOARD"}
+    assert touching.count() == 6
+    ghosts = lineage.ghost_nodes(edges, known.where(~F.col("schema").isin("INBOX", "EXTRA")))
+    # the schemas that hold nothing else are external boxes
+    assert {r["label"]: r["kind"] for r in ghosts.collect()} == {"SCANS_DROP": "stage", "HOLIDAYS": "table", "INBOX": "schema", "EXTRA": "schema"}
     card = lineage.database_cards(known, edges, overlaid).first()
-    assert (card["schema_count"], card["table_count"], card["edge_count"]) == (4, 12, 11)
+    assert (card["schema_count"], card["table_count"], card["edge_count"], card["avg_health_score"]) == (4, 9, 10, 0.625)
 
 
 def test_highlight_without_edges_matches_all(spark, edges):
-    targets = spark.createDataFrame([("D", "GOLD", "DAU"), ("D", "GOLD", "GONE")], "database string, schema string, table string")
-    assert {r["table"]: r["matched"] for r in lineage.highlight(targets, edges).collect()} == {"DAU": True, "GONE": False}
+    targets = spark.createDataFrame([("W", "REPORT", "LOAD"), ("W", "REPORT", "GONE")], "database string, schema string, table string")
+    assert {r["table"]: r["matched"] for r in lineage.highlight(targets, edges).collect()} == {"LOAD": True, "GONE": False}
     assert all(r["matched"] for r in lineage.highlight(targets, edges.limit(0)).collect())

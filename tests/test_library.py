@@ -161,12 +161,12 @@ def test_preferred_definition(spark):
     assert pick(["d1"]) == "d1"
 
 
-def test_relevance_is_capped_at_five_words(spark):
+def test_relevance_counts_all_shared_words(spark):
     names = [f"word{i}" for i in range(8)]
     rows = [("many", " ".join(names), None, 0, 0), ("five", " ".join(names[:5]), None, 1, 1), ("none", "other", None, 3, 0)]
     definitions = spark.createDataFrame(rows, "definition_id string, name string, description string, approvals int, rejections int")
     found = maintenance.relevant_definitions(definitions, ["_".join(names)])
-    assert [tuple(r) for r in found.collect()] == [("five", 10.5), ("many", 10.0), ("none", 1.0)]
+    assert [tuple(r) for r in found.collect()] == [("many", 16.0), ("five", 10.5), ("none", 1.0)]
 
 
 def test_similar_tables(spark):
