@@ -28,22 +28,25 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import Vocabulary
 from plumbline.llm.pieces import is_plain
+from plumbline.session import stored
 
 #: Bytes of text in a lane, and characters of text that are merged at the same time (or one text).
 LANE_BYTES = 512
 BATCH_CHARS = 200_000
+#: Documents that are handed to a Python worker at once: a row holds all tokens of a document.
+ROWS_AT_ONCE = 500
 #: Encoded words a worker keeps before it starts afresh, and the longest text given to the ranks.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 RANKED_CHARS = 100_000
 #: Fixed value: the pattern that byte-level tokenizer files stand for by name.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -166,7 +169,7 @@ class Pieces:
         ]
         self._words = re.compile(" +[^ ]*").findall
         self._space = self._own.piece_to_id("▁")
-        self._kept: dict[str, tuple[int, ...] | None] = {}
+        self._kept: dict[str, bytes | None] = {}
         self._cuts = self.tokens[self._space] == b" " and not any(re.search("[^▁]▁", piece) for piece in names)
         # A model that rewrites characters, or white space, is used on whole texts.
         self._cuts = self._cuts and all(
@@ -184,13 +187,14 @@ class Pieces:
         fresh = list(set(words).difference(kept))
         # The model puts back the space that is taken off here, unless nothing else is left.
         for word, ids in zip(fresh, self._own.encode([w[1:] for w in fresh], num_threads=1)):
-            ids = tuple(ids) if word != " " else (self._space,)
-            kept[word] = ids if b"".join(map(self.tokens.__getitem__, ids)) == word.encode() else None
+            ids = ids if word != " " else [self._space]
+            same = b"".join(map(self.tokens.__getitem__, ids)) == word.encode()
+            kept[word] = np.array(ids, np.int32).tobytes() if same else None
         found = list(map(kept.__getitem__, words))
         for word in fresh:
             if len(word) > 64:
                 del kept[word]
-        return None if None in found else np.fromiter(chain.from_iterable(found), np.int32)
+        return None if None in found else np.frombuffer(b"".join(found), np.int32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray | None]:
         """Ids per text; None where they do not give back its bytes."""
@@ -437,3 +441,23 @@ def digests(aligned: DataFrame, counts: DataFrame, a: str, b: str) -> DataFrame:
         digest,
         "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string",
     )
+
+
+@contextmanager
+def _few_rows(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, jobs of the session hand ``ROWS_AT_ONCE`` rows to Python workers at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ROWS_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def measure(docs: DataFrame, a: str, b: str) -> DataFrame:
+    """``digests`` of all documents, with every step stored: alignments, link counts, result."""
+    with _few_rows(docs.sparkSession):
+        aligned = stored(alignments(docs, a, b), "alignments")
+        counts = stored(link_counts(aligned), "link-counts")
+        return stored(digests(aligned, counts, a, b), "alignment-digests")

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import align, bpe, chat, decontaminate, jaccard, langid, lexical, licenses, lm, pii, sharding, topk, urlrules
-from plumbline.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -261,8 +260,7 @@ def op11_token_alignment(spark, sf_dir):
     import public_tokenizers
 
     files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
-    aligned = stored(align.alignments(table(spark, sf_dir, "documents"), *files), "alignments")
-    return align.digests(aligned, align.link_counts(aligned), *files)
+    return align.measure(table(spark, sf_dir, "documents"), *files)
 
 
 _LEXICAL_TERMS = (

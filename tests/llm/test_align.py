@@ -10,7 +10,6 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from plumbline.llm import align
-from plumbline.session import stored
 
 A, B = (public_tokenizers.path(p) for p in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 TEXTS = [
@@ -70,9 +69,7 @@ def plain(texts):
 
 
 def spark_rows(docs):
-    aligned = stored(align.alignments(docs, A, B), "aligned")
-    found = align.digests(aligned, align.link_counts(aligned), A, B)
-    return found
+    return align.measure(docs, A, B)
 
 
 def test_against_loops(documents):
