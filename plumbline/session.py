@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,18 +57,39 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; nothing is written there yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: The folder of the innermost ``temporary`` block.
+_block: ContextVar[str | None] = ContextVar("block", default=None)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def fresh_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new path in the shared folder; nothing is written there yet.
+
+    Inside a ``temporary`` block it is in the folder of the block, unless it is to be ``lasting``.
+    """
+    folder = (None if lasting else _block.get()) or shared_dir(spark)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def temporary(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables stored inside are deleted at its end; what is to be read later has to be ``lasting``."""
+    folder = fresh_path(spark, name)
+    token = _block.set(folder)
+    try:
+        yield
+    finally:
+        _block.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     For results several later steps read: they start from the files, so nothing is
     computed twice and a lost executor costs no recomputation.
     """
-    path = fresh_path(df.sparkSession, name)
+    path = fresh_path(df.sparkSession, name, lasting)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
