@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import stored
+from plumbline.session import stored, temporary
 
 SHINGLE_WORDS = 5
 BITS = 64
@@ -220,5 +220,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that hold no item; rows without an id stay.
+
+    The ids found are stored first, so Spark knows how few they are and leaves the texts in place.
+    """
+    with temporary(docs.sparkSession, "benchmark-leaks"):
+        found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
+        leaked = stored(found, "leaked", lasting=True)
+    return docs.join(leaked, docs["doc_id"].cast("long") == leaked["_leaked"], "left_anti")

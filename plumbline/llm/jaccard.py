@@ -40,8 +40,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.graph import components
+from plumbline.llm.idfilter import id_filter
 from plumbline.llm.shingles import shingle_set
-from plumbline.session import fresh_path, stored
+from plumbline.session import bucketed, stored, temporary
 
 #: Cells of the counting sketch, and slices it is added up in.
 CELLS = 1 << 20
@@ -315,7 +316,10 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are linked."""
+    """The pairs (a, b) of classes that are linked.
+
+    ``sets`` is bucketed by class: the pairs come to their first set, and this one goes to the second.
+    """
     with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("a_tokens")), "a")
     both = with_a.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("b_tokens")), "b")
     return both.select("b", "b_tokens", "a", "a_tokens").mapInArrow(_checked, "a long, b long")
@@ -393,11 +397,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .where(_early("center_size", "center_pos", "top.center_size", "top.center_pos"))
         .select(F.col("center").alias("a"), F.col("top.center").alias("b"))
     )
-    # One document per class gives its set.
-    sets = stored(
-        texts.join(wanted, "doc_id").select("class", "text").mapInArrow(_set_rows(levels), "class long, tokens binary"),
-        "jaccard-sets",
-    )
+    # One document per class gives its set. Sets are dealt by class once, so that pairs can come to them.
+    chosen = texts.where(id_filter(wanted.select("doc_id"))(F.col("doc_id"))).join(wanted, "doc_id").select("class", "text")
+    sets = bucketed(chosen.mapInArrow(_set_rows(levels), "class long, tokens binary"), "jaccard-sets", ["class"])
     links = stored(_verify(best.unionAll(across).distinct(), sets), "jaccard-links")
     first = components(links)
 
@@ -442,13 +444,19 @@ def representatives(docs: DataFrame) -> DataFrame:
 
     Rows without an id cannot be named and are kept.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    # Rows are paired as structs, so no column of theirs can clash.
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.struct("*").alias("row"))
-    named = (
-        rows.join(kept, F.col("doc_id").cast("long") == F.col("_kept"))
-        .groupBy("doc_id")
+    with temporary(docs.sparkSession, "near-duplicates"):
+        found = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+        dropped = stored(found, "jaccard-dropped", lasting=True)
+    repeated = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
+    repeated = repeated.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    doubtful = id_filter(dropped.unionAll(repeated))(F.col("doc_id"))
+    # Only rows that may go, or may be there twice, are shuffled. They are paired as structs, so no
+    # column of theirs can clash.
+    rows = docs.where(doubtful).select(F.col("doc_id").cast("long").alias("_id"), F.struct("*").alias("row"))
+    left = (
+        rows.join(dropped.select(F.col("doc_id").alias("_id")), "_id", "left_anti")
+        .groupBy("_id")
         .agg(F.min_by("row", F.xxhash64("row")).alias("row"))
         .select("row.*")
     )
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    return docs.where(~doubtful).unionByName(left)

@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.rows import map_rows
+
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -256,7 +258,7 @@ def accepted(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
                 keep += [n != UNDETERMINED and s >= least for n, s in zip(names, scores)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def held_out(doc_id):

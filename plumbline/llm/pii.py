@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.rows import map_rows
+
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -278,4 +280,4 @@ def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def redact_column(docs: DataFrame) -> DataFrame:
     """``docs`` with the identifiers in ``text`` replaced; null texts stay null."""
-    return docs.mapInArrow(_redact_batches, docs.schema)
+    return map_rows(docs, _redact_batches)
