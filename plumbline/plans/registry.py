@@ -39,5 +39,6 @@ def load_all() -> None:
         metric_queries,
         profile_queries,
         relationship_queries,
+        rule_scan_queries,
         stream_queries,
     )
