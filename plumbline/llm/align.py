@@ -2,12 +2,16 @@
 
 Each text is encoded twice, and the end offsets of both token rows are merged. Offsets where
 a token of A and a token of B end together cut the text into groups, and each such pair of
-tokens is a link. The texts of a batch are merged at the same time: one state vector holds
+tokens is a link. All texts of a batch are merged at the same time: one state vector holds
 a pointer into A and one into B per lane, every step moves the pointer of the smaller end
 (both where the ends are equal, which emits a link and a cut), and lanes that are done are
-compacted away. A lane is a span of ``LANE_BYTES`` bytes of one text, since ends in different
+compacted away. A lane is a span of ``LANE_BYTES`` bytes of the batch, since ends in different
 spans can be merged independently; so a long text is many lanes and not many steps.
 
+Before a run of spaces in front of a word both tokenizers always cut, if they are of the usual kind, which is
+checked. Texts are then merged word by word, and a word that comes again, in the batch or
+later, brings its tokens and groups along; other texts are merged whole.
+
 ``alignments`` gives the tokens and the sizes of the groups. ``link_counts`` adds up how often
 two ids are linked in the corpus. Two linked tokens end at the same byte, so the bytes of
 one are a suffix of the other's: an id pair is named by a token and a length, and there are
@@ -30,6 +34,7 @@ from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +51,7 @@ BATCH_CHARS = 200_000
 #: Documents that are handed to a Python worker at once: a row holds all tokens of a document.
 ROWS_AT_ONCE = 500
 #: Encoded words a worker keeps before it starts afresh, and the longest text given to the ranks.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 250_000
 RANKED_CHARS = 100_000
 #: Fixed value: the pattern that byte-level tokenizer files stand for by name.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -128,33 +133,36 @@ class ByteLevel:
             self._loaded.encode_special_tokens = True
         return self._loaded
 
-    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
-        """Ids per text; None where they do not give back its bytes."""
-        out: list[np.ndarray | None] = [None] * len(texts)
+    def encode(self, texts: list[str]) -> list[list[int] | None]:
+        """Ids per text, which begins with a space; None where they do not give back its bytes."""
+        out: list[list[int] | None] = [None] * len(texts)
         others = []
         for i, text in enumerate(texts):
             if self._ranked and len(text) <= RANKED_CHARS and is_plain(text):
                 # All bytes are tokens, so nothing can be lost.
-                out[i] = self._ranked.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int32)
+                out[i] = self._ranked.encode_ordinary(text)
             else:
                 others.append(i)
         if others:
-            encoded = self._own().encode_batch([" " + texts[i] for i in others], add_special_tokens=False)
+            encoded = self._own().encode_batch([texts[i] for i in others], add_special_tokens=False)
             for i, e in zip(others, encoded):
                 out[i] = _faithful(e.ids, self.tokens, texts[i])
         return out
 
+    @property
+    def cuts(self) -> bool:
+        """Whether plain texts are cut before spaces."""
+        return self._ranked is not None
+
 
-def _faithful(ids: list[int], tokens: list[bytes], text: str) -> np.ndarray | None:
-    same = b"".join(map(tokens.__getitem__, ids)) == b" " + text.encode()
-    return np.array(ids, np.int32) if same else None
+def _faithful(ids: list[int], tokens: list[bytes], text: str) -> list[int] | None:
+    return ids if b"".join(map(tokens.__getitem__, ids)) == text.encode() else None
 
 
 class Pieces:
     """A ``sentencepiece`` model, which adds the space itself.
 
     If no piece has a space behind another character, nothing merges across the beginning of a run of spaces.
-    A text is then cut there, and each distinct word is encoded once; ``KEPT_WORDS`` are kept.
     """
 
     def __init__(self, path: str):
@@ -167,59 +175,105 @@ class Pieces:
             bytes([int(piece[3:-1], 16)]) if self._own.is_byte(i) else piece.replace("▁", " ").encode()
             for i, piece in enumerate(names)
         ]
-        self._words = re.compile(" +[^ ]*").findall
         self._space = self._own.piece_to_id("▁")
-        self._kept: dict[str, bytes | None] = {}
-        self._cuts = self.tokens[self._space] == b" " and not any(re.search("[^▁]▁", piece) for piece in names)
+        spaced = self.tokens[self._space] == b" " and not any(re.search("[^▁]▁", piece) for piece in names)
         # A model that rewrites characters, or white space, is used on whole texts.
-        self._cuts = self._cuts and all(
-            (cut := self._by_words(t)) is not None and cut.tolist() == self._own.encode(t) for t in _PROBES
-        )
+        self.cuts = spaced and all(self._by_words(t) == self._own.encode(t) for t in _PROBES)
 
-    def _whole(self, text: str) -> np.ndarray | None:
-        return _faithful(self._own.encode(text), self.tokens, text)
+    def _by_words(self, text: str) -> list[int]:
+        return [i for ids in self.encode(words_of(" " + text)) for i in ids or ()]
 
-    def _by_words(self, text: str) -> np.ndarray | None:
-        words = self._words(" " + text)
-        if len(self._kept) > KEPT_WORDS:
-            self._kept.clear()
-        kept = self._kept
-        fresh = list(set(words).difference(kept))
+    def encode(self, texts: list[str]) -> list[list[int] | None]:
+        """Ids per text, which begins with a space; None where they do not give back its bytes."""
         # The model puts back the space that is taken off here, unless nothing else is left.
-        for word, ids in zip(fresh, self._own.encode([w[1:] for w in fresh], num_threads=1)):
-            ids = ids if word != " " else [self._space]
-            same = b"".join(map(self.tokens.__getitem__, ids)) == word.encode()
-            kept[word] = np.array(ids, np.int32).tobytes() if same else None
-        found = list(map(kept.__getitem__, words))
-        for word in fresh:
-            if len(word) > 64:
-                del kept[word]
-        return None if None in found else np.frombuffer(b"".join(found), np.int32)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
-        """Ids per text; None where they do not give back its bytes."""
-        # The mark of a space is given back as a space.
-        return [None if "▁" in t else self._by_words(t) if self._cuts else self._whole(t) for t in texts]
+        encoded = self._own.encode([t[1:] for t in texts], num_threads=1)
+        # The mark of a space would be given back as a space.
+        return [
+            None if "▁" in t else _faithful(ids if t != " " else [self._space], self.tokens, t) for t, ids in zip(texts, encoded)
+        ]
+
+
+#: Runs of spaces with what follows them up to the next space.
+words_of = re.compile(" +[^ ]*").findall
+#: A space between other white space and more white space, or the end, is one piece with what is before it.
+_joined_space = re.compile(r"[^\S ] (?:\s|\Z)").search
+
+
+#: What is known of a text: the ids of both tokenizers, and how many of each are in its groups.
+FIELDS = ("a_ids", "b_ids", "a_sizes", "b_sizes")
 
 
 class Pair:
-    """Two tokenizers with the byte lengths of their tokens."""
+    """Two tokenizers with the byte lengths of their tokens, and the words merged so far.
+
+    The fields of all words lie in a row, so texts are put together from them by one gather.
+    """
 
     def __init__(self, a: str, b: str, ranked: bool = False):
         self.a, self.b = (ByteLevel(p, ranked) if p.endswith(".json") else Pieces(p) for p in (a, b))
         self.lengths_a, self.lengths_b = (np.array([len(t) for t in x.tokens], np.int64) for x in (self.a, self.b))
-
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The ids of both; none where the tokens do not give back the text with a space before it."""
-        full = [i for i, t in enumerate(texts) if t]
-        nothing = np.zeros(0, np.int32)
-        out = [(nothing, nothing)] * len(texts)
-        given = [texts[i] for i in full]
-        for i, a, b in zip(full, self.a.encode(given), self.b.encode(given)):
-            if a is not None and b is not None:
-                out[i] = (a, b)
+        self._cuts = self.a.cuts and self.b.cuts
+        self._forget()
+
+    def _forget(self) -> None:
+        self._places: dict[str, int] = {}
+        self._flat = [np.zeros(0, np.int32) for _ in FIELDS]
+        self._ends = [np.zeros(1, np.int64) for _ in FIELDS]
+
+    def align(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per field the values of all texts in a row, and where each text begins, with the end.
+
+        A text has no tokens if those of a tokenizer do not give it back with a space before it.
+        """
+        spans = [self._spans(t) if t else [] for t in texts]
+        if len(self._places) > KEPT_WORDS:
+            self._forget()
+        places = self._places
+        # Long ones go last, so that they can be forgotten again.
+        fresh = sorted(set(chain.from_iterable(spans)).difference(places), key=lambda w: len(w) > 64)
+        n_kept = len(places) + sum(len(w) <= 64 for w in fresh)
+        places.update(zip(fresh, range(len(places), len(places) + len(fresh))))
+        for k, (flat, ends) in enumerate(self._merged(fresh)):
+            self._ends[k] = np.concatenate([self._ends[k], len(self._flat[k]) + ends])
+            self._flat[k] = np.concatenate([self._flat[k], flat])
+        counts = [len(s) for s in spans]
+        words = np.fromiter(map(places.__getitem__, chain.from_iterable(spans)), np.int64, sum(counts))
+        of = np.repeat(np.arange(len(texts)), counts)
+        lost = np.diff(self._ends[0])[words] == 0
+        if lost.any():
+            whole = np.bincount(of, lost, len(texts))[of] == 0
+            words, of = words[whole], of[whole]
+        out = []
+        for k in range(len(FIELDS)):
+            lengths = np.diff(self._ends[k])[words]
+            begins = self._ends[k][words] - (np.cumsum(lengths) - lengths)
+            values = self._flat[k][np.repeat(begins, lengths) + np.arange(lengths.sum())]
+            sums = np.bincount(of, lengths, len(texts)).astype(np.int64)
+            out.append((values, np.append(0, np.cumsum(sums))))
+        for word in fresh[n_kept - len(places) :] if n_kept < len(places) else ():
+            del places[word]
+        for k in range(len(FIELDS)):
+            self._ends[k] = self._ends[k][: n_kept + 1]
+            self._flat[k] = self._flat[k][: self._ends[k][-1]]
         return out
 
+    def _spans(self, text: str) -> list[str]:
+        """The text in parts that begin and end with a cut."""
+        text = " " + text
+        return words_of(text) if self._cuts and is_plain(text) and not _joined_space(text) else [text]
+
+    def _merged(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per field the values of all texts, merged at the same time, and the texts' ends; none where bytes are lost."""
+        ids = [p if None not in p else ((), ()) for p in zip(self.a.encode(texts), self.b.encode(texts))]
+        out = []
+        for k in (0, 1):
+            ends = np.cumsum(np.fromiter((len(p[k]) for p in ids), np.int64, len(ids)))
+            out.append((np.fromiter(chain.from_iterable(p[k] for p in ids), np.int32, int(ends[-1]) if len(ends) else 0), ends))
+        links = merge(np.cumsum(self.lengths_a[out[0][0]]), np.cumsum(self.lengths_b[out[1][0]]))
+        # Every text ends with a cut, so groups are sizes between links, of all texts in a row.
+        groups = np.searchsorted(links[0], out[0][1])
+        return out + [(np.diff(x, prepend=-1).astype(np.int32), groups) for x in links]
+
     @property
     def most_pairs(self) -> int:
         """No corpus can link more different id pairs than this."""
@@ -240,27 +294,18 @@ def _vocabulary_sizes(a: str, b: str) -> tuple[int, int]:
     return tuple(len(ByteLevel(p).tokens if p.endswith(".json") else Pieces(p).tokens) for p in (a, b))
 
 
-def merge(ends_a: list[np.ndarray], ends_b: list[np.ndarray], lane: int = LANE_BYTES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text the places of the A and of the B tokens that end together, ascending.
+def merge(ends_a: np.ndarray, ends_b: np.ndarray, lane: int = LANE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the A and of the B tokens that end together, ascending.
 
-    ``ends_a`` and ``ends_b`` are the ascending end offsets of each text's tokens; the last
-    ones are equal.
+    ``ends_a`` and ``ends_b`` are the ascending end offsets of the tokens of all texts, laid in a row.
     """
-    sizes_a, sizes_b = (np.array([len(e) for e in ends], np.int64) for ends in (ends_a, ends_b))
-    bases_a, bases_b = np.cumsum(sizes_a) - sizes_a, np.cumsum(sizes_b) - sizes_b
+    if not len(ends_a):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     # The pointers of a lane begin at the first ends beyond its first byte.
-    lanes: tuple[list, ...] = ([], [], [], [])
-    for k, (a, b) in enumerate(zip(ends_a, ends_b)):
-        if len(a):
-            bounds = np.arange(lane, a[-1], lane)
-            for into, ends, base in ((0, a, bases_a[k]), (2, b, bases_b[k])):
-                cuts = np.searchsorted(ends, bounds, side="right")
-                lanes[into].append(base + np.concatenate([[0], cuts]))
-                lanes[into + 1].append(base + np.concatenate([cuts, [len(ends)]]))
-    if not lanes[0]:
-        return [(np.zeros(0, np.int64),) * 2 for _ in ends_a]
-    i, stop_a, j, stop_b = (np.concatenate(x) for x in lanes)
-    all_a, all_b = np.concatenate(ends_a), np.concatenate(ends_b)
+    bounds = np.arange(lane, ends_a[-1], lane)
+    cuts_a, cuts_b = (np.searchsorted(ends, bounds, side="right") for ends in (ends_a, ends_b))
+    i, stop_a = np.append(0, cuts_a), np.append(cuts_a, len(ends_a))
+    j, stop_b = np.append(0, cuts_b), np.append(cuts_b, len(ends_b))
     links_a, links_b = [], []
     while True:
         open_ = (i < stop_a) & (j < stop_b)
@@ -269,19 +314,14 @@ def merge(ends_a: list[np.ndarray], ends_b: list[np.ndarray], lane: int = LANE_B
             i, stop_a, j, stop_b = i[open_], stop_a[open_], j[open_], stop_b[open_]
             if not len(i):
                 break
-        a, b = all_a[i], all_b[j]
+        a, b = ends_a[i], ends_b[j]
         met = a == b
         links_a.append(i[met])
         links_b.append(j[met])
         i, j = i + (a <= b), j + (b <= a)
     found_a, found_b = np.concatenate(links_a), np.concatenate(links_b)
     order = np.argsort(found_a)
-    found_a, found_b = found_a[order], found_b[order]
-    borders = np.searchsorted(found_a, np.append(bases_a, len(all_a)))
-    return [
-        (found_a[begin:end] - base_a, found_b[begin:end] - base_b)
-        for begin, end, base_a, base_b in zip(borders, borders[1:], bases_a, bases_b)
-    ]
+    return found_a[order], found_b[order]
 
 
 def _batches(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
@@ -298,7 +338,7 @@ def _batches(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
 
 
 _ALIGNED = pa.schema(
-    [("doc_id", pa.int64())] + [(name, pa.list_(pa.int32())) for name in ("a_ids", "b_ids", "a_sizes", "b_sizes")]
+    [("doc_id", pa.int64())] + [(name, pa.list_(pa.int32())) for name in FIELDS]
 )
 
 
@@ -317,16 +357,8 @@ def alignments(docs: DataFrame, a: str, b: str) -> DataFrame:
         own = tokenizers(a, b, ranked)
         for batch in batches:
             for begin, texts in _batches(batch.column(1)):
-                ids = own.encode(texts)
-                ids_a, ids_b = ([x[k] for x in ids] for k in (0, 1))
-                cuts = merge(
-                    [np.cumsum(own.lengths_a[x]) for x in ids_a], [np.cumsum(own.lengths_b[x]) for x in ids_b]
-                )
-                sizes = ([np.diff(c[k], prepend=-1).astype(np.int32) for c in cuts] for k in (0, 1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, len(texts)), *(pa.array(x, pa.list_(pa.int32())) for x in (ids_a, ids_b, *sizes))],
-                    schema=_ALIGNED,
-                )
+                lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v)) for v, o in own.align(texts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), *lists], schema=_ALIGNED)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(align, "doc_id long, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>")
@@ -445,14 +477,16 @@ def digests(aligned: DataFrame, counts: DataFrame, a: str, b: str) -> DataFrame:
 
 @contextmanager
 def _few_rows(spark: SparkSession) -> Iterator[None]:
-    """While it lasts, jobs of the session hand ``ROWS_AT_ONCE`` rows to Python workers at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(ROWS_AT_ONCE))
+    """While it lasts, jobs of the session read, and hand to Python workers, ``ROWS_AT_ONCE`` rows at a time."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, str(ROWS_AT_ONCE))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def measure(docs: DataFrame, a: str, b: str) -> DataFrame:

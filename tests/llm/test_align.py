@@ -95,15 +95,27 @@ def test_empty_table(documents):
 @pytest.mark.parametrize("lane", [1, 2, 7, 1000])
 def test_merge_in_lanes(lane):
     rng = np.random.default_rng(lane)
-    ends_a, ends_b = [], []
-    for k in range(30):
-        size = int(rng.integers(1, 60))
-        for ends in (ends_a, ends_b):
-            inner = np.flatnonzero(rng.random(size) < 0.5) + 1
-            ends.append(np.unique(np.append(inner, size)) if k % 7 else np.zeros(0, np.int64))
-    for a, b, (i, j) in zip(ends_a, ends_b, align.merge(ends_a, ends_b, lane)):
+    for _ in range(40):
+        size = int(rng.integers(1, 200))
+        a, b = (np.unique(np.append(np.flatnonzero(rng.random(size) < 0.5) + 1, size)) for _ in range(2))
+        i, j = align.merge(a, b, lane)
         common = np.intersect1d(a, b)
         assert a[i].tolist() == common.tolist() == b[j].tolist()
+    assert [len(x) for x in align.merge(np.zeros(0, np.int64), np.zeros(0, np.int64), lane)] == [0, 0]
+
+
+def test_word_by_word_is_as_whole(monkeypatch):
+    """Texts cut into words, with words kept from before, against texts merged whole."""
+    cut, whole = align.Pair(A, B, True), align.Pair(A, B, True)
+    assert cut._cuts
+    whole._cuts = False
+    monkeypatch.setattr(align, "KEPT_WORDS", 500)
+    rng = random.Random(9)
+    parts = [" ", "  ", "\n", "\t", "\u00a0", "the", "ing", "'s", "!", "é", "12", "X", "</s>", "日", "▁"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(parts[: rng.choice([9, 13, 15])]) for _ in range(rng.choice([3, 20, 200]))) for _ in range(20)]
+        for one, other in zip(cut.align(texts), whole.align(texts)):
+            assert one[0].tolist() == other[0].tolist() and one[1].tolist() == other[1].tolist()
 
 
 def test_pairs_are_bounded(documents):

@@ -28,18 +28,18 @@ def test_every_plain_character_in_the_tokenizer_file():
     plain.encode_special_tokens = True
     assert align.BYTE_LEVEL_PATTERN == public_tokenizers.PATTERN
     texts = [f"a{c} 1{c} !{c}  {c}x{c}{c} '{c}" for c in (chr(c) for r in pieces.PLAIN for c in r)] + ["日本 a", " the the  ", "x" * 150_000]
-    assert [x.tolist() for x in own.encode(texts)] == [plain.encode(" " + t, add_special_tokens=False).ids for t in texts]
+    texts = [" " + t for t in texts]
+    assert own.encode(texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_words_are_encoded_as_in_whole_texts():
     own = align.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    assert own._cuts
+    assert own.cuts
     rng = random.Random(6)
     parts = [" ", "  ", "the", "ing", "\n", "é", "日", "１", "ﬁ", "e\u0301", "</s>", "<unk>", "<0x41>", "\t", "x", "1", "　", "\u200b", "😀"]
     for _ in range(5000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 20)))
-        whole, cut = own._whole(text), own._by_words(text)
-        assert (whole is None) == (cut is None) and (whole is None or whole.tolist() == cut.tolist()), text
+        assert own._own.encode(text) == own._by_words(text), text
 
 
 def test_ranks_are_refused_where_merges_differ():
