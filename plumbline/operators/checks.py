@@ -333,7 +333,7 @@ def _sql_row(spark: SparkSession, check: Check, tables: Mapping[str, DataFrame])
     try:
         # A second row is enough to know that it is not a count.
         found = sql_counts(spark, check.params["sql"], tables).limit(2).collect()
-        if len(found) != 1 or None in found[0]:
+        if len(found) != 1 or None in tuple(found[0]):
             raise ValueError("the SELECT has to give one row with two numbers")
         failed, total = found[0]
         return (*label, failed, total, "failed" if failed > 0 else "passed", None)
