@@ -7,7 +7,8 @@ document's probabilities are the means over all its windows, weighted by their b
 the whole text counts.
 
 Training data is a bounded sample: for each language the ``per_language`` labelled documents
-with the smallest hash of their id, and of each ``windows_per_doc`` excerpts. The bound does
+with the smallest hash of their id, and of each ``windows_per_doc`` excerpts; of more than
+``languages`` languages those with the most labels are learned. The bound does
 not depend on the size of the table; prediction reads every document and shuffles nothing.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a language
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.rows import map_rows
+from plumbline.session import stored
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -169,13 +171,20 @@ def training_sample(docs: DataFrame, settings: Settings) -> DataFrame:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
         F.col("lang").cast("string").alias("lang"), place.alias("place"), excerpts.alias("excerpts")
     )
-    first = Window.partitionBy("lang").orderBy("place")
-    return rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= settings.per_language).drop("n", "place")
+    # The smallest of each part, then of all parts, so no task holds all rows of a frequent language.
+    rows = rows.withColumn("part", F.pmod(F.col("place"), F.lit(16)))
+    for keys in (["lang", "part"], ["lang"]):
+        first = Window.partitionBy(*keys).orderBy("place")
+        rows = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= settings.per_language).drop("n")
+    return rows.drop("place", "part")
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Network | None:
     """Train on the labelled rows of ``docs``; None if there are none."""
-    sample = training_sample(docs, settings).limit(settings.languages * settings.per_language).collect()
+    rows = stored(training_sample(docs, settings), "language-sample")
+    # The languages with the most labels, as many as the network may have; equal ones by name.
+    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages)
+    sample = rows.join(known.select("lang"), "lang", "left_semi").collect()
     if not sample:
         return None
     languages = sorted({r["lang"] for r in sample})
