@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,25 +136,21 @@ def star_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {MART_CTES}, {_CATALOG}, k AS (
           SELECT 'EVENT_LOG' AS "table", 'EVENT_KEY' AS "column", count(EVENT_KEY) - count(DISTINCT EVENT_KEY) AS dup FROM m_EVENT_LOG
           UNION ALL SELECT 'SUPPLIER', 'ID', count(ID) - count(DISTINCT ID) FROM m_SUPPLIER
-          UNION ALL SELECT 'LINE_ITEMS', 'LINE_KEY', count(SUPPLIER_ID) - count(DISTINCT SUPPLIER_ID) FROM m_LINE_ITEMS)
+          UNION ALL SELECT 'TURNS', 'CONVERSATION_KEY', count(conv_id) - count(DISTINCT conv_id) FROM conversations)
         SELECT "table", "column", 'uniqueness' AS shape, CAST(NULL AS VARCHAR) AS ref_table, CAST(NULL AS VARCHAR) AS ref_column,
                'high' AS severity, dup AS violations FROM k WHERE dup > 0
         UNION ALL SELECT from_table, from_column, 'referential_integrity', to_table, to_column, 'high', sample_orphans
         FROM rel WHERE status = 'confirmed' AND orphan_rate > 0""",
 )
 def deterministic_rule_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the profiles of all columns of all tables; the turns of a conversation share its key."""
     tables = mart(spark, sf_dir)
     found = relationships.discover(tables, columns_meta(spark, tables))
-    lines = tables["LINE_ITEMS"].select(F.col("SUPPLIER_ID").alias("LINE_KEY"))
-    profiles = [
-        profiling.profile_columns(df, name, columns=columns)
-        for name, df, columns in (
-            ("EVENT_LOG", tables["EVENT_LOG"], ["EVENT_KEY"]),
-            ("SUPPLIER", tables["SUPPLIER"], ["ID"]),
-            ("LINE_ITEMS", lines, ["LINE_KEY"]),
-        )
-    ]
-    key_columns = profiling.key_candidates(profiles[0].unionByName(profiles[1]).unionByName(profiles[2]))
+    turns = read_tables(spark, sf_dir, ["conversations"])["conversations"].selectExpr(
+        "conv_id AS CONVERSATION_KEY", "turn AS TURN_NO", "role AS SPEAKER", "text AS MESSAGE"
+    )
+    profiles = [profiling.profile_columns(df, name) for name, df in {**tables, "TURNS": turns}.items()]
+    key_columns = profiling.key_candidates(reduce(DataFrame.unionByName, profiles))
     none = spark.createDataFrame([], "table string, column string")
     return relationships.rule_candidates(key_columns, found, none)
 
