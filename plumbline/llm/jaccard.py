@@ -12,9 +12,10 @@
 4. Candidates are checked exactly: the sets that meet one probe are stored in a tree of
    their ordered shingles, so that common beginnings are counted once, and a subtree is
    left as soon as the shingles that remain cannot reach the overlap it needs.
-5. Linked classes are joined to components. What shares a prefix shingle but is in
-   different components is checked in the same way, so no link between components is
-   missed, while a group of thousands of near copies is never expanded into pairs.
+5. Linked classes are joined to components. What shares a shingle so early that it can be
+   the first of a similar pair, but is in different components, is checked in the same way,
+   so no link between components is missed, while a group of thousands of near copies is
+   never expanded into pairs.
 
 No group is collected: prefixes are streamed in sorted runs, shingles that many classes
 share are split over several runs, and a class is sent once per task however many copies
@@ -279,60 +280,67 @@ def _runs(batches: Iterator[pa.RecordBatch], lone: bool = False) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(first["token"].to_numpy()), *own, *own, *marks], _SHARED_NAMES)
 
 
-def _set_rows(levels):
-    """The ordered sets of classes; a class once per task, also if a document row is repeated."""
+def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One packed text per class; a class once per task, also if a document row is repeated.
+
+    A text is a third of the size of its set, which it is read into again where it is compared.
+    """
+    seen = set()
+    for batch in batches:
+        for start in range(0, batch.num_rows, 500):
+            names, packed = [], []
+            for name, text in zip(batch.column(0).slice(start, 500).to_pylist(), batch.column(1).slice(start, 500)):
+                own = shingle_set(text.as_py())
+                if name not in seen and len(own) and class_of(own) == name:
+                    seen.add(name)
+                    names.append(name)
+                    packed.append(zlib.compress(text.as_py().encode("utf-8", "surrogatepass"), 6))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packed, pa.binary())], ["class", "packed"])
+
+
+def _checked(levels):
+    """Rows (b, b_packed, a, a_packed) to linked pairs; neighbouring rows with one b share a tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        table = levels.value
+
+        def unpacked(data: pa.Scalar) -> np.ndarray:
+            return ordered(shingle_set(zlib.decompress(data.as_py()).decode("utf-8", "surrogatepass")), table)
+
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                names, blobs = [], []
-                for name, text in zip(batch.column(0).slice(start, 500).to_pylist(), batch.column(1).slice(start, 500)):
-                    own = shingle_set(text.as_py())
-                    if name not in seen and len(own) and class_of(own) == name:
-                        seen.add(name)
-                        names.append(name)
-                        blobs.append(ordered(own, levels.value).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["class", "tokens"])
+            probes, names = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            linked = ([], [])
+            start = 0
+            for i in range(1, len(probes) + 1):
+                if i == len(probes) or probes[i] != probes[start] or i - start == TREE_SETS:
+                    sets = [unpacked(x) for x in batch.column(3).slice(start, i - start)]
+                    for m in Tree(sets).probe(unpacked(batch.column(1)[start])):
+                        linked[0].append(names[start + m])
+                        linked[1].append(probes[start])
+                    start = i
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in linked], ["a", "b"])
 
     return run
 
 
-def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (b, b_tokens, a, a_tokens) to linked pairs; neighbouring rows with one b share a tree."""
-    for batch in batches:
-        probes, names = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        linked = ([], [])
-        start = 0
-        for i in range(1, len(probes) + 1):
-            if i == len(probes) or probes[i] != probes[start] or i - start == TREE_SETS:
-                sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(3).slice(start, i - start)]
-                other = np.frombuffer(batch.column(1)[start].as_py(), np.uint64)
-                for m in Tree(sets).probe(other):
-                    linked[0].append(names[start + m])
-                    linked[1].append(probes[start])
-                start = i
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in linked], ["a", "b"])
-
-
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
     """The pairs (a, b) of classes that are linked.
 
-    ``sets`` is bucketed by class: the pairs come to their first set, and this one goes to the second.
+    ``texts`` is bucketed by class: the pairs come to their first text, and this one goes to the second.
     """
-    with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("a_tokens")), "a")
-    both = with_a.join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("b_tokens")), "b")
-    return both.select("b", "b_tokens", "a", "a_tokens").mapInArrow(_checked, "a long, b long")
+    with_a = pairs.join(texts.select(F.col("class").alias("a"), F.col("packed").alias("a_packed")), "a")
+    both = with_a.join(texts.select(F.col("class").alias("b"), F.col("packed").alias("b_packed")), "b")
+    return both.select("b", "b_packed", "a", "a_packed").mapInArrow(_checked(levels), "a long, b long")
 
 
-def _early(size_a: str, pos_a: str, size_b: str, pos_b: str):
-    """Whether a common shingle at these places can be one of the first COMMON of a similar pair.
+def _early(size_a: str, pos_a: str, size_b: str, pos_b: str, common: int = COMMON):
+    """Whether a common shingle at these places can be one of the first ``common`` of a similar pair.
 
     From the first common shingle on, both sets have to hold the overlap they need; the
     next ones lie one place further each.
     """
     a, i, b, j = (F.col(c) for c in (size_a, pos_a, size_b, pos_b))
-    return F.least(a - i, b - j) + (COMMON - 1) >= _needed(a, b)
+    return F.least(a - i, b - j) + (common - 1) >= _needed(a, b)
 
 
 def _needed(a, b):
@@ -397,34 +405,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .where(_early("center_size", "center_pos", "top.center_size", "top.center_pos"))
         .select(F.col("center").alias("a"), F.col("top.center").alias("b"))
     )
-    # One document per class gives its set. Sets are dealt by class once, so that pairs can come to them.
+    # One document per class gives its set. Texts are dealt by class once, so that pairs can come to them.
     chosen = texts.where(id_filter(wanted.select("doc_id"))(F.col("doc_id"))).join(wanted, "doc_id").select("class", "text")
-    sets = bucketed(chosen.mapInArrow(_set_rows(levels), "class long, tokens binary"), "jaccard-sets", ["class"])
-    links = stored(_verify(best.unionAll(across).distinct(), sets), "jaccard-links")
+    packed = bucketed(chosen.mapInArrow(_text_rows, "class long, packed binary"), "jaccard-texts", ["class"])
+    links = stored(_verify(best.unionAll(across).distinct(), packed, levels), "jaccard-links")
     first = components(links)
 
     named = shared.join(wanted.select("class"), "class").join(first.withColumnRenamed("node", "class"), "class", "left").select(
         "token", "class", "size", "pos", F.coalesce("component", "class").alias("component")
     )
-    named = stored(named.distinct(), "jaccard-named")
+    # Across components, the first shingle that a pair shares is enough. It lies so early in both that
+    # the overlap they need fits behind it, which leaves out what many texts share at their ends.
+    room = F.floor((4 * F.col("size") + 4) / 5)
+    named = stored(named.where(F.col("size") - F.col("pos") >= room).distinct(), "jaccard-named")
     mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     left = named.join(mixed, "token").select("token", *[F.col(c).alias(f"{c}_a") for c in ("class", "size", "pos", "component")])
     right = named.select("token", *[F.col(c).alias(f"{c}_b") for c in ("class", "size", "pos", "component")])
     across = (
         left.join(right, "token")
         .where("component_a < component_b")
-        .where(_early("size_a", "pos_a", "size_b", "pos_b"))
-        .groupBy(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-        .agg(
-            F.count("*").alias("n"),
-            F.first(_needed(F.col("size_a"), F.col("size_b"))).alias("needed"),
-            # Nothing is shared before the first common shingle.
-            F.max(F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))).alias("rest"),
-        )
-        .where((F.col("n") >= F.least(F.lit(COMMON), F.col("needed"))) & (F.col("rest") >= F.col("needed")))
-        .select("a", "b")
+        .where(_early("size_a", "pos_a", "size_b", "pos_b", common=1))
+        .select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+        .distinct()
     )
-    more = stored(_verify(across, sets), "jaccard-more")
+    more = stored(_verify(across, packed, levels), "jaccard-more")
     if not more.isEmpty():
         first = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
