@@ -319,6 +319,31 @@ def tail_values(df: DataFrame, profile: DataFrame, rules: ProfilePolicy = Profil
     return extreme_values(counted, rules.top_k, rarest=True)
 
 
+def left_out(profile: DataFrame, keys: Sequence[str] = (), rules: ProfilePolicy = ProfilePolicy()) -> DataFrame:
+    """(keys, column, list, distinct_count, reason): which value lists a column has not, and why.
+
+    ``list`` is top_values, tail_values or closed_set.
+    """
+    n = F.col("distinct_count")
+
+    def entry(name: str, most: int, category_allows: Column = F.lit(True), category_decides: Column = F.lit(False)) -> Column:
+        reason = (
+            F.when(~category_allows, F.concat(F.lit("columns of category "), F.coalesce("category", F.lit("?")), F.lit(" have none")))
+            .when(F.coalesce(n, F.lit(0)) == 0, "no value")
+            .when(~category_decides & (n > most), f"more than {most} distinct values")
+        )
+        return F.struct(F.lit(name).alias("list"), n.alias("distinct_count"), reason.alias("reason"))
+
+    listed = F.col("category").isin("status", "categorical")
+    entries = F.array(
+        entry("top_values", rules.top_values_max_distinct, listed | (F.col("category") == "text"), listed),
+        entry("tail_values", rules.tail_values_max_distinct),
+        entry("closed_set", rules.closed_set_max_distinct),
+    )
+    missing = F.filter(entries, lambda e: e["reason"].isNotNull())
+    return profile.select(*[_col(k) for k in keys], "column", F.inline(missing))
+
+
 def closed_sets(
     df: DataFrame, profile: DataFrame, keys: Sequence[str] = (), rules: ProfilePolicy = ProfilePolicy()
 ) -> DataFrame:

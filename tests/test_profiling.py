@@ -148,3 +148,18 @@ def test_elapsed_time_ignores_clock_changes(spark):
         assert row.select(seconds_between(F.col("a"), F.col("b"))).first()[0] == 86400.5
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_left_out_lists_have_a_reason(spark):
+    from plumbline.operators import profiling
+
+    rows = [("state", "status", 300), ("kind", "categorical", 4), ("note", "text", 60), ("word", "text", 12), ("price", "amount", 900), ("gone", "text", 0)]
+    profile = spark.createDataFrame(rows, "column string, category string, distinct_count long")
+    found = {(r["column"], r["list"]): r["reason"] for r in profiling.left_out(profile).collect()}
+    assert found == {
+        ("state", "tail_values"): "more than 200 distinct values", ("state", "closed_set"): "more than 50 distinct values",
+        ("note", "top_values"): "more than 50 distinct values", ("note", "closed_set"): "more than 50 distinct values",
+        ("price", "top_values"): "columns of category amount have none", ("price", "tail_values"): "more than 200 distinct values",
+        ("price", "closed_set"): "more than 50 distinct values",
+        ("gone", "top_values"): "no value", ("gone", "tail_values"): "no value", ("gone", "closed_set"): "no value",
+    }
