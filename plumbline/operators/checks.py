@@ -575,6 +575,29 @@ def reconcile(results: DataFrame, samples: DataFrame) -> DataFrame:
     )
 
 
+def declared_key_checks(columns_meta: DataFrame) -> list[Check]:
+    """The checks that declared keys ask for; metadata decides which.
+
+    ``columns_meta`` with its key flags: the primary key columns of a table, in
+    their order, are one key without NULLs; each unique column is a key that may be NULL.
+    """
+    rows = columns_meta.where("is_primary_key OR is_unique").orderBy("table", "ordinal").collect()
+    primary: dict[str, list[str]] = {}
+    for row in rows:
+        if row["is_primary_key"]:
+            primary.setdefault(row["table"], []).append(row["column"])
+    found = []
+    for table, columns in primary.items():
+        found += [build_check("not_null", table, {"column": c}, rule=f"primary_key_set:{table}.{c}", severity="critical") for c in columns]
+        shape = "uniqueness" if len(columns) == 1 else "duplicate_key"
+        found.append(build_check(shape, table, {"columns": columns}, rule=f"primary_key:{table}", severity="critical"))
+    return found + [
+        build_check("uniqueness", r["table"], {"column": r["column"]}, rule=f"unique_key:{r['table']}.{r['column']}", severity="high")
+        for r in rows
+        if r["is_unique"]
+    ]
+
+
 def execution_log(instances: DataFrame, results: DataFrame, executed_at: Column) -> DataFrame:
     """One row per instance that ran: failed or error with its counts, else passed.
 

@@ -131,3 +131,38 @@ def full_rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("is_nullable", F.lit(None).cast("string"))
     prior = column_snapshot(declared.select(*gone.columns).unionByName(gone))
     return rulescan.full_rule_scan(tables, rules, _RULES, prior).drop("error")
+
+
+_PRIMARY = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"], "conversations": ["conv_id"]}
+_UNIQUE = {"nation": ["n_name"], "part": ["p_name"]}
+
+
+def _set(table: str, column: str) -> str:
+    return f"""SELECT 'primary_key_set:{table}.{column}' AS rule, '{table}' AS "table", '{column}' AS "column", 'critical' AS severity,
+        count(*) - count({column}) AS fail_count, count(*) AS total_count FROM {table}"""
+
+
+def _unique(rule: str, table: str, columns: list[str], severity: str) -> str:
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    keys = ", ".join(columns)
+    return f"""SELECT '{rule}', '{table}', '{",".join(columns)}', '{severity}', CAST(coalesce(sum(n) FILTER (WHERE n > 1 AND whole), 0) AS BIGINT),
+        CAST(sum(n) AS BIGINT) FROM (SELECT count(*) AS n, {whole} AS whole FROM {table} GROUP BY {keys})"""
+
+
+@query(
+    "declared_key_checks",
+    "SELECT *, CASE WHEN fail_count > 0 THEN 'failed' ELSE 'passed' END AS status FROM ("
+    + " UNION ALL ".join(
+        [
+            *[_set(t, c) for t, columns in _PRIMARY.items() for c in columns],
+            *[_unique(f"primary_key:{t}", t, columns, "critical") for t, columns in _PRIMARY.items()],
+            *[_unique(f"unique_key:{t}.{c}", t, [c], "high") for t, columns in _UNIQUE.items() for c in columns],
+        ]
+    )
+    + ")",
+)
+def declared_key_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the declared keys of six tables promise; the turns of a conversation break one."""
+    tables = read_tables(spark, sf_dir, [*_PRIMARY, *_UNIQUE])
+    rules = checks.declared_key_checks(columns_meta(spark, tables, _PRIMARY, _UNIQUE))
+    return checks.scan(tables, rules).drop("error")
