@@ -291,16 +291,16 @@ def _key_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> Dat
         value_counts(tables, list(places))
         .groupBy("value")
         .agg(F.collect_list(F.struct("place", "n")).alias("holders"))
-        .select("value", F.col("holders.place").alias("known"), F.inline("holders"))
+        .select(F.col("value").isNotNull().alias("filled"), F.array_sort("holders.place").alias("known"), F.inline("holders"))
+        # Values that no check can tell apart are added up before the join: a column's values would all meet in one task.
+        .groupBy("place", "known", "filled", (F.col("n") > 1).alias("repeated"))
+        .agg(F.sum("n").alias("n"))
     )
-    bad = F.when(F.col("parent").isNull(), F.col("n") > 1).otherwise(~F.array_contains("known", F.col("parent")))
+    bad = F.when(F.col("parent").isNull(), F.col("repeated")).otherwise(~F.array_contains("known", F.col("parent")))
     counted = (
         held.join(wanted.select("id", "place", "parent"), "place")
         .groupBy("id")
-        .agg(
-            F.sum(F.when(F.col("value").isNotNull() & bad, F.col("n")).otherwise(0)).alias("fail"),
-            F.sum("n").alias("total"),
-        )
+        .agg(F.sum(F.when(F.col("filled") & bad, F.col("n")).otherwise(0)).alias("fail"), F.sum("n").alias("total"))
     )
     fail, total = (F.coalesce(c, F.lit(0)) for c in ("fail", "total"))
     return wanted.join(counted, "id", "left").select(

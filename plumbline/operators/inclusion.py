@@ -124,7 +124,12 @@ class ValueIndex:
             .agg(F.collect_list(F.struct("place", "n")).alias("holders"))
             .where(F.size("holders") > 1)
         )
-        children = holders.select(F.col("holders.place").alias("known"), F.inline("holders"))
+        # Values with the same holders count as one: joined singly, a column's values would all meet in one task.
+        children = (
+            holders.select(F.array_sort("holders.place").alias("known"), F.inline("holders"))
+            .groupBy("place", "known")
+            .agg(F.sum("n").alias("n"))
+        )
         met = children.join(parents, "place").select(
             F.col("place").alias("from_place"), "n", F.explode(F.array_intersect("known", "parents")).alias("to_place")
         )
