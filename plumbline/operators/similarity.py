@@ -37,17 +37,21 @@ def _needed(size: Column, threshold: float) -> Column:
 
 
 def _ranked(sets: DataFrame) -> DataFrame:
-    """``sets(side, word_key, size, words)`` with ``ranked``: hashes of the words, the rarest first.
+    """``sets(side, word_key, size, words)`` with ``ranked``: hashes of the words both sides have, the rarest first.
 
-    One order for all sets, by the number of sets that hold a word, then by hash.
+    One order for all sets: words of one side only, which no pair shares, then by the number of
+    sets that hold a word, then by hash. ``ahead`` is the number of words of one side only; sets
+    without others are left out.
     """
     tokens = sets.select("side", "word_key", "size", F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("word"))
-    frequency = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("sets"))
+    frequency = tokens.withColumn("left", F.col("side") == "left").groupBy("word").agg(F.count(F.lit(1)).alias("sets"), (F.min("left") != F.max("left")).alias("both"))
+    # Stored, their size is known before the words of all sets move.
+    shared = stored(frequency.where("both").drop("both"), "shared-words")
     return (
-        tokens.join(frequency, "word")
+        tokens.join(shared, "word")
         .groupBy("side", "word_key", "size")
         .agg(F.sort_array(F.collect_list(F.struct("sets", "word"))).alias("r"))
-        .select("side", "word_key", "size", F.col("r.word").alias("ranked"))
+        .select("side", "word_key", "size", (F.col("size") - F.size("r")).alias("ahead"), F.col("r.word").alias("ranked"))
     )
 
 
@@ -61,16 +65,18 @@ def _rare_pairs(ranked: DataFrame, threshold: float, small: str, large: str, str
     """
     needed = _needed(F.col("size"), threshold)
     k = F.least(F.lit(SHARED), needed)
+    first = F.least(F.col("size"), F.col("size") - needed + k) - F.col("ahead")
     rare = ranked.where(F.col("side") == small).select(
         F.col("word_key").alias("small_key"),
         F.col("size").alias("small_size"),
         needed.alias("needed"),
         k.alias("k"),
-        F.posexplode(F.slice("ranked", F.lit(1), F.least(F.col("size"), F.col("size") - needed + k))).alias("i", "word"),
-    )
+        F.col("ahead").alias("small_ahead"),
+        F.posexplode(F.slice("ranked", F.lit(1), F.greatest(first, F.lit(0)))).alias("i", "word"),
+    ).withColumn("i", F.col("i") + F.col("small_ahead"))
     every = ranked.where(F.col("side") == large).select(
-        F.col("word_key").alias("large_key"), F.col("size").alias("large_size"), F.posexplode("ranked").alias("j", "word")
-    )
+        F.col("word_key").alias("large_key"), F.col("size").alias("large_size"), "ahead", F.posexplode("ranked").alias("j", "word")
+    ).select("large_key", "large_size", (F.col("j") + F.col("ahead")).alias("j"), "word")
     fits = F.col("small_size") < F.col("large_size") if strict else F.col("small_size") <= F.col("large_size")
     room = F.least(F.col("small_size") - F.col("i"), F.col("large_size") - F.col("j")) + F.col("k") - 1 >= F.col("needed")
     return (
@@ -122,17 +128,24 @@ def best_matches(
     left = _word_sets(named.where(F.col("name_id").isNull()))
     right = _word_sets(known)
     both = left.withColumn("side", F.lit("left")).unionByName(right.withColumn("side", F.lit("right")))
+    # Every word of a set carries the set's key, so sets get short ones.
+    both = both.withColumnRenamed("word_key", "long_key").withColumn("word_key", F.monotonically_increasing_id())
+    both = stored(both, "word-sets")
+    left, right = both.where(F.col("side") == "left"), both.where(F.col("side") == "right")
     pairs = candidate_pairs(stored(_ranked(both), "ranked-words"), threshold)
     scored = (
         pairs.join(right.select(F.col("word_key").alias("right_key"), F.col("words").alias("right_words"), F.col("first_id").alias("match_id")), "right_key")
-        .join(left.select(F.col("word_key").alias("left_key"), F.col("words").alias("left_words")), "left_key")
+        .join(left.select(F.col("word_key").alias("left_key"), "long_key", F.col("words").alias("left_words")), "left_key")
         .withColumn("score", overlap_of_sets(F.col("left_words"), F.col("right_words")))
         .where(F.col("score") >= threshold)
     )
     best = (
         scored.groupBy("left_key")
-        .agg(F.min_by(F.struct("match_id", "score"), F.struct(-F.col("score"), F.col("match_id"))).alias("m"))
-        .select(F.col("left_key").alias("word_key"), F.col("m.match_id").alias("text_id"), F.col("m.score").alias("text_score"))
+        .agg(
+            F.first("long_key").alias("word_key"),
+            F.min_by(F.struct("match_id", "score"), F.struct(-F.col("score"), F.col("match_id"))).alias("m"),
+        )
+        .select("word_key", F.col("m.match_id").alias("text_id"), F.col("m.score").alias("text_score"))
     )
     joined = named.select("id", "word_key", "name_id").join(best, "word_key", "left")
     is_named = F.col("name_id").isNotNull()
