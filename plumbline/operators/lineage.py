@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import policy
-from plumbline.session import bucketed
+from plumbline.session import bucketed, stored
 
 EDGE_KEY = ("source_fqn", "target_fqn", "edge_type")
 
@@ -57,7 +57,8 @@ def dedupe_edges(edges: DataFrame, order_by: str | None = None) -> DataFrame:
     if order_by is not None:
         newest = edges.groupBy(*EDGE_KEY).agg(F.max(order_by).alias("__last"))
         edges = edges.join(newest, list(EDGE_KEY)).where(F.col(order_by).eqNullSafe(F.col("__last")))
-    return edges.groupBy(*EDGE_KEY).agg(best.alias("e")).select(
+    # Names begin alike; a number in front of them makes the sort by names short.
+    return edges.groupBy(F.xxhash64(*EDGE_KEY).alias("__h"), *EDGE_KEY).agg(best.alias("e")).select(
         *EDGE_KEY, *[F.col(f"e.{c}").alias(c) for c in rest]
     )
 
@@ -86,7 +87,9 @@ def edges_from_dependencies(dependencies: DataFrame) -> DataFrame:
             for c in ("referenced_database", "referenced_name", "referencing_database", "referencing_name")
         ],
     )
-    edges = dependencies.where(complete).select(
+    # Dealt by the edge before names are put together: fewer columns travel, and a row is sorted among its like only.
+    ends = [fqn(*[F.col(f"{p}_{c}") for c in ("database", "schema", "name")]) for p in ("referenced", "referencing")]
+    edges = dependencies.where(complete).repartition(*ends).select(
         *side("referenced", "source"),
         *side("referencing", "target"),
         edge_type(F.col("referenced_domain"), F.col("referencing_domain")).alias("edge_type"),
@@ -149,8 +152,7 @@ def lineage_walk(edges: DataFrame | WalkableEdges, focus: str, hops: int = 3) ->
     if hops <= 0:
         raise ValueError("hops must be positive")
     ready = edges if isinstance(edges, WalkableEdges) else walkable(edges)
-    links = ready.by_source
-    start = links.sparkSession.createDataFrame([(focus, 0)], "fqn string, depth int")
+    start = ready.by_source.sparkSession.createDataFrame([(focus, 0)], "fqn string, depth int")
     up = _walk(ready.by_target, "target_fqn", "source_fqn", start, [start], hops)
     down = _walk(ready.by_source, "source_fqn", "target_fqn", start, [start, *up], hops)
     tagged = [start.withColumn("direction", F.lit("focus"))]
@@ -160,17 +162,15 @@ def lineage_walk(edges: DataFrame | WalkableEdges, focus: str, hops: int = 3) ->
 
     def expanded(side: str, name: str) -> DataFrame:
         inner = nodes.where(F.col("direction").isin("focus", side) & (F.col("depth") < hops))
-        return inner.select(F.col("fqn").alias(name), F.lit(True).alias(side))
+        return inner.select(F.col("fqn").alias(name))
 
-    marked = (
-        without_self_loops(links)
-        .join(expanded("upstream", "target_fqn"), "target_fqn", "left")
-        .join(expanded("downstream", "source_fqn"), "source_fqn", "left")
-    )
-    used = marked.where(F.col("upstream") | F.col("downstream")).select(
-        *EDGE_KEY, F.when(F.col("upstream"), "upstream").otherwise("downstream").alias("direction")
-    )
-    return nodes, used
+    def used(links: DataFrame, name: str, side: str) -> DataFrame:
+        return without_self_loops(links).join(expanded(side, name), name, "left_semi").select(*EDGE_KEY, F.lit(side).alias("direction"))
+
+    # As in a hop, each side reads the table whose buckets fit.
+    upstream, downstream = used(ready.by_target, "target_fqn", "upstream"), used(ready.by_source, "source_fqn", "downstream")
+    others = downstream.join(expanded("upstream", "target_fqn"), "target_fqn", "left_anti")
+    return nodes, upstream.unionByName(others)
 
 
 def overlays(catalog: DataFrame, open_findings: DataFrame, rules_run: DataFrame, scores: DataFrame) -> DataFrame:
@@ -238,15 +238,15 @@ def nested_graph(catalog: DataFrame, overlaid: DataFrame) -> DataFrame:
 def endpoints(edges: DataFrame) -> DataFrame:
     """Distinct (database, schema, table, fqn, kind) at either end of an edge."""
 
-    def side(name: str) -> DataFrame:
-        return edges.select(
+    def side(name: str) -> Column:
+        return F.struct(
             *[F.col(f"{name}_{c}").alias(c) for c in ("database", "schema", "table", "fqn")],
             F.coalesce(f"{name}_kind", F.lit("table")).alias("kind"),
         )
 
+    # Both ends from one pass: the edges may be long to make.
     return (
-        side("source")
-        .unionByName(side("target"))
+        edges.select(F.inline(F.array(side("source"), side("target"))))
         .groupBy("database", "schema", "table", "fqn")
         .agg(F.min("kind").alias("kind"))
     )
@@ -265,11 +265,15 @@ def ghost_nodes(edges: DataFrame, catalog: DataFrame) -> DataFrame:
     schema_id = F.concat(F.lit("sc:"), "database", F.lit("."), "schema")
     database_id = F.concat(F.lit("db:"), "database")
     external = F.lit(True).alias("is_external")
-    tables = unknown.select(
-        F.col("fqn").alias("id"), schema_id.alias("parent_id"), F.col("table").alias("label"), "kind", external
-    )
+
+    def leaves(ends: DataFrame) -> DataFrame:
+        return ends.select(F.col("fqn").alias("id"), schema_id.alias("parent_id"), F.col("table").alias("label"), "kind", external)
+
     if not {"database", "schema"} <= set(catalog.columns):
-        return tables
+        return leaves(unknown)
+    # Three steps read them.
+    unknown = stored(unknown, "unknown-ends")
+    tables = leaves(unknown)
     places = unknown.select("database", "schema").distinct()
     schemas = places.join(catalog.select("database", "schema"), ["database", "schema"], "left_anti").select(
         schema_id.alias("id"), database_id.alias("parent_id"), F.col("schema").alias("label"), F.lit("schema").alias("kind"), external

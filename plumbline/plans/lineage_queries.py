@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import health, library, lineage
+from plumbline.operators import health, library, lifecycle, lineage
 from plumbline.plans import derived
 from plumbline.plans.derived import STATE_CTES
 from plumbline.plans.health_queries import _RATES, _SCORES
@@ -198,10 +198,10 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _overlaid(spark: SparkSession, sf_dir: str, known: DataFrame) -> DataFrame:
-    executions, instances = derived.executions(spark, sf_dir), derived.instances(spark, sf_dir)
-    activity = library.table_activity(
-        derived.findings(spark, sf_dir), executions, instances, derived.places(spark, sf_dir)
-    )
+    # The log of runs and the activity are read by several steps.
+    executions, instances = stored(derived.executions(spark, sf_dir), "executions"), derived.instances(spark, sf_dir)
+    findings = lifecycle.incidents(lifecycle.replay(executions, derived.REOPEN_DAYS, chunk="year"))
+    activity = stored(library.table_activity(findings, executions, instances, derived.places(spark, sf_dir)), "activity")
     scores = health.health_scores(executions, instances).select(
         F.concat_ws(".", "database", "schema", "table").alias("fqn"), "health_score"
     )
