@@ -29,6 +29,7 @@ def test_edges_are_made_once(spark, rows):
 def test_edges_are_sorted_after_they_are_dealt(spark):
     steps = edges(spark)._jdf.queryExecution().executedPlan().toString()
     assert steps.count("Exchange") == 1
+    assert "partial_min" not in steps[steps.index("Exchange") :]
 
 
 def test_used_edges_stay_in_their_buckets(spark, rows):
