@@ -6,6 +6,9 @@ last token, namely the token that ends there and fits the last token of the pref
 it. The table of last tokens is the encoding of every prefix at once: appending bytes
 extends it, and an edit cuts it back to the first changed byte and extends it again.
 
+The tokens that end at a byte come from an automaton that is built as bytes are read: its
+states are the beginnings of tokens, and each knows the tokens that end with it.
+
 Texts are split by a pattern first, and each piece is encoded by itself. Encoded pieces are
 kept in a table of bounded size per Python worker. Every document is handled inside its
 own task; nothing is shuffled.
@@ -22,6 +25,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,10 +33,53 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.pieces import Splitter
 
-#: Entries a worker keeps of encoded pieces and of checked pairs before it starts afresh.
-KEPT_PIECES = 500_000
+#: Entries of encoded pieces, of checked pairs and of steps of the automaton after which a worker
+#: makes room. Pieces that come again are kept.
+KEPT_PIECES = 300_000
 KEPT_PAIRS = 1_000_000
-_SHORT = (2, 1)
+KEPT_STEPS = 500_000
+#: Stands for the token before the first one; every token may follow it.
+_NOTHING = -1
+
+
+_FIRST, _SECOND = itemgetter(0), itemgetter(1)
+
+
+class _State(dict):
+    """What was read last, as far as a token can go on from it; by the next byte, the next state."""
+
+    __slots__ = ("read", "ends", "vocabulary")
+
+    def __init__(self, vocabulary: Vocabulary, read: bytes):
+        super().__init__()
+        self.vocabulary = vocabulary
+        self.read = read
+        #: Length, rank and neighbours of the tokens that end here and that merging can build, longest first.
+        self.ends = tuple(
+            (len(read) - i, vocabulary.built[read[i:]], vocabulary.before(vocabulary.built[read[i:]]))
+            for i in range(len(read))
+            if read[i:] in vocabulary.built
+        )
+
+    def __missing__(self, byte: int) -> _State:
+        found = self[byte] = self.vocabulary.state(self.read + bytes((byte,)))
+        return found
+
+
+class _Before(dict):
+    """Whether one token may stand right behind another one, by that one."""
+
+    __slots__ = ("vocabulary", "token")
+
+    def __init__(self, vocabulary: Vocabulary, token: int):
+        super().__init__({_NOTHING: True})
+        self.vocabulary = vocabulary
+        self.token = token
+
+    def __missing__(self, left: int) -> bool:
+        found = self[left] = self.vocabulary.adjacent(left, self.token)
+        self.vocabulary._pairs += 1
+        return found
 
 
 class Vocabulary:
@@ -46,17 +93,40 @@ class Vocabulary:
             self.tokens[rank] = token
         self.longest = max(map(len, ranks))
         self._edges: dict[int, tuple[tuple[int, ...], tuple[int, ...]] | None] = {}
-        self._pairs: dict[int, bool] = {}
+        self._before: dict[int, _Before] = {}
         #: Tokens that merging can build; others only stand for a whole piece.
         self.built = {token: rank for token, rank in ranks.items() if self.edges(rank)}
-        #: By the last three bytes, the lengths of the tokens that can end there, longest first.
-        self.endings: dict[bytes, tuple[int, ...]] = {}
-        lengths: dict[bytes, set[int]] = {}
-        for token in self.built:
-            if len(token) >= 3:
-                lengths.setdefault(token[-3:], set()).add(len(token))
-        for end, found in lengths.items():
-            self.endings[end] = tuple(sorted(found | {n for n in (1, 2) if end[-n:] in self.built}, reverse=True))
+        self._beginnings = {token[:n] for token in self.built for n in range(1, len(token) + 1)}
+        self._states: dict[bytes, _State] = {}
+        self._steps = self._pairs = 0
+        self.start = self.state(b"")
+
+    def state(self, read: bytes) -> _State:
+        """The state after ``read``: its longest end that a token begins with."""
+        while read and read not in self._beginnings:
+            read = read[1:]
+        self._steps += 1
+        found = self._states.get(read)
+        if found is None:
+            found = self._states[read] = _State(self, read)
+        return found
+
+    def before(self, token: int) -> _Before:
+        if token not in self._before:
+            self._before[token] = _Before(self, token)
+        return self._before[token]
+
+    def make_room(self) -> None:
+        """Forget steps of the automaton and checked pairs if there are too many; they come back as they are needed."""
+        if self._pairs >= KEPT_PAIRS:
+            for pairs in self._before.values():
+                pairs.clear()
+                pairs[_NOTHING] = True
+            self._pairs = 0
+        if self._steps >= KEPT_STEPS:
+            for state in self._states.values():
+                state.clear()
+            self._states, self._steps = {b"": self.start}, 0
 
     def merge(self, piece: bytes, below: float = float("inf")) -> list[int]:
         """The plain algorithm: merge the pair of the lowest rank, the leftmost first."""
@@ -94,15 +164,6 @@ class Vocabulary:
         Goes back in time over the merges that built them, the latest first. If the tokens
         at the border could have merged before that, they would have.
         """
-        pair = left << 32 | right
-        known = self._pairs.get(pair)
-        if known is None:
-            if len(self._pairs) >= KEPT_PAIRS:
-                self._pairs.clear()
-            known = self._pairs[pair] = self._adjacent(left, right)
-        return known
-
-    def _adjacent(self, left: int, right: int) -> bool:
         lefts, rights = self.edges(left)[1], self.edges(right)[0]
         i = j = 0
         before = float("inf")
@@ -127,37 +188,31 @@ class Prefixes:
     def __init__(self, vocabulary: Vocabulary, piece: bytes = b""):
         self.vocabulary = vocabulary
         self.piece = bytearray()
-        self.last: list[int] = []
+        #: By number of bytes; without bytes there is nothing.
+        self.last: list[int] = [_NOTHING]
+        self._state = vocabulary.start
         self.append(piece)
 
     def append(self, more: bytes) -> None:
-        words, last = self.vocabulary, self.last
-        rank, adjacent, known, endings = words.built.get, words.adjacent, words._pairs.get, words.endings.get
-        begin = len(self.piece)
+        last, state, end = self.last, self._state, len(self.piece)
         self.piece += more
-        data = bytes(self.piece)
-        for end in range(begin + 1, len(data) + 1):
-            # Near the beginning, and where no longer token ends, one or two bytes are left to try.
-            for length in endings(data[end - 3 : end], _SHORT) if end > 2 else _SHORT:
-                start = end - length
-                if start < 0:
-                    continue
-                token = rank(data[start:end])
-                if token is None:
-                    continue
-                if not start:
-                    last.append(token)
-                    break
-                before = last[start - 1]
-                fits = known(before << 32 | token)
-                if fits or (fits is None and adjacent(before, token)):
+        for byte in more:
+            state = state[byte]
+            end += 1
+            for length, token, follows in state.ends:
+                if follows[last[end - length]]:
                     last.append(token)
                     break
+        self._state = state
 
     def edit(self, start: int, end: int, replacement: bytes) -> None:
         """Replace bytes; only what begins at ``start`` is encoded again."""
         tail = bytes(self.piece[end:])
-        del self.piece[start:], self.last[start:]
+        del self.piece[start:], self.last[start + 1 :]
+        # No token is longer than these bytes.
+        self._state = self.vocabulary.start
+        for byte in self.piece[max(0, start - self.vocabulary.longest) :]:
+            self._state = self._state[byte]
         self.append(replacement + tail)
 
     def tokens(self, end: int | None = None) -> list[int]:
@@ -165,7 +220,7 @@ class Prefixes:
         at = len(self.piece) if end is None else end
         out = []
         while at:
-            token = self.last[at - 1]
+            token = self.last[at]
             out.append(token)
             at -= len(self.vocabulary.tokens[token])
         return out[::-1]
@@ -179,53 +234,54 @@ class Encoder:
         self.split = Splitter(pattern)
         self.pattern = self.split.pattern
         self._pieces = _Pieces(self.vocabulary)
-        self._spelled = _Spelled(self._pieces)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self._pieces.__getitem__, self._split(text))))
+        return self._ids(self._found(text))
 
     def encode_spelled(self, text: str) -> tuple[list[int], bytes]:
         """The ids, and the same as decimals with spaces between."""
-        pieces = self._split(text)
-        ids = list(chain.from_iterable(map(self._pieces.__getitem__, pieces)))
-        return ids, b" ".join(map(self._spelled.__getitem__, pieces))
+        found = self._found(text)
+        return self._ids(found), b" ".join(map(_SECOND, found))
 
-    def _split(self, text: str) -> list[str]:
+    @staticmethod
+    def _ids(found: list[tuple[tuple[int, ...], bytes]]) -> list[int]:
+        return list(chain.from_iterable(map(_FIRST, found)))
+
+    def _found(self, text: str) -> list[tuple[tuple[int, ...], bytes]]:
         if len(self._pieces) >= KEPT_PIECES:
-            self._pieces.clear()
-            self._spelled.clear()
-        return self.split(text)
+            self._pieces.turn()
+        self.vocabulary.make_room()
+        return list(map(self._pieces.__getitem__, self.split(text)))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
 
 
 class _Pieces(dict):
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        whole = self.vocabulary.ranks.get(data)
-        ids = (whole,) if whole is not None else tuple(Prefixes(self.vocabulary, data).tokens())
-        if len(data) < 64:
-            self[piece] = ids
-        return ids
+    """The ids of a piece, and the same as decimals; worked out when they are first needed.
 
+    Pieces not needed between two turns go, so frequent ones stay and the number is bounded.
+    """
 
-class _Spelled(dict):
-    """The ids of a piece as decimals, each worked out once."""
-
-    def __init__(self, pieces: _Pieces):
+    def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.pieces = pieces
-
-    def __missing__(self, piece: str) -> bytes:
-        spelled = " ".join(map(str, self.pieces[piece])).encode()
+        self.vocabulary = vocabulary
+        self.earlier: dict[str, tuple[tuple[int, ...], bytes]] = {}
+
+    def turn(self) -> None:
+        self.earlier = dict(self)
+        self.clear()
+
+    def __missing__(self, piece: str) -> tuple[tuple[int, ...], bytes]:
+        found = self.earlier.get(piece)
+        if found is None:
+            data = piece.encode()
+            whole = self.vocabulary.ranks.get(data)
+            ids = (whole,) if whole is not None else tuple(Prefixes(self.vocabulary, data).tokens())
+            found = ids, " ".join(map(str, ids)).encode()
         if len(piece) < 64:
-            self[piece] = spelled
-        return spelled
+            self[piece] = found
+        return found
 
 
 class EditableText:
