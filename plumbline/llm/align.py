@@ -32,17 +32,17 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import Vocabulary
 from plumbline.llm.pieces import is_plain
+from plumbline.llm.rows import few_rows
 from plumbline.session import stored
 
 #: Bytes of text in a lane, and characters of text that are merged at the same time (or one text).
@@ -475,23 +475,9 @@ def digests(aligned: DataFrame, counts: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-@contextmanager
-def _few_rows(spark: SparkSession) -> Iterator[None]:
-    """While it lasts, jobs of the session read, and hand to Python workers, ``ROWS_AT_ONCE`` rows at a time."""
-    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
-    before = {name: spark.conf.get(name) for name in names}
-    for name in names:
-        spark.conf.set(name, str(ROWS_AT_ONCE))
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
-
-
 def measure(docs: DataFrame, a: str, b: str) -> DataFrame:
     """``digests`` of all documents, with every step stored: alignments, link counts, result."""
-    with _few_rows(docs.sparkSession):
+    with few_rows(docs.sparkSession, ROWS_AT_ONCE):
         aligned = stored(alignments(docs, a, b), "alignments")
         counts = stored(link_counts(aligned), "link-counts")
         return stored(digests(aligned, counts, a, b), "alignment-digests")

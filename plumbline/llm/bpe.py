@@ -31,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.kept import begin
 from plumbline.llm.pieces import Splitter
 
 #: Entries of encoded pieces, of checked pairs and of steps of the automaton after which a worker
 #: makes room. Pieces that come again are kept.
-KEPT_PIECES = 300_000
-KEPT_PAIRS = 1_000_000
+KEPT_PIECES = 200_000
+KEPT_PAIRS = 500_000
 KEPT_STEPS = 500_000
 #: Stands for the token before the first one; every token may follow it.
 _NOTHING = -1
@@ -353,7 +354,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(2)
 def encoder(path: str, pattern: str) -> Encoder:
-    """The encoder of a rank file, kept as long as the Python worker lives."""
+    """The encoder of a rank file, kept while the Python worker runs tasks of this operator."""
     return Encoder(read_ranks(path), pattern)
 
 
@@ -364,6 +365,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe", encoder.cache_clear)
         own = encoder(path, pattern)
         for batch in batches:
             for small in _slices(batch):
@@ -379,6 +381,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document the number and digest of its token ids, and the digest of what they decode to."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe", encoder.cache_clear)
         own = encoder(path, pattern)
         for batch in batches:
             counts, encoded, decoded = [], [], []

@@ -42,7 +42,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.graph import components
 from plumbline.llm.idfilter import id_filter
-from plumbline.llm.shingles import shingle_set
+from plumbline.llm.kept import begin
+from plumbline.llm.rows import few_rows
+from plumbline.llm.shingles import forget, shingle_set
 from plumbline.session import bucketed, stored, temporary
 
 #: Cells of the counting sketch, and slices it is added up in.
@@ -55,6 +57,8 @@ RUN_ROWS = 8192
 COMMON = 6
 #: Sets stored in one tree.
 TREE_SETS = 256
+#: Texts read, and handed to a Python worker, at once.
+ROWS_AT_ONCE = 2000
 
 
 def prefix_length(size: int) -> int:
@@ -114,6 +118,7 @@ class Tree:
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and class of every document; at the end of the task, its share of the sketch."""
+    begin("shingles", forget)
     counts, waiting, held = np.zeros(CELLS, np.int64), [], 0
     for batch in batches:
         sizes, classes = [], []
@@ -188,6 +193,7 @@ def _prefixes(levels, mean: float, run_rows: int):
     """Rows (token, salt, class, size) of the prefixes; a class once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("shingles", forget)
         table, seen, held, n = levels.value, set(), [], 0
         for batch in batches:
             for text in batch.column(0):
@@ -285,6 +291,7 @@ def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A text is a third of the size of its set, which it is read into again where it is compared.
     """
+    begin("shingles", forget)
     seen = set()
     for batch in batches:
         for start in range(0, batch.num_rows, 500):
@@ -302,6 +309,7 @@ def _checked(levels):
     """Rows (b, b_packed, a, a_packed) to linked pairs; neighbouring rows with one b share a tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("shingles", forget)
         table = levels.value
 
         def unpacked(data: pa.Scalar) -> np.ndarray:
@@ -352,10 +360,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: (doc_id, n_shingles, component_id)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    summaries = stored(
-        texts.mapInArrow(_summaries, "doc_id long, n_shingles long, class long, slice int, counts binary"),
-        "jaccard-sizes",
-    )
+    with few_rows(spark, ROWS_AT_ONCE):
+        summaries = stored(
+            texts.mapInArrow(_summaries, "doc_id long, n_shingles long, class long, slice int, counts binary"),
+            "jaccard-sizes",
+        )
     table = sketch_levels(summaries)
     members = summaries.where("slice IS NULL").select("doc_id", "n_shingles", "class")
     mean = (members.agg(F.sum("n_shingles")).first()[0] or 0) / CELLS
@@ -407,8 +416,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     # One document per class gives its set. Texts are dealt by class once, so that pairs can come to them.
     chosen = texts.where(id_filter(wanted.select("doc_id"))(F.col("doc_id"))).join(wanted, "doc_id").select("class", "text")
-    packed = bucketed(chosen.mapInArrow(_text_rows, "class long, packed binary"), "jaccard-texts", ["class"])
-    links = stored(_verify(best.unionAll(across).distinct(), packed, levels), "jaccard-links")
+    with few_rows(spark, ROWS_AT_ONCE):
+        packed = bucketed(chosen.mapInArrow(_text_rows, "class long, packed binary"), "jaccard-texts", ["class"])
+        links = stored(_verify(best.unionAll(across).distinct(), packed, levels), "jaccard-links")
     first = components(links)
 
     named = shared.join(wanted.select("class"), "class").join(first.withColumnRenamed("node", "class"), "class", "left").select(
@@ -428,7 +438,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
         .distinct()
     )
-    more = stored(_verify(across, packed, levels), "jaccard-more")
+    with few_rows(spark, ROWS_AT_ONCE):
+        more = stored(_verify(across, packed, levels), "jaccard-more")
     if not more.isEmpty():
         first = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 

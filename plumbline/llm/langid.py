@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.kept import begin
 from plumbline.llm.rows import map_rows
 from plumbline.session import stored
 
@@ -241,6 +242,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """One row per document: (doc_id, lang_pred, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid")
         for batch in batches:
             names, scores = [], []
             for start in range(0, batch.num_rows, 200):
@@ -260,6 +262,7 @@ def accepted(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
     """The rows of ``docs`` whose language is determined with a score of at least ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("langid")
         for batch in batches:
             texts, keep = batch.column(batch.schema.get_field_index("text")), []
             for start in range(0, batch.num_rows, 200):

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.kept import begin
 from plumbline.llm.rows import map_rows
 
 KINDS = ("email", "ip", "card", "phone")
@@ -250,6 +251,7 @@ def _joined(found: list[tuple[str, int, int]]) -> str:
 
 
 def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin("pii")
     for batch in batches:
         columns = {name: [] for name in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_disguised")}
         for text in batch.column(1).to_pylist():
@@ -272,6 +274,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin("pii")
     for batch in batches:
         at = batch.schema.get_field_index("text")
         texts = [t if t is None else redact(t, spans(t)[1]) for t in batch.column(at).to_pylist()]

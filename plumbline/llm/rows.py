@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
@@ -17,3 +18,17 @@ def map_rows(docs: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Ite
     inner = [f.name if f.name == "text" else f"c{i}" for i, f in enumerate(docs.schema.fields)]
     schema = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(inner, docs.schema.fields)])
     return docs.toDF(*inner).mapInArrow(function, schema).toDF(*docs.columns)
+
+
+@contextmanager
+def few_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it lasts, jobs of the session read, and hand to Python workers, this many rows at a time."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

@@ -7,7 +7,7 @@ import xxhash
 
 SHINGLE_WORDS = 5
 #: Word hashes a worker keeps before it starts afresh.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -23,6 +23,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def word_hashes(text: str) -> np.ndarray:
     """One hash per word: words are divided by ASCII white space, A-Z count as a-z."""
     if len(_words) > KEPT_WORDS:
