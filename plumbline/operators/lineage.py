@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import policy
-from plumbline.session import bucketed, stored
+from plumbline.session import bucket_count, bucketed, stored
 
 EDGE_KEY = ("source_fqn", "target_fqn", "edge_type")
 
@@ -63,11 +63,14 @@ def dedupe_edges(edges: DataFrame, order_by: str | None = None) -> DataFrame:
     )
 
 
-def edges_from_dependencies(dependencies: DataFrame) -> DataFrame:
+def edges_from_dependencies(
+    dependencies: DataFrame, near: tuple[str, str] | None = None, parts: int | None = None
+) -> DataFrame:
     """Edges referenced -> referencing; rows without a database or a name are dropped.
 
     Where rows of one edge disagree about its kinds, the smallest (source kind, target
-    kind, edge type) counts.
+    kind, edge type) counts. With ``near``, a database and a schema, edges with both ends elsewhere
+    may be missing. With ``parts``, edges are dealt by their source to as many partitions.
     """
 
     def side(prefix: str, alias: str) -> list[Column]:
@@ -89,7 +92,9 @@ def edges_from_dependencies(dependencies: DataFrame) -> DataFrame:
     )
     # Dealt by the edge before names are put together: fewer columns travel, and a row is sorted among its like only.
     ends = [fqn(*[F.col(f"{p}_{c}") for c in ("database", "schema", "name")]) for p in ("referenced", "referencing")]
-    edges = dependencies.where(complete).repartition(*ends).select(
+    rows = dependencies.where(complete if near is None else complete & _may_touch(ends, ".".join(near)))
+    dealt = rows.repartition(*ends) if parts is None else rows.repartition(parts, ends[0])
+    edges = dealt.select(
         *side("referenced", "source"),
         *side("referencing", "target"),
         edge_type(F.col("referenced_domain"), F.col("referencing_domain")).alias("edge_type"),
@@ -97,6 +102,19 @@ def edges_from_dependencies(dependencies: DataFrame) -> DataFrame:
     return dedupe_edges(edges)
 
 
+def _may_touch(ends: list[Column], prefix: str) -> Column:
+    """Whether one of the full names begins with ``prefix``: all rows of an edge are alike in that.
+
+    Said of the database first, which often is the same for a whole source of dependencies.
+    """
+
+    def side(end: Column, database: Column) -> Column:
+        could = F.startswith(F.lit(prefix), database) | F.startswith(database, F.lit(prefix))
+        return could & F.startswith(end, F.lit(prefix))
+
+    return side(ends[0], F.col("referenced_database")) | side(ends[1], F.col("referencing_database"))
+
+
 def without_self_loops(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("source_fqn") != F.col("target_fqn"))
 
@@ -115,7 +133,17 @@ class WalkableEdges:
 
 def walkable(edges: DataFrame) -> WalkableEdges:
     """Store edges for walks; one stored form serves any number of them."""
-    by_source = bucketed(edges.select(*EDGE_KEY), "edges-by-source", ["source_fqn"])
+    return _both_ways(bucketed(edges.select(*EDGE_KEY), "edges-by-source", ["source_fqn"]))
+
+
+def walkable_dependencies(dependencies: DataFrame) -> WalkableEdges:
+    """``walkable`` of ``edges_from_dependencies``, which deals the edges as the first table needs them."""
+    parts = bucket_count(dependencies.sparkSession)
+    edges = edges_from_dependencies(dependencies, parts=parts).select(*EDGE_KEY)
+    return _both_ways(bucketed(edges, "edges-by-source", ["source_fqn"], dealt=True))
+
+
+def _both_ways(by_source: DataFrame) -> WalkableEdges:
     return WalkableEdges(by_source, bucketed(by_source, "edges-by-target", ["target_fqn"]))
 
 

@@ -21,6 +21,8 @@ from plumbline.sources.tables import read_tables
 
 #: Part whose lineage is walked.
 FOCUS = 7
+#: Database and schema that are looked at closely.
+SCHEMA = ("SUPPLY", "NATION_3")
 
 
 def _dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +75,8 @@ def _dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.edges_from_dependencies(_dependencies(spark, sf_dir))
+def graph(spark: SparkSession, sf_dir: str, near: tuple[str, str] | None = None) -> DataFrame:
+    return lineage.edges_from_dependencies(_dependencies(spark, sf_dir), near)
 
 
 def _side(prefix: str, database: str, schema: str, name: str, kind: str) -> str:
@@ -152,7 +154,7 @@ _WALK = f"""
 
 @query("lineage_walk_nodes", f"WITH RECURSIVE {GRAPH_CTE}, {_WALK.format(hops=3)} SELECT * FROM nodes")
 def lineage_walk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.lineage_walk(graph(spark, sf_dir), _focus(spark, sf_dir), 3)[0]
+    return lineage.lineage_walk(lineage.walkable_dependencies(_dependencies(spark, sf_dir)), _focus(spark, sf_dir), 3)[0]
 
 
 @query(
@@ -165,7 +167,7 @@ def lineage_walk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
           OR source_fqn IN (SELECT fqn FROM nodes WHERE direction IN ('focus', 'downstream') AND depth < 2)""",
 )
 def lineage_walk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.lineage_walk(graph(spark, sf_dir), _focus(spark, sf_dir), 2)[1]
+    return lineage.lineage_walk(lineage.walkable_dependencies(_dependencies(spark, sf_dir)), _focus(spark, sf_dir), 2)[1]
 
 
 @query(
@@ -301,7 +303,7 @@ _IN = "(source_database = 'SUPPLY' AND source_schema = 'NATION_3') OR (target_da
 )
 def lineage_schema_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     overlaid = stored(_graph_overlays(spark, sf_dir), "overlays")
-    return _round(lineage.schema_graph(graph(spark, sf_dir), overlaid, "SUPPLY", "NATION_3")[0])
+    return _round(lineage.schema_graph(graph(spark, sf_dir, SCHEMA), overlaid, *SCHEMA)[0])
 
 
 @query(
@@ -313,7 +315,7 @@ def lineage_schema_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         [], "fqn string, database string, schema string, table string, object_kind string, open_findings bigint, "
         "rules_run bigint, health_score double",
     )
-    return lineage.schema_graph(graph(spark, sf_dir), none, "SUPPLY", "NATION_3")[1]
+    return lineage.schema_graph(graph(spark, sf_dir, SCHEMA), none, *SCHEMA)[1]
 
 
 @query(

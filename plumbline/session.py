@@ -94,18 +94,23 @@ def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+def bucket_count(spark: SparkSession) -> int:
+    """As many as shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, name: str, keys: Sequence[str], dealt: bool = False) -> DataFrame:
     """Like ``stored``, dealt into buckets by ``keys``: joins on all of them need no shuffle of this table.
 
-    There are as many buckets as shuffle partitions. The catalog only lends its writer: the
+    There are ``bucket_count`` buckets; ``dealt`` says that ``df`` has as many partitions by ``keys``. The catalog only lends its writer: the
     table is outside of it, and its entry goes at once.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     table = path.rpartition("/")[2].replace("-", "_")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartition(buckets, *keys)
-    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table, format="parquet")
+    buckets = bucket_count(spark)
+    rows = df if dealt else df.repartition(buckets, *keys)
+    rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table, format="parquet")
     out = spark.table(table)
     spark.sql(f"DROP TABLE {table}")
     return out
