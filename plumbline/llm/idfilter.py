@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.kept import begin
 from plumbline.llm.shingles import mixed
 
 BITS = 1 << 26
@@ -32,6 +33,7 @@ def _places(ids: np.ndarray) -> np.ndarray:
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bits of a task's ids, in compressed slices."""
+    begin("ids")
     bits = np.zeros(BITS >> 3, np.uint8)
     for batch in batches:
         at = _places(batch.column(0).drop_null().to_numpy())
@@ -46,8 +48,11 @@ def _united(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "bits": [zlib.compress(total.tobytes(), 1)]})
 
 
-def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
-    """From a table of one column of ids: a condition that holds for all of them, and for few others. NULL is none."""
+def known_ids(ids: DataFrame) -> Callable[[], Callable[[pa.Array], np.ndarray]]:
+    """From a table of one column of ids: what a task calls for a function that tells which ids may be in it.
+
+    It holds for all ids of the table and for few others; NULL is none.
+    """
     context = ids.sparkSession.sparkContext
     form = "slice int, bits binary"
     parts = ids.mapInArrow(_marked, form).withColumn("salt", F.pmod(F.xxhash64("bits"), F.lit(32)))
@@ -58,12 +63,30 @@ def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
         bits[row["slice"]] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     known = context.broadcast(zlib.compress(bits.tobytes(), 1))
 
+    def opened() -> Callable[[pa.Array], np.ndarray]:
+        table = np.frombuffer(zlib.decompress(known.value), np.uint8)
+
+        def might(ids: pa.Array) -> np.ndarray:
+            at = _places(ids.fill_null(0).to_numpy(zero_copy_only=False))
+            hit = (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+            return hit.reshape(2, -1).all(axis=0) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+        return might
+
+    return opened
+
+
+def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
+    """From a table of one column of ids: a condition that holds for all of them, and for few others. NULL is none.
+
+    Spark keeps rows in memory while the condition is asked for; for whole texts see ``known_ids``.
+    """
+    opened = known_ids(ids)
+
     @F.pandas_udf("boolean")
     def might(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = np.frombuffer(zlib.decompress(known.value), np.uint8)
+        held = opened()
         for ids in values:
-            at = _places(ids.to_numpy())
-            hit = (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-            yield pd.Series(hit.reshape(2, -1).all(axis=0))
+            yield pd.Series(held(pa.array(ids.to_numpy())))
 
     return lambda column: column.isNotNull() & might(F.coalesce(column.cast("long"), F.lit(0)))

@@ -30,7 +30,7 @@ ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -41,11 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.graph import components
-from plumbline.llm.idfilter import id_filter
+from plumbline.llm.idfilter import known_ids
 from plumbline.llm.kept import begin
-from plumbline.llm.rows import few_rows
+from plumbline.llm.rows import few_rows, keep_rows
 from plumbline.llm.shingles import forget, shingle_set
-from plumbline.session import bucketed, stored, temporary
+from plumbline.session import bucket_count, bucketed, stored, temporary
 
 #: Cells of the counting sketch, and slices it is added up in.
 CELLS = 1 << 20
@@ -286,23 +286,28 @@ def _runs(batches: Iterator[pa.RecordBatch], lone: bool = False) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(first["token"].to_numpy()), *own, *own, *marks], _SHARED_NAMES)
 
 
-def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One packed text per class; a class once per task, also if a document row is repeated.
+def _text_rows(chosen: Callable[[], Callable[[pa.Array], np.ndarray]]):
+    """One packed text per class, of the documents that ``chosen`` lets through; a class once per task.
 
     A text is a third of the size of its set, which it is read into again where it is compared.
     """
-    begin("shingles", forget)
-    seen = set()
-    for batch in batches:
-        for start in range(0, batch.num_rows, 500):
-            names, packed = [], []
-            for name, text in zip(batch.column(0).slice(start, 500).to_pylist(), batch.column(1).slice(start, 500)):
-                own = shingle_set(text.as_py())
-                if name not in seen and len(own) and class_of(own) == name:
-                    seen.add(name)
-                    names.append(name)
-                    packed.append(zlib.compress(text.as_py().encode("utf-8", "surrogatepass"), 6))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packed, pa.binary())], ["class", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("shingles", forget)
+        might, seen = chosen(), set()
+        for batch in batches:
+            batch = batch.filter(pa.array(might(batch.column(0)), pa.bool_()))
+            for start in range(0, batch.num_rows, 500):
+                names, packed = [], []
+                for text in batch.column(1).slice(start, 500):
+                    own = shingle_set(text.as_py())
+                    if len(own) and (name := class_of(own)) not in seen:
+                        seen.add(name)
+                        names.append(name)
+                        packed.append(zlib.compress(text.as_py().encode("utf-8", "surrogatepass"), 6))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(packed, pa.binary())], ["class", "packed"])
+
+    return run
 
 
 def _checked(levels):
@@ -414,10 +419,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .where(_early("center_size", "center_pos", "top.center_size", "top.center_pos"))
         .select(F.col("center").alias("a"), F.col("top.center").alias("b"))
     )
-    # One document per class gives its set. Texts are dealt by class once, so that pairs can come to them.
-    chosen = texts.where(id_filter(wanted.select("doc_id"))(F.col("doc_id"))).join(wanted, "doc_id").select("class", "text")
+    # One document per class gives its set. Its text is packed where it is read, as Spark holds whole rows while
+    # it asks a condition, and dealt by class once, so that pairs can come to it.
+    chosen = known_ids(wanted.select("doc_id"))
     with few_rows(spark, ROWS_AT_ONCE):
-        packed = bucketed(chosen.mapInArrow(_text_rows, "class long, packed binary"), "jaccard-texts", ["class"])
+        found = texts.mapInArrow(_text_rows(chosen), "class long, packed binary").repartition(bucket_count(spark), "class")
+        once = found.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.first("packed").alias("packed"))
+        packed = bucketed(once, "jaccard-texts", ["class"], dealt=True)
         links = stored(_verify(best.unionAll(across).distinct(), packed, levels), "jaccard-links")
     first = components(links)
 
@@ -464,14 +472,14 @@ def representatives(docs: DataFrame) -> DataFrame:
         dropped = stored(found, "jaccard-dropped", lasting=True)
     repeated = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL")
     repeated = repeated.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    doubtful = id_filter(dropped.unionAll(repeated))(F.col("doc_id"))
+    doubtful = known_ids(dropped.unionAll(repeated))
     # Only rows that may go, or may be there twice, are shuffled. They are paired as structs, so no
     # column of theirs can clash.
-    rows = docs.where(doubtful).select(F.col("doc_id").cast("long").alias("_id"), F.struct("*").alias("row"))
+    rows = keep_rows(docs, "doc_id", doubtful).select(F.col("doc_id").cast("long").alias("_id"), F.struct("*").alias("row"))
     left = (
         rows.join(dropped.select(F.col("doc_id").alias("_id")), "_id", "left_anti")
         .groupBy("_id")
         .agg(F.min_by("row", F.xxhash64("row")).alias("row"))
         .select("row.*")
     )
-    return docs.where(~doubtful).unionByName(left)
+    return keep_rows(docs, "doc_id", doubtful, others=True).unionByName(left)
