@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline import policy
-from plumbline.session import bucket_count, bucketed, stored
+from plumbline.session import bucket_count, bucketed, dealt, part_count, stored
 
 EDGE_KEY = ("source_fqn", "target_fqn", "edge_type")
 
@@ -70,7 +70,8 @@ def edges_from_dependencies(
 
     Where rows of one edge disagree about its kinds, the smallest (source kind, target
     kind, edge type) counts. With ``near``, a database and a schema, edges with both ends elsewhere
-    may be missing. With ``parts``, edges are dealt by their source to as many partitions.
+    may be missing. With ``parts``, edges are dealt by their source to as many partitions; else to
+    partitions of a size that does not grow with the files they come from.
     """
 
     def side(prefix: str, alias: str) -> list[Column]:
@@ -93,8 +94,8 @@ def edges_from_dependencies(
     # Dealt by the edge before names are put together: fewer columns travel, and a row is sorted among its like only.
     ends = [fqn(*[F.col(f"{p}_{c}") for c in ("database", "schema", "name")]) for p in ("referenced", "referencing")]
     rows = dependencies.where(complete if near is None else complete & _may_touch(ends, ".".join(near)))
-    dealt = rows.repartition(*ends) if parts is None else rows.repartition(parts, ends[0])
-    edges = dealt.select(
+    shares = dealt(rows, ends, part_count(dependencies)) if parts is None else rows.repartition(parts, ends[0])
+    edges = shares.select(
         *side("referenced", "source"),
         *side("referencing", "target"),
         edge_type(F.col("referenced_domain"), F.col("referencing_domain")).alias("edge_type"),

@@ -15,7 +15,7 @@ from plumbline.plans.derived import STATE_CTES
 from plumbline.plans.health_queries import _RATES, _SCORES
 from plumbline.plans.metadata_queries import OBJECTS_SQL, supplier_objects
 from plumbline.plans.registry import query
-from plumbline.session import stored
+from plumbline.session import dealt, part_count, stored
 from plumbline.sources import catalog
 from plumbline.sources.tables import read_tables
 
@@ -51,8 +51,10 @@ def _dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey",
         obj("SALES", "o_orderpriority", F.concat(F.lit("O"), F.col("o_orderkey").cast("string")), F.lit("DYNAMIC TABLE")).alias("order"),
     )
-    shipped = t["lineitem"].select("l_suppkey", "l_partkey").distinct()
-    ordered = t["lineitem"].select("l_partkey", "l_orderkey").distinct()
+    # Dealt as the largest join needs them, in parts of bounded size; most pairs occur once.
+    parts_of_lines = part_count(t["lineitem"])
+    shipped = dealt(t["lineitem"].select("l_suppkey", "l_partkey"), ["l_partkey"], parts_of_lines).distinct()
+    ordered = dealt(t["lineitem"].select("l_partkey", "l_orderkey"), ["l_orderkey"], parts_of_lines).distinct()
     pairs = [
         shipped.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))

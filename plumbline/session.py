@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Settings the library relies on. They are defaults for sessions built here; a
 #: session handed in by the caller keeps its own.
@@ -99,6 +99,31 @@ def bucket_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of files for each part a table is dealt into, and the most parts.
+PART_BYTES = 4 << 20
+MOST_PARTS = 4000
+
+
+def part_count(df: DataFrame) -> int | None:
+    """Parts to deal ``df`` into so that they stay small however large its files are; None if it comes from no files.
+
+    Spark's own choice goes by bytes as they are shuffled, which is a small part of what a task holds where values are alike.
+    """
+    files = df.inputFiles()
+    if not files:
+        return None
+    context = df.sparkSession.sparkContext
+    java, conf = context._jvm, context._jsc.hadoopConfiguration()
+    paths = (java.org.apache.hadoop.fs.Path(java.java.net.URI(f)) for f in files)
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    return max(context.defaultParallelism, min(-(-size // PART_BYTES), MOST_PARTS))
+
+
+def dealt(df: DataFrame, keys: Sequence[str | Column], parts: int | None) -> DataFrame:
+    """``df`` dealt by ``keys`` to so many partitions, or as many as Spark chooses."""
+    return df.repartition(*keys) if parts is None else df.repartition(parts, *keys)
+
+
 def bucketed(df: DataFrame, name: str, keys: Sequence[str], dealt: bool = False) -> DataFrame:
     """Like ``stored``, dealt into buckets by ``keys``: joins on all of them need no shuffle of this table.
 
