@@ -53,25 +53,30 @@ def dedupe_edges(edges: DataFrame, order_by: str | None = None) -> DataFrame:
     rest = [c for c in edges.columns if c not in EDGE_KEY]
     if not rest:
         return edges.distinct()
-    best = F.min(F.struct(*rest))
     if order_by is not None:
         newest = edges.groupBy(*EDGE_KEY).agg(F.max(order_by).alias("__last"))
         edges = edges.join(newest, list(EDGE_KEY)).where(F.col(order_by).eqNullSafe(F.col("__last")))
+    return _smallest(edges, rest)
+
+
+def _smallest(edges: DataFrame, rest: list[str], *together: str) -> DataFrame:
+    """The smallest values of ``rest`` of each edge, whose rows are alike in ``together``."""
     # Names begin alike; a number in front of them makes the sort by names short.
-    return edges.groupBy(F.xxhash64(*EDGE_KEY).alias("__h"), *EDGE_KEY).agg(best.alias("e")).select(
+    return edges.groupBy(*together, F.xxhash64(*EDGE_KEY).alias("__h"), *EDGE_KEY).agg(F.min(F.struct(*rest)).alias("e")).select(
         *EDGE_KEY, *[F.col(f"e.{c}").alias(c) for c in rest]
     )
 
 
 def edges_from_dependencies(
-    dependencies: DataFrame, near: tuple[str, str] | None = None, parts: int | None = None
+    dependencies: DataFrame, near: tuple[str, str] | None = None, parts: int | None = None, together: str | None = None
 ) -> DataFrame:
     """Edges referenced -> referencing; rows without a database or a name are dropped.
 
     Where rows of one edge disagree about its kinds, the smallest (source kind, target
     kind, edge type) counts. With ``near``, a database and a schema, edges with both ends elsewhere
     may be missing. With ``parts``, edges are dealt by their source to as many partitions; else to
-    partitions of a size that does not grow with the files they come from.
+    partitions of a size that does not grow with the files they come from. ``together`` names a column
+    that is the same for all rows of an edge and by which the rows are dealt already: they stay where they are.
     """
 
     def side(prefix: str, alias: str) -> list[Column]:
@@ -94,13 +99,16 @@ def edges_from_dependencies(
     # Dealt by the edge before names are put together: fewer columns travel, and a row is sorted among its like only.
     ends = [fqn(*[F.col(f"{p}_{c}") for c in ("database", "schema", "name")]) for p in ("referenced", "referencing")]
     rows = dependencies.where(complete if near is None else complete & _may_touch(ends, ".".join(near)))
-    shares = dealt(rows, ends, part_count(dependencies)) if parts is None else rows.repartition(parts, ends[0])
-    edges = shares.select(
+    columns = [
         *side("referenced", "source"),
         *side("referencing", "target"),
         edge_type(F.col("referenced_domain"), F.col("referencing_domain")).alias("edge_type"),
-    )
-    return dedupe_edges(edges)
+    ]
+    if together is not None:
+        edges = rows.select(F.col(together).alias("__together"), *columns)
+        return _smallest(edges, [c for c in edges.columns if c not in ("__together", *EDGE_KEY)], "__together")
+    shares = dealt(rows, ends, part_count(dependencies)) if parts is None else rows.repartition(parts, ends[0])
+    return dedupe_edges(shares.select(*columns))
 
 
 def _may_touch(ends: list[Column], prefix: str) -> Column:
@@ -273,11 +281,13 @@ def endpoints(edges: DataFrame) -> DataFrame:
             F.coalesce(f"{name}_kind", F.lit("table")).alias("kind"),
         )
 
-    # Both ends from one pass: the edges may be long to make.
+    # Both ends from one pass: the edges may be long to make. A full name travels only where its parts do not tell it.
+    usual = fqn(F.col("database"), F.col("schema"), F.col("table"))
     return (
         edges.select(F.inline(F.array(side("source"), side("target"))))
-        .groupBy("database", "schema", "table", "fqn")
+        .groupBy("database", "schema", "table", F.when(~F.col("fqn").eqNullSafe(usual), F.struct("fqn")).alias("unusual"))
         .agg(F.min("kind").alias("kind"))
+        .select("database", "schema", "table", F.when(F.col("unusual").isNull(), usual).otherwise(F.col("unusual.fqn")).alias("fqn"), "kind")
     )
 
 

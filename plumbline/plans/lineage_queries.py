@@ -6,6 +6,8 @@ an edge, so the graph grows with the tables and has cycles and diamonds.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from plumbline.plans.derived import STATE_CTES
 from plumbline.plans.health_queries import _RATES, _SCORES
 from plumbline.plans.metadata_queries import OBJECTS_SQL, supplier_objects
 from plumbline.plans.registry import query
-from plumbline.session import dealt, part_count, stored
+from plumbline.session import dealt, part_count, stored, temporary
 from plumbline.sources import catalog
 from plumbline.sources.tables import read_tables
 
@@ -25,60 +27,79 @@ FOCUS = 7
 SCHEMA = ("SUPPLY", "NATION_3")
 
 
-def _dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dependency_groups(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, str | None]]:
+    """Dependencies in groups that share no edge, as the databases at their ends differ.
+
+    With each group comes the column it is dealt by, if that is the same for all rows of an edge.
+    """
     t = read_tables(spark, sf_dir, ["supplier", "nation", "region", "part", "orders", "customer", "lineitem"])
 
-    def obj(database: str, schema: str, name: Column, domain: Column) -> Column:
-        return F.struct(
-            F.lit(database).alias("database"), F.col(schema).alias("schema"), name.alias("name"), domain.alias("domain")
-        )
+    def obj(end: str, database: str, schema: str, name: Column, domain: Column) -> list[Column]:
+        columns = {"database": F.lit(database), "schema": F.col(schema), "name": name, "domain": domain}
+        return [c.alias(f"{end}_{n}") for n, c in columns.items()]
+
+    def nation(end: str) -> list[Column]:
+        return obj(end, "GEO", "r_name", F.col("n_name"), F.lit("BASE"))
+
+    def supplier(end: str) -> list[Column]:
+        return obj(end, "SUPPLY", "n_name", F.col("s_name"), F.when(F.col("in_debt"), "STAGE").otherwise("TABLE"))
+
+    def customer(end: str) -> list[Column]:
+        kind = F.when(F.col("c_mktsegment") == "BUILDING", "MATERIALIZED VIEW").otherwise("VIEW")
+        return obj(end, "CRM", "c_mktsegment", F.col("c_name"), kind)
+
+    def part(end: str) -> list[Column]:
+        return obj(end, "PARTS", "p_brand", F.concat(F.lit("P"), F.col("p_partkey").cast("string")), F.lit("TABLE"))
+
+    def order(end: str) -> list[Column]:
+        name = F.concat(F.lit("O"), F.col("o_orderkey").cast("string"))
+        return obj(end, "SALES", "o_orderpriority", name, F.lit("DYNAMIC TABLE"))
 
     nations = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-    nation = obj("GEO", "r_name", F.col("n_name"), F.lit("BASE"))
     suppliers = t["supplier"].join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        "s_suppkey", nation.alias("nation"),
-        obj("SUPPLY", "n_name", F.col("s_name"), F.when(F.col("s_acctbal") < 0, "STAGE").otherwise("TABLE")).alias("supplier"),
+        "s_suppkey", "s_name", "n_name", "r_name", (F.col("s_acctbal") < 0).alias("in_debt")
     )
     customers = t["customer"].join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        "c_custkey", nation.alias("nation"),
-        obj("CRM", "c_mktsegment", F.col("c_name"),
-            F.when(F.col("c_mktsegment") == "BUILDING", "MATERIALIZED VIEW").otherwise("VIEW")).alias("customer"),
-    )
-    parts = t["part"].select(
-        "p_partkey", obj("PARTS", "p_brand", F.concat(F.lit("P"), F.col("p_partkey").cast("string")), F.lit("TABLE")).alias("part")
+        "c_custkey", "c_name", "c_mktsegment", "n_name", "r_name"
     )
-    orders = t["orders"].select(
-        "o_orderkey", "o_custkey",
-        obj("SALES", "o_orderpriority", F.concat(F.lit("O"), F.col("o_orderkey").cast("string")), F.lit("DYNAMIC TABLE")).alias("order"),
-    )
-    # Dealt as the largest join needs them, in parts of bounded size; most pairs occur once.
+    parts = t["part"].select("p_partkey", "p_brand")
+    orders = t["orders"].select("o_orderkey", "o_custkey", "o_orderpriority")
+    # Dealt in parts of bounded size, last by a key that the name of one end tells: so all rows of an edge meet, and
+    # edges need not be dealt again by their names. Names are put together after that, so only keys and short columns travel.
     parts_of_lines = part_count(t["lineitem"])
     shipped = dealt(t["lineitem"].select("l_suppkey", "l_partkey"), ["l_partkey"], parts_of_lines).distinct()
-    ordered = dealt(t["lineitem"].select("l_partkey", "l_orderkey"), ["l_orderkey"], parts_of_lines).distinct()
-    pairs = [
-        shipped.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .select(F.col("supplier").alias("a"), F.col("part").alias("b")),
-        ordered.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(F.col("part").alias("a"), F.col("order").alias("b")),
-        orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
-            F.col("order").alias("a"), F.col("customer").alias("b")
+    shipped = dealt(shipped.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).drop("s_suppkey"), ["l_partkey"], parts_of_lines)
+    ordered = t["lineitem"].select("l_partkey", "l_orderkey").join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey")
+    ordered = dealt(ordered, ["l_orderkey"], parts_of_lines).distinct()
+    placed = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    placed = dealt(placed.select("o_orderkey", "o_orderpriority", "c_name", "c_mktsegment"), ["o_orderkey"], part_count(t["orders"]))
+    addressed = customers.select(*customer("referenced"), *nation("referencing"))
+    settled = suppliers.select(*nation("referenced"), *supplier("referencing"))
+    return [
+        (
+            shipped.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+            .select(*supplier("referenced"), *part("referencing"), F.col("l_partkey").alias("dealt_by")),
+            "dealt_by",
+        ),
+        (
+            ordered.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .select(*part("referenced"), *order("referencing"), F.col("l_orderkey").alias("dealt_by")),
+            "dealt_by",
         ),
-        customers.select(F.col("customer").alias("a"), F.col("nation").alias("b")),
-        suppliers.select(F.col("nation").alias("a"), F.col("supplier").alias("b")),
+        (placed.select(*order("referenced"), *customer("referencing"), F.col("o_orderkey").alias("dealt_by")), "dealt_by"),
+        (addressed.unionByName(settled), None),
     ]
-    union = pairs[0]
-    for p in pairs[1:]:
-        union = union.unionByName(p)
-    return union.select(
-        *[F.col(f"a.{c}").alias(f"referenced_{c}") for c in ("database", "schema", "name", "domain")],
-        *[F.col(f"b.{c}").alias(f"referencing_{c}") for c in ("database", "schema", "name", "domain")],
-    )
 
 
-def graph(spark: SparkSession, sf_dir: str, near: tuple[str, str] | None = None) -> DataFrame:
-    return lineage.edges_from_dependencies(_dependencies(spark, sf_dir), near)
+def _dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = [g if key is None else g.drop(key) for g, key in _dependency_groups(spark, sf_dir)]
+    return reduce(DataFrame.unionByName, groups)
+
+
+def graph(spark: SparkSession, sf_dir: str, near: tuple[str, str] | None = None, name: str | None = None) -> DataFrame:
+    """The edges; with ``name`` they are ``stored`` under it, a group at a time: what one group shuffles is gone before the next."""
+    groups = (lineage.edges_from_dependencies(g, near, together=key) for g, key in _dependency_groups(spark, sf_dir))
+    return reduce(DataFrame.unionByName, groups if name is None else [stored(g, name, codec="zstd") for g in groups])
 
 
 def _side(prefix: str, database: str, schema: str, name: str, kind: str) -> str:
@@ -331,8 +352,11 @@ def lineage_schema_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM ends GROUP BY d""",
 )
 def lineage_database_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = stored(graph(spark, sf_dir), "lineage-edges")
-    cards = lineage.database_cards(lineage.endpoints(edges), edges, _graph_overlays(spark, sf_dir))
+    # The log of runs, which overlays come from, goes before the edges are made.
+    with temporary(spark, "runs"):
+        overlaid = stored(_graph_overlays(spark, sf_dir), "overlays", lasting=True)
+    edges = graph(spark, sf_dir, name="lineage-edges")
+    cards = lineage.database_cards(lineage.endpoints(edges), edges, overlaid)
     return _round(cards, "avg_health_score")
 
 
@@ -352,5 +376,5 @@ def workflow_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.concat("table", F.lit("_STAGING"))).alias("tables"),
         F.array(F.struct(F.lit("REJECTS").alias("table"), F.lit("ID").alias("column"))).alias("columns"),
     )
-    edges = stored(graph(spark, sf_dir), "lineage-edges")
+    edges = graph(spark, sf_dir, name="lineage-edges")
     return lineage.highlight(lineage.rule_targets(patterns), edges)

@@ -83,14 +83,33 @@ def temporary(spark: SparkSession, name: str) -> Iterator[None]:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+#: Whether Spark deletes the shuffle files of a query when it ends, and not only when the driver finds them unused.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """What is written inside is read from its files later, so its shuffle files go at its end."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def stored(df: DataFrame, name: str, lasting: bool = False, codec: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     For results several later steps read: they start from the files, so nothing is
-    computed twice and a lost executor costs no recomputation.
+    computed twice and a lost executor costs no recomputation. ``codec`` names another compression.
     """
     path = fresh_path(df.sparkSession, name, lasting)
-    df.write.parquet(path)
+    with _shuffles_deleted(df.sparkSession):
+        df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -135,7 +154,8 @@ def bucketed(df: DataFrame, name: str, keys: Sequence[str], dealt: bool = False)
     table = path.rpartition("/")[2].replace("-", "_")
     buckets = bucket_count(spark)
     rows = df if dealt else df.repartition(buckets, *keys)
-    rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table, format="parquet")
+    with _shuffles_deleted(spark):
+        rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table, format="parquet")
     out = spark.table(table)
     spark.sql(f"DROP TABLE {table}")
     return out
